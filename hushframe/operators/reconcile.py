@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import Refused, refuse_any, refuse_if
-from ..functions import text as X
 from ..keymap import KeyMap
 from ..sources.rows import ROW
 from ..sources.tables import data_columns, quoted

@@ -241,7 +241,6 @@ def joined_return(
     name: str, source: DataFrame, returned: DataFrame, keymap: KeyMap
 ) -> tuple[DataFrame, list[str]]:
     """Returned rows beside their map entry and source row; one-sided rows included."""
-    policy = keymap.policies[name]
     fresh = new_headings(name, returned, keymap)
     wanted = [*keymap.protected_columns(name)[1:], *fresh]
     left = returned.select("record_id", F.col(ROW).alias("_at"), cells(returned, wanted).alias(RET))
@@ -251,11 +250,7 @@ def joined_return(
     rows = source.select(
         F.col(ROW).alias("_src_row"), cells(source, keymap.source_columns[name]).alias(SRC)
     )
-    both = both.join(rows, "_src_row", "left")
-    if keymap.related:
-        # The entity's key must be the key of the row: compared on the unique pairs below.
-        both = both.withColumn("_key", src(policy.source_key))
-    return both, fresh
+    return both.join(rows, "_src_row", "left"), fresh
 
 
 def _verify(
