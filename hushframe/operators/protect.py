@@ -74,7 +74,8 @@ def protected_values(
             side = lookup_table(spark, books[name], f"_l{i}", f"_c{i}")
             df = df.join(side, get(name) == F.col(f"_l{i}"), "left")
             values[name] = F.col(f"_c{i}")
-        elif rule.action == "review_text" and reviews and name in reviews:
+        elif rule.review_table:
+            refuse_if(name not in (reviews or {}), "a review table is missing")
             side = reviews[name].select(
                 F.col("digest").alias(f"_d{i}"), F.col("approved").alias(f"_c{i}")
             )

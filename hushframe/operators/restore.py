@@ -253,9 +253,10 @@ def joined_return(
     return both.join(rows, "_src_row", "left"), fresh
 
 
-def _verify(
+def marked_return(
     name: str, source: DataFrame, returned: DataFrame, keymap: KeyMap, ws: Workspace, reviews=None
 ) -> Review:
+    """The joined rows, written once, with every cell judged but nothing refused yet."""
     policy = keymap.policies[name]
     editable = (keymap.editable or {}).get(name, [])
     both, fresh = joined_return(name, source, returned, keymap)
@@ -281,26 +282,33 @@ def _verify(
             for i, n in enumerate(editable)
         ],
     )
-    stage = ws.keep(marked, "restore")
+    return Review(name, ws.keep(marked, "restore"), keymap.source_columns[name], fresh, editable)
+
+
+def return_counts(rev: Review, keymap: KeyMap) -> DataFrame:
+    """One row of violations of a returned table; all zero means it may be restored."""
+    policy = keymap.policies[rev.name]
     here = F.col(RET).isNotNull() & F.col("_who").isNotNull()
-    link = (
-        ~ret("entity_id").eqNullSafe(F.col("_who"))
-        if keymap.related
-        else ~src(policy.source_key).eqNullSafe(F.col("_who"))
-    )
-    row = stage.agg(
+    owner = ret("entity_id") if keymap.related else src(policy.source_key)
+    return rev.stage.agg(
         F.count_if(F.col("_who").isNull()).alias("unknown_ids"),
         F.count_if(F.col(RET).isNull()).alias("missing_ids"),
         F.count_if(here & F.col(SRC).isNull()).alias("no_source_row"),
-        F.count_if(here & link).alias("changed_links"),
+        F.count_if(here & ~owner.eqNullSafe(F.col("_who"))).alias("changed_links"),
         F.count_if(here & F.col("_altered")).alias("altered_rows"),
         F.count_if(here & F.col("_refused_edit")).alias("refused_edits"),
-        F.count_if(here & any_of([bad_result(ret(n)) for n in fresh])).alias("unsafe_results"),
-        F.count_if(source_controls(policy, keymap.source_columns[name])).alias("source_controls"),
-        (F.count(F.lit(1)) - F.lit(keymap.records[name].count())).alias("repeated_ids"),
-    ).first()
-    refuse_any("returned table", row.asDict())
-    return Review(name, stage, keymap.source_columns[name], fresh, editable)
+        F.count_if(here & any_of([bad_result(ret(n)) for n in rev.new_columns])).alias("unsafe_results"),
+        F.count_if(source_controls(policy, rev.source_columns)).alias("source_controls"),
+        (F.count("_who") - F.lit(keymap.records[rev.name].count())).alias("repeated_ids"),
+    )
+
+
+def _verify(
+    name: str, source: DataFrame, returned: DataFrame, keymap: KeyMap, ws: Workspace, reviews=None
+) -> Review:
+    rev = marked_return(name, source, returned, keymap, ws, reviews)
+    refuse_any("returned table", return_counts(rev, keymap).first().asDict())
+    return rev
 
 
 def review(

@@ -213,9 +213,13 @@ def check_review_source(source: DataFrame, policy: Policy, reviews: dict | None
     columns = identifier_columns(data_columns(source), declared_identifiers(policy))
     identifiers = source_identifiers(source, columns)
     for name in narrative:
-        given = (reviews or {}).get(name)
-        if given is None:
-            given = review_table(source.sparkSession, dict(policy.columns[name].text_reviews))
+        rule = policy.columns[name]
+        refuse_if(rule.review_table and name not in (reviews or {}), "a review table is missing")
+        given = (
+            reviews[name]
+            if rule.review_table
+            else review_table(source.sparkSession, dict(rule.text_reviews))
+        )
         approve_reviews(source, name, given, identifiers)
 
 
