@@ -51,22 +51,27 @@ def magnitude_of(number: Decimal) -> Column:
     return F.struct(F.lit(n).alias("n"), F.lit(whole).alias("w"), F.lit(fraction).alias("f"))
 
 
+def once(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated a single time per row."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def canonical_numeric(
     c: Column, bounds: tuple[Decimal, Decimal], places: int | None = None
 ) -> Column:
     """Canonical text of a bounded non-negative number; '' stays ''; NULL when refused."""
-    text = canonical(c)
+    low, high = magnitude_of(bounds[0]), magnitude_of(bounds[1])
     ok = (F.length(c) <= MAX_NUMBER_CHARS) & c.rlike(PLAIN_NUMBER)
     if places is not None:
-        fraction = F.when(F.contains(c, F.lit(".")), F.substring_index(c, ".", -1)).otherwise("")
-        ok = ok & (F.length(fraction) <= places)
-    size = magnitude(text)
-    ok = ok & (size >= magnitude_of(bounds[0])) & (size <= magnitude_of(bounds[1]))
-    return F.when(c == "", F.lit("")).when(ok, text)
+        ok = ok & ~c.rlike(rf"\.[0-9]{{{places + 1}}}")
+    text = canonical(c)
+    shaped = F.struct(text.alias("text"), magnitude(text).alias("size"))
+    inside = once(shaped, lambda s: F.when((s["size"] >= low) & (s["size"] <= high), s["text"]))
+    return F.when(c == "", F.lit("")).when(ok, inside)
 
 
 def _plain_signed(c: Column) -> tuple[Column, Column]:
-    """(negative?, canonical magnitude text) of any finite decimal text, else NULL text.
+    """(negative?, canonical magnitude text) of a finite decimal text.
 
     Exponent forms go through DECIMAL(38,18); plain forms stay exact at any length.
     """
@@ -78,31 +83,40 @@ def _plain_signed(c: Column) -> tuple[Column, Column]:
     digits = F.regexp_replace(expanded, r"^[+-]", "")
     digits = F.regexp_replace(digits, r"^\.", "0.")
     digits = F.regexp_replace(digits, r"\.\z", "")
-    size = F.when(c.rlike(FINITE), canonical(digits))
+    size = canonical(digits)
     return negative & (size != "0"), size
 
 
-def _at_least(negative: Column, size: Column, bound: Decimal) -> Column:
-    if bound >= 0:
-        inside = ~negative & (magnitude(size) >= magnitude_of(bound))
-        return inside if bound > 0 else ~negative
-    return ~negative | (magnitude(size) <= magnitude_of(bound))
+def _at_least(number: Column, bound: Decimal) -> Column:
+    """Whether a ``(negative, size)`` struct is at or above a bound."""
+    negative, size, limit = number["negative"], number["size"], magnitude_of(bound)
+    if bound > 0:
+        return ~negative & (size >= limit)
+    return ~negative if bound == 0 else ~negative | (size <= limit)
+
+
+def _bin_tree(number: Column, bins, labels) -> Column:
+    """Binary search over contiguous bins, for a number inside their whole span."""
+    if len(bins) == 1:
+        return F.lit(labels[0])
+    half = len(bins) // 2
+    return F.when(
+        _at_least(number, bins[half][0]), _bin_tree(number, bins[half:], labels[half:])
+    ).otherwise(_bin_tree(number, bins[:half], labels[:half]))
 
 
 def bin_label(c: Column, bins: tuple[tuple[Decimal, Decimal], ...], labels: tuple[str, ...]) -> Column:
     """Label of the half-open bin holding the number (last bin closed); NULL when none."""
-    negative, size = _plain_signed(c)
-    result = None
-    for (low, high), label in zip(bins, labels, strict=True):
-        above = _at_least(negative, size, low)
-        if high == bins[-1][1]:
-            at_top = (magnitude(size) == magnitude_of(high)) & (negative == F.lit(high < 0))
-            below = ~_at_least(negative, size, high) | at_top
-        else:
-            below = ~_at_least(negative, size, high)
-        hit = size.isNotNull() & above & below
-        result = F.when(hit, label) if result is None else result.when(hit, label)
-    return result
+    bottom, top = bins[0][0], bins[-1][1]
+    negative, text = _plain_signed(c)
+    shaped = F.struct(negative.alias("negative"), magnitude(text).alias("size"))
+
+    def label(number: Column) -> Column:
+        at_top = (number["size"] == magnitude_of(top)) & (number["negative"] == F.lit(top < 0))
+        inside = _at_least(number, bottom) & (~_at_least(number, top) | at_top)
+        return F.when(inside, _bin_tree(number, bins, labels))
+
+    return F.when(c.rlike(FINITE), once(shaped, label))
 
 
 def finite_number(c: Column) -> Column:

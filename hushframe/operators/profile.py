@@ -160,15 +160,31 @@ def categories(df: DataFrame, column: str, limits: Limits = Limits()) -> list[st
 
 
 def category_stats(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Per column: distinct labels, blanks and unsafe labels, as a table."""
-    v = F.col("value")
+    """Per column: distinct labels, blanks and unsafe labels, as a table.
+
+    A value too long for a category is unsafe whatever it says, so only its digest is
+    shuffled.
+    """
+    v, s = F.col("value"), F.col("short")
+    is_long = F.length(v) > LONG
+    groups = (
+        column_values(df, columns)
+        .groupBy(
+            "column",
+            F.when(~is_long, v).alias("short"),
+            F.when(is_long, X.digest(v)).alias("digest"),
+        )
+        .agg(F.count(F.lit(1)).alias("n"), F.bool_or(is_long & X.is_blank(v)).alias("long_blank"))
+    )
+    blank = F.coalesce(X.is_blank(s), F.col("long_blank"))
+    safe = F.coalesce(X.safe_category(s), F.lit(False))
     return (
-        distinct_values(df, columns)
+        groups.select("column", "n", blank.alias("blank"), safe.alias("safe"))
         .groupBy("column")
         .agg(
-            F.count_if(~X.is_blank(v)).alias("labels"),
-            F.sum(F.when(X.is_blank(v), F.col("n")).otherwise(0)).alias("blank_count"),
-            F.count_if(~X.is_blank(v) & ~X.safe_category(v)).alias("unsafe_labels"),
+            F.count_if(~F.col("blank")).alias("labels"),
+            F.sum(F.when(F.col("blank"), F.col("n")).otherwise(0)).alias("blank_count"),
+            F.count_if(~F.col("blank") & ~F.col("safe")).alias("unsafe_labels"),
         )
     )
 

@@ -1,6 +1,6 @@
 """Every registered query and the SQL stating its result."""
 
-from . import linked, protection, restoration, shaping, texts  # noqa: F401
+from . import protection, restoration, shaping, texts  # noqa: F401
 from .registry import QUERIES, SQL, runner
 
 

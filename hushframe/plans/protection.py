@@ -386,7 +386,7 @@ def joint_classes_lineitem(c):
     return K.class_counts(c.text("lineitem", names), names, 5)
 
 
-@query("f6_one_class", "SELECT count(*) members, count(*) minimum_size, 0 unique_members, 0 small_members, 0.0 unique_fraction FROM orders")
+@query("f6_one_class", "SELECT count(*) members, count(*) minimum_size, 0 unique_members, 0 small_members, CAST(0 AS DOUBLE) unique_fraction FROM orders")
 def one_class(c):
     return K.class_counts(c.text("orders", ["o_orderkey"]), [], 5)
 
