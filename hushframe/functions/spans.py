@@ -17,9 +17,12 @@ from .text import (
     SPACE,
     TIME,
     WORD,
+    date_in,
+    email_in,
     formula_prefix,
     is_blank,
     quote_literal,
+    time_in,
 )
 
 SPAN = "struct<reason:string,start:int,end:int>"
@@ -37,8 +40,9 @@ def _none() -> Column:
     return F.array().cast(f"array<{SPAN}>")
 
 
-def pattern_spans(c: Column, pattern: str, reason: str) -> Column:
-    """Every match of a pattern without groups, left to right."""
+def pattern_spans(c: Column, pattern: str, reason: str, hit: Column | None = None) -> Column:
+    """Every match of a pattern without groups, left to right; ``hit`` tells cheaply
+    whether there is any."""
     state = f"struct<at:int,out:array<{SPAN}>>"
     pieces = F.arrays_zip(
         F.split(c, pattern, -1).alias("gap"),
@@ -59,7 +63,7 @@ def pattern_spans(c: Column, pattern: str, reason: str) -> Column:
 
     zero = F.struct(F.lit(0).alias("at"), _none().alias("out")).cast(state)
     found = F.aggregate(pieces, zero, step, lambda acc: acc["out"])
-    return F.when(c.rlike(pattern), found).otherwise(_none())
+    return F.when(c.rlike(pattern) if hit is None else hit, found).otherwise(_none())
 
 
 def _trimmed(c: Column, spans: Column, lead: str, trail: str) -> Column:
@@ -93,9 +97,9 @@ def issue_spans(c: Column) -> Column:
             formula_prefix(c), F.array(_span("formula_prefix", lead, lead + 1))
         ).otherwise(_none()),
         pattern_spans(c, r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", "control_character"),
-        _trimmed(c, pattern_spans(c, EMAIL, "email"), r"[(<\[{]", r"[,.;:!?)\]}>]"),
-        pattern_spans(c, DATE, "date"),
-        pattern_spans(c, TIME, "time"),
+        _trimmed(c, pattern_spans(c, EMAIL, "email", email_in(c)), r"[(<\[{]", r"[,.;:!?)\]}>]"),
+        pattern_spans(c, DATE, "date", date_in(c)),
+        pattern_spans(c, TIME, "time", time_in(c)),
         _trimmed(c, pattern_spans(c, LONG_DIGITS, "long_digits"), "", r"[^\p{Nd}]"),
     )
 

@@ -18,11 +18,11 @@ MAX_CATEGORY_WORDS = 4
 # linear on long runs without spaces and free of deep recursion on long digit runs.
 EMAIL = rf"(?<![^{SPACE}@])[^{SPACE}@]++@[^{SPACE}@]+\.[^{SPACE}@]+"
 DATE = (
-    rf"(?<![{WORD}])(?:\p{{Nd}}{{4}}[-/]\p{{Nd}}{{1,2}}[-/]\p{{Nd}}{{1,2}}"
+    rf"(?=\p{{Nd}})(?<![{WORD}])(?:\p{{Nd}}{{4}}[-/]\p{{Nd}}{{1,2}}[-/]\p{{Nd}}{{1,2}}"
     rf"|\p{{Nd}}{{1,2}}[-/]\p{{Nd}}{{1,2}}[-/]\p{{Nd}}{{2,4}})(?![{WORD}])"
 )
 TIME = (
-    rf"(?<![{WORD}])\p{{Nd}}{{1,2}}:\p{{Nd}}{{2}}(?::\p{{Nd}}{{2}}(?:\.\p{{Nd}}+)?)?(?![{WORD}])"
+    rf"(?=\p{{Nd}})(?<![{WORD}])\p{{Nd}}{{1,2}}:\p{{Nd}}{{2}}(?::\p{{Nd}}{{2}}(?:\.\p{{Nd}}+)?)?(?![{WORD}])"
 )
 LONG_DIGITS = r"(?:\p{Nd}[ ()+.\-]*+){7,}+"
 PRECISE = r"\.\p{Nd}{3,}"
@@ -70,8 +70,21 @@ def formula_or_control(c: Column) -> Column:
     return c.rlike(rf"^[{SPACE}]*+[=+\-@]|[\x00-\x1f\x7f]")
 
 
+# Each search is behind a cheap test for a character it cannot do without.
+def email_in(c: Column) -> Column:
+    return F.contains(c, F.lit("@")) & c.rlike(EMAIL)
+
+
+def date_in(c: Column) -> Column:
+    return (F.contains(c, F.lit("-")) | F.contains(c, F.lit("/"))) & c.rlike(DATE)
+
+
+def time_in(c: Column) -> Column:
+    return F.contains(c, F.lit(":")) & c.rlike(TIME)
+
+
 def identifier_shaped(c: Column) -> Column:
-    return c.rlike(EMAIL) | c.rlike(DATE) | c.rlike(TIME) | c.rlike(rf"^{LONG_DIGITS}\z")
+    return email_in(c) | date_in(c) | time_in(c) | c.rlike(rf"^{LONG_DIGITS}\z")
 
 
 def free_text_shaped(c: Column) -> Column:
@@ -140,9 +153,9 @@ def text_issues(c: Column) -> Column:
             code("whitespace_only", (c != "") & is_blank(c)),
             code("formula_prefix", formula_prefix(c)),
             code("control_character", has_unsafe_control(c)),
-            code("email", c.rlike(EMAIL)),
-            code("date", c.rlike(DATE)),
-            code("time", c.rlike(TIME)),
+            code("email", email_in(c)),
+            code("date", date_in(c)),
+            code("time", time_in(c)),
             code("long_digits", c.rlike(LONG_DIGITS)),
         )
     )
@@ -154,8 +167,8 @@ def has_text_issue(c: Column) -> Column:
         | ((c != "") & is_blank(c))
         | formula_prefix(c)
         | has_unsafe_control(c)
-        | c.rlike(EMAIL)
-        | c.rlike(DATE)
-        | c.rlike(TIME)
+        | email_in(c)
+        | date_in(c)
+        | time_in(c)
         | c.rlike(LONG_DIGITS)
     )

@@ -68,7 +68,9 @@ _SPANS = (
     f"WITH {_TEXTS}, mail AS ({span_sql(S.EMAIL, 'email')}), digits AS ({span_sql(S.DIGITS, 'long_digits')}),"
     f" ctl AS ({span_sql('[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]', 'control_character')}),"
     f" spans AS ({_TRIM_MAIL} UNION ALL SELECT id, reason, s, e - (length(m) - length(regexp_replace(m, '[^\\p{{Nd}}]+$', ''))) FROM digits"
-    " UNION ALL SELECT id, reason, s, e FROM ctl UNION ALL SELECT id, 'too_long', 4096, length(v) FROM texts WHERE length(v) > 4096)"
+    " UNION ALL SELECT id, reason, s, e FROM ctl UNION ALL SELECT id, 'too_long', 4096, length(v) FROM texts WHERE length(v) > 4096"
+    f" UNION ALL SELECT id, 'whitespace_only', 0, length(v) FROM texts WHERE v <> '' AND {S.blank('v')}"
+    f" UNION ALL SELECT id, 'formula_prefix', lead, lead + 1 FROM (SELECT id, length(v) - length(regexp_replace(v, {S.q(f'^[{S.SP}]+')}, '')) lead FROM texts WHERE {S.formula('v')}))"
 )
 
 

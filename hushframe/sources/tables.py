@@ -105,6 +105,25 @@ def append_tables(parts: list[DataFrame], allow_reordered: bool = False) -> Data
     return out
 
 
+WIDEN_BYTES = 2 * 1024 * 1024
+
+
+def widened(df: DataFrame, path: str) -> DataFrame:
+    """Spread a scan over all cores when it has few, heavy splits (one large row group).
+
+    A table of many splits is left as it is, so at scale this adds no shuffle.
+    """
+    spark = df.sparkSession
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    width = spark.sparkContext.defaultParallelism
+    splits = len(df.inputFiles())
+    size = fs.getContentSummary(target).getLength()
+    if splits * 2 > width or size / max(splits, 1) < WIDEN_BYTES:
+        return df
+    return df.repartition(width, ROW)
+
+
 def load_table(
     spark: SparkSession,
     paths: str | list[str],
@@ -127,7 +146,7 @@ def load_table(
             raw = raw.select(*[quoted(c) for c in columns])
         check_headings(raw.columns, reserved=(ROW,))
         numbered = number_file_rows(raw) if fmt == "parquet" else number_block_rows(raw, ws)
-        parts.append(as_text(numbered, dates, places))
+        parts.append(as_text(widened(numbered, path), dates, places))
     return append_tables(parts, allow_reordered)
 
 
