@@ -83,7 +83,7 @@ def key_gate(c):
 )
 def record_ids(c):
     """Every order line as its own record: the key is its row number."""
-    df = c.text("lineitem")
+    df = c.kept("lineitem", ["l_returnflag"])
     keyed = df.select(F.col(ROW).cast("string").alias("line"), "l_returnflag", ROW)
     policy = PolicyBuilder().key("line").keep("l_returnflag", P.categories(keyed, "l_returnflag")).build()
     return P.id_counts(protect(keyed, policy, c.ws).table)

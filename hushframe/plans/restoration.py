@@ -106,7 +106,7 @@ def round_trip_customer(c):
 @query("h5_round_trip_lineitem", f"SELECT t.*, l_returnflag || l_linestatus AS outcome FROM ({S.TEXT['lineitem']}) t")
 def round_trip_lineitem(c):
     """Every order line protected under its own row key, returned, and put back."""
-    df = c.text("lineitem").withColumn("line", F.col(ROW).cast("string"))
+    df = c.kept("lineitem").withColumn("line", F.col(ROW).cast("string"))
     b = PolicyBuilder(2).key("line")
     for n in S.COLUMNS["lineitem"]:
         if n in ("l_returnflag", "l_linestatus"):
@@ -412,7 +412,7 @@ def approved_results(c):
 
 # --- J: customers ordering in 1997 (target) against those ordering in 1998 (reference) ---
 def participants(c, additions=True, removals=True, propose=True):
-    orders = c.text("orders")
+    orders = c.kept("orders", ["o_custkey", "o_orderdate", "o_orderpriority"])
 
     def of_year(year):
         per = orders.filter(F.substring("o_orderdate", 1, 4) == year).groupBy("o_custkey").agg(

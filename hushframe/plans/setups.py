@@ -39,7 +39,7 @@ def orders_policy(source, k: int = 5, numbers: bool = False):
 
 
 def protected_customer(c, k: int = 5) -> tuple:
-    source = c.text("customer")
+    source = c.kept("customer")
     p = protect(source, customer_policy(source, k), c.ws, profile=LOOSE)
     return source, p
 
@@ -52,7 +52,7 @@ def bound_customer(c) -> tuple:
 
 def related(c, k: int = 5, numbers: bool = False, editable: bool = False) -> tuple[dict, Protected]:
     """Customers and their orders, linked by customer."""
-    sources = {"customer": c.text("customer"), "orders": c.text("orders")}
+    sources = {"customer": c.kept("customer"), "orders": c.kept("orders")}
     policies = {
         "customer": customer_policy(sources["customer"], k),
         "orders": orders_policy(sources["orders"], k, numbers),

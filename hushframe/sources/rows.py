@@ -25,9 +25,12 @@ def _numbered(df: DataFrame, chunk: list[str], first: int = 0) -> DataFrame:
         *[F.col(c).alias(f"_o{c}") for c in chunk],
         (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_low") + first).alias("_offset"),
     ).persist()
+    keep = [c for c in df.columns if c not in (*chunk, "_at")]
+    head = offsets.limit(2).collect()
+    if len(head) == 1:  # a single chunk: no join, one constant
+        return df.select(*keep, (F.col("_at") + F.lit(head[0]["_offset"])).cast("long").alias(ROW))
     on = [df[c].eqNullSafe(offsets[f"_o{c}"]) for c in chunk]
     joined = df.join(small_side(offsets, offsets.count()), on, "left")
-    keep = [c for c in df.columns if c not in (*chunk, "_at")]
     return joined.select(*keep, (F.col("_at") + F.col("_offset")).cast("long").alias(ROW))
 
 

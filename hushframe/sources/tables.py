@@ -24,11 +24,13 @@ def quoted(name: str) -> Column:
 
 
 def iso_text(c: Column, kind: T.DataType) -> Column:
+    """ISO text of a date or timestamp; six fraction digits when there are any."""
+    shown = c.cast("string")
     if isinstance(kind, T.DateType):
-        return F.date_format(c, "yyyy-MM-dd")
-    whole = F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
-    micros = F.date_format(c, "SSSSSS")
-    return F.when(micros == "000000", whole).otherwise(F.concat(whole, F.lit("."), micros))
+        return shown
+    whole = F.replace(F.substring(shown, 1, 19), F.lit(" "), F.lit("T"))
+    fraction = F.rpad(F.substring(shown, 21, 6), 6, "0")
+    return F.when(F.length(shown) == 19, whole).otherwise(F.concat(whole, F.lit("."), fraction))
 
 
 def cell_text(c: Column, kind: T.DataType, dates: bool, places: int | None = None) -> Column:
