@@ -144,8 +144,8 @@ def phrases(c):
 @query(
     "e6_identifier_hits",
     f"WITH {_PHRASES}, t AS (SELECT DISTINCT text, replace(lower(text), 'ß', 'ss') folded FROM documents)"
-    f" SELECT sha256(text) AS digest, identifier FROM t, ids WHERE contains(folded, identifier)"
-    f" AND regexp_matches(folded, {S.q(f'(^|[^{S.W}])')} || regexp_escape(identifier) || {S.q(f'($|[^{S.W}])')})",
+    f" SELECT sha256(text) AS digest, identifier FROM t, ids WHERE CASE WHEN contains(folded, identifier) THEN"
+    f" regexp_matches(folded, {S.q(f'(^|[^{S.W}])')} || regexp_escape(identifier) || {S.q(f'($|[^{S.W}])')}) ELSE false END",
 )
 def identifier_hits(c):
     texts = c.text("documents", ["text"]).select(X.digest(F.col("text")).alias("digest"), "text").dropDuplicates(["digest"])
