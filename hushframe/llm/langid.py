@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Most frequent n-grams kept of a language and compared of a document.
@@ -152,34 +152,39 @@ class Profiles:
         return self.langs[best], float(1 - far[best] / (self.top * len(own)))
 
 
-def predict_languages(docs: DataFrame, profiles: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, lang_pred, score) of each row of ``docs``, from its whole text alone.
+def language_of(profiles: DataFrame) -> Callable[[Column], Column]:
+    """A column function from texts to (lang_pred, score).
 
     A document's most frequent n-grams are compared with each language's profile: the distance is the sum of how far each
     stands out of its place there, the nearest language is predicted (ties: the first by name). ``score`` is 1 for no
     distance and 0 for the greatest. A null text, or one without a letter, is ``und`` with score 0, and so is every text
-    if nothing was learned. Ids pass through, null or repeated. Profiles are at most languages x their length, refused
-    above ``MOST_LANGUAGES``, so they fit in every task.
+    if nothing was learned. Profiles are at most languages x their length, refused above ``MOST_LANGUAGES``, so they fit
+    in every task.
     """
     languages = profiles.select("lang").distinct().count()
     if languages > MOST_LANGUAGES:
         raise ValueError(f"{languages} languages; at most {MOST_LANGUAGES}")
     known = [tuple(r) for r in profiles.collect()]
-    sent = docs.sparkSession.sparkContext.broadcast(known)
+    sent = profiles.sparkSession.sparkContext.broadcast(known)
     length = max((r[2] for r in known), default=1)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("lang_pred string, score double")
+    def predicted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = Profiles(sent.value, length)
-        for batch in batches:
-            out = [model.predict(t.as_py()) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64())],
-                ["id", "lang_pred", "score"],
+        for texts in batches:
+            out = [model.predict(t.as_py()) for t in texts]
+            yield pa.StructArray.from_arrays(
+                [pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64())], ["lang_pred", "score"]
             )
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id_col)
+    return predicted
+
+
+def predict_languages(docs: DataFrame, profiles: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, lang_pred, score) of each row of ``docs``, from its whole text alone (see ``language_of``). Ids pass through,
+    null or repeated; no rows give no rows."""
+    rows = docs.select(F.col(id_col).alias("id"), language_of(profiles)(F.col(text_col)).alias("p"))
+    return rows.select(F.col("id").alias(id_col), "p.lang_pred", "p.score")
 
 
 def held_out(id_col: str = "doc_id"):

@@ -79,13 +79,14 @@ def dedup_lines(
     ``suffix_ranks``), so the array is sorted as deep as the longest of these runs needs.
 
     Texts split at ``\\n``; lines are equal if all their characters are. Blank lines stay. A null text stays null, an
-    empty one empty; a text that loses all its lines becomes "". Among rows with the same id (nulls first) one comes
-    earlier. No rows give no rows.
+    empty one empty; a text that loses all its lines becomes "". A null id comes first; of rows with the same id and
+    different texts one comes first in every run; rows with the same id and text are one document, and each gets its new
+    text. No rows give no rows.
     """
-    row, gone_col = fresh(docs, "row_no"), fresh(docs, "lines_gone")
-    removed = fresh(docs, "lines_removed")
-    kept = written(docs.withColumn(row, F.monotonically_increasing_id()), "docs")
-    lines = kept.select(
+    row, gone_col, removed = fresh(docs, "row_key"), fresh(docs, "lines_gone"), fresh(docs, "lines_removed")
+    name = F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.lit("\x00"), F.col(text_col))
+    keyed = docs.withColumn(row, F.substring(F.unhex(F.sha2(name, 256)), 1, 16))
+    lines = keyed.select(
         F.col(id_col).alias("doc"), F.col(row).alias("row"), F.posexplode(numbered_lines(F.col(text_col))).alias("at", "x")
     )
     lines = lines.select(
@@ -93,7 +94,8 @@ def dedup_lines(
     )
     lines = written(lines, "lines")
     repeated = lines.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    active = written(lines.join(_ranked(repeated, ["id"], "names"), "id").drop("id"), "active")
+    active = lines.join(_ranked(repeated, ["id"], "names"), "id").select("doc", "row", "at", "words", "rank")
+    active = written(active.distinct(), "active")
     runs = written(_runs(active, least_words), "runs")
     longest = runs.agg(F.max("size")).first()[0] or 1
     ranks = suffix_ranks(active, longest)
@@ -103,16 +105,15 @@ def dedup_lines(
     at2 = ranks.select("level", "row", F.col("at").alias("second"), F.col("rank").alias("r2"))
     named = runs.withColumn("second", second).join(at1, ["level", "row", "start"]).join(at2, ["level", "row", "second"])
     named = written(named.select("size", "r1", "r2", "doc", "row", "start"), "named")
-    # a row number stands for the order within equal ids only
     first = named.groupBy("size", "r1", "r2").agg(F.min(F.struct("doc", "row", "start")).alias("first"), F.count(F.lit(1)).alias("n"))
     first = written(first.filter("n > 1").drop("n"), "first")
     later = named.join(first, ["size", "r1", "r2"]).filter(
-        ~(F.col("row").eqNullSafe(F.col("first.row")) & (F.col("start") == F.col("first.start")))
+        (F.col("row") != F.col("first.row")) | (F.col("start") != F.col("first.start"))
     )
     places = later.select("row", F.explode(F.sequence("start", F.col("start") + F.col("size") - 1)).alias("at"))
     gone = written(places.groupBy("row").agg(F.collect_set("at").alias("at")), "gone")
     gone = gone.select(F.col("row").alias(row), F.col("at").alias(gone_col))
-    out = kept.join(gone, row, "left")
+    out = keyed.join(gone, row, "left")
     lines_now = F.split(F.col(text_col), "\n")
     numbers = F.transform(numbered_lines(F.col(text_col)), lambda x: x["line"])
     lost = F.transform(F.col(gone_col), lambda a: F.get(numbers, a))

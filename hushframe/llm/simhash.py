@@ -2,21 +2,23 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh64_intdigest
+from xxhash import xxh3_128_digest, xxh64_intdigest
 
-from .common import written
+from .common import width, written
 from .components import components
 
 #: Shingles whose bits are counted at once.
 CHUNK = 1 << 16
-#: Fingerprints of one anchor that one comparison takes; an anchor with more is cut into squares of this side.
-SIDE = 4096
+#: Rows of one anchor that one comparison takes; an anchor with more is cut into squares of half as many.
+SIDE = 8192
 _BITS = np.arange(64, dtype=np.uint64)
 
 
@@ -80,19 +82,26 @@ def anchors(half: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each fingerprint once for each different anchor of either half."""
+    """(anchor, node, fp, home, check) for each different anchor of either half of each of a node's fingerprints. An anchor's
+    number holds the place of the fingerprint and the half, so that only like halves meet."""
     for batch in batches:
         for at in range(0, batch.num_rows, 4096):
-            fp = batch.column(0).slice(at, 4096).to_numpy(zero_copy_only=False).view(np.uint64)
-            for part in (0, 1):
-                to, home = anchors((fp >> np.uint64(32 * part)) & np.uint64(0xFFFFFFFF))
-                first = np.ones(to.shape, bool)
-                first[:, 1:] = to[:, 1:] != home[:, None]
-                row, col = np.nonzero(first)
-                key = to[row, col] | (np.uint64(part) << np.uint64(32))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(key.view(np.int64)), pa.array(fp[row].view(np.int64)), pa.array(col == 0)], ["anchor", "fp", "home"]
-                )
+            part = batch.slice(at, 4096)
+            prints = np.array(part.column(1).to_pylist(), np.int64).reshape(part.num_rows, -1).view(np.uint64)
+            for which in range(prints.shape[1]):
+                for half in (0, 1):
+                    fp = np.ascontiguousarray(prints[:, which])
+                    to, home = anchors((fp >> np.uint64(32 * half)) & np.uint64(0xFFFFFFFF))
+                    first = np.ones(to.shape, bool)
+                    first[:, 1:] = to[:, 1:] != home[:, None]
+                    row, col = np.nonzero(first)
+                    key = to[row, col] | (np.uint64(2 * which + half) << np.uint64(32))
+                    rows = pa.array(row)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(key.view(np.int64)), part.column(0).take(rows), pa.array(fp[row].view(np.int64)), pa.array(col == 0),
+                         part.column(2).take(rows)],
+                        ["anchor", "node", "fp", "home", "check"],
+                    )
 
 
 def _roots(n: int, pairs: np.ndarray) -> np.ndarray:
@@ -111,94 +120,128 @@ def _roots(n: int, pairs: np.ndarray) -> np.ndarray:
     return np.array([find(i) for i in range(n)])
 
 
-def _linked(fp: np.ndarray, home: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links among the fingerprints of one square, thinned to a forest: enough to join what the square joins."""
-    root = np.arange(len(fp))
-    for at in range(0, len(fp), 256):
-        if not home[at : at + 256].any():
-            continue
-        near = np.bitwise_count(fp[at : at + 256, None] ^ fp[None, :]) <= most
-        near &= home[at : at + 256, None] | home[None, :]
-        i, j = np.nonzero(near)
-        pairs = np.stack([root[i + at], root[j]], axis=1)
-        pairs = np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0)
-        if len(pairs):
-            root = _roots(len(fp), pairs)[root]
-    moved = np.nonzero(root != np.arange(len(fp)))[0]
-    return fp[moved], fp[root[moved]]
-
-
-def _compare(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by group; of each group the links. Groups of few rows are compared together, by their distance in
-    the sorted rows; a group has at most two sides of a square."""
-    rest: tuple[np.ndarray, ...] = ()
-
-    def links(group: np.ndarray, fp: np.ndarray, home: np.ndarray) -> Iterator[pa.RecordBatch]:
-        starts = np.nonzero(np.append(True, group[1:] != group[:-1]))[0]
-        sizes = np.diff(np.append(starts, len(group)))
-        a, b = [], []
+class _Rows:
+    """Columns of sorted rows; ``check`` is an array of rows with the same number of words, which may be none."""
+
+    def __init__(self, group, node, fp, home, check) -> None:
+        self.group, self.node, self.fp, self.home, self.check = group, node, fp, home, check
+
+    @classmethod
+    def of(cls, batch: pa.RecordBatch) -> _Rows:
+        group, node, fp, home = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+        check = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint64).reshape(len(group), -1)
+        return cls(group, node, fp.view(np.uint64), home.astype(bool), check)
+
+    def __getitem__(self, at) -> _Rows:
+        return _Rows(self.group[at], self.node[at], self.fp[at], self.home[at], self.check[at])
+
+    def then(self, other: _Rows) -> _Rows:
+        return _Rows(*(np.concatenate([getattr(self, n), getattr(other, n)]) for n in ("group", "node", "fp", "home", "check")))
+
+
+def _near(a: _Rows, b: _Rows, most: int, far: int) -> np.ndarray:
+    """Whether rows of ``a`` and ``b`` (broadcast) are linked."""
+    near = (np.bitwise_count(a.fp ^ b.fp) <= most) & (a.home | b.home)
+    if a.check.shape[-1]:
+        near &= sum(np.bitwise_count(a.check[..., i] ^ b.check[..., i]).astype(np.int64) for i in range(a.check.shape[-1])) <= far
+    return near
+
+
+def _linked(rows: _Rows, most: int, far: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links among the rows of one group, thinned to a forest: enough to join what the group joins."""
+    n = len(rows.fp)
+    root = np.arange(n)
+    for at in range(0, n, 256):
+        if rows.home[at:].any():
+            i, j = np.nonzero(_near(rows[at : at + 256][:, None], rows[at:][None], most, far))
+            pairs = np.stack([root[i + at], root[j + at]], axis=1)
+            pairs = np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0)
+            if len(pairs):
+                root = _roots(n, pairs)[root]
+    moved = np.nonzero(root != np.arange(n))[0]
+    return rows.node[moved], rows.node[root[moved]]
+
+
+def _compare(batches: Iterator[pa.RecordBatch], most: int, far: int) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by group; the links of each group. Groups of few rows are compared together, by their distance in
+    the sorted rows. A group above ``SIDE`` rows yields its number (as a, b null) and is compared in squares later."""
+    rest: _Rows | None = None
+    large = None
+
+    def out(a: np.ndarray, b) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(a), 1 << 16):
+            part = slice(at, at + (1 << 16))
+            second = pa.nulls(len(a[part]), pa.int64()) if b is None else pa.array(b[part])
+            yield pa.RecordBatch.from_arrays([pa.array(a[part]), second], ["na", "nb"])
+
+    def links(rows: _Rows) -> Iterator[pa.RecordBatch]:
+        starts = np.nonzero(np.append(True, rows.group[1:] != rows.group[:-1]))[0]
+        sizes = np.diff(np.append(starts, len(rows.group)))
         small = np.repeat(sizes <= 32, sizes)
         for d in range(1, int(min(32, sizes.max(initial=1)))):
-            same = (group[d:] == group[:-d]) & small[d:] & (home[d:] | home[:-d])
-            i = np.nonzero(same)[0]
-            i = i[np.bitwise_count(fp[i] ^ fp[i + d]) <= most]
-            a.append(fp[i])
-            b.append(fp[i + d])
+            i = np.nonzero((rows.group[d:] == rows.group[:-d]) & small[d:])[0]
+            i = i[_near(rows[i], rows[i + d], most, far)]
+            yield from out(rows.node[i], rows.node[i + d])
         for k in np.nonzero(sizes > 32)[0]:
-            s = slice(starts[k], starts[k] + sizes[k])
-            x, y = _linked(fp[s], home[s], most)
-            a.append(x)
-            b.append(y)
-        if a:
-            x, y = np.concatenate(a), np.concatenate(b)
-            for at in range(0, len(x), 1 << 16):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(v[at : at + (1 << 16)].view(np.int64)) for v in (x, y)], ["fa", "fb"]
-                )
+            yield from out(*_linked(rows[starts[k] : starts[k] + sizes[k]], most, far))
 
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
-        cols = [cols[0], cols[1].view(np.uint64), cols[2].astype(bool)]
-        if rest:
-            cols = [np.concatenate(p) for p in zip(rest, cols)]
-        cut = int(np.searchsorted(cols[0], cols[0][-1]))  # the last group may go on
-        if cut:
-            yield from links(*(c[:cut] for c in cols))
-        rest = tuple(c[cut:] for c in cols)
-    if rest:
-        yield from links(*rest)
-
-
-def near_links(fps: DataFrame, most: int = 3) -> DataFrame:
-    """(fa, fb): links between different fingerprints (column ``fp``, each once) that differ in ``most`` <= 3 bits or fewer.
-
-    Of two such fingerprints, one half differs in at most one bit. Each half has its covering code (see ``anchors``), so
-    both meet at an anchor that is the home of one of them. Within an anchor the links are thinned to a forest, so that n
-    alike fingerprints give n - 1 rows.
-
-    An anchor with more than ``SIDE`` rows is cut: its rows get one of k columns by hash, and each row goes to the k
-    squares of its column. No task gets more than two sides of a square at once, and every pair meets in a square.
+        for at in range(0, batch.num_rows, SIDE):
+            rows = _Rows.of(batch.slice(at, SIDE))
+            if large is not None:
+                rows = rows[rows.group != large]
+                if not len(rows.group):
+                    continue
+                large = None
+            if rest is not None:
+                rows = rest.then(rows)
+            cut = int(np.searchsorted(rows.group, rows.group[-1]))  # the last group may go on
+            if cut:
+                yield from links(rows[:cut])
+            rest = rows[cut:]
+            if len(rest.group) > SIDE:
+                large, rest = rest.group[0], None
+                yield from out(np.array([large]), None)
+    if rest is not None:
+        yield from links(rest)
+
+
+def near_links(nodes: DataFrame, most: int = 3, far: int = 0) -> DataFrame:
+    """(a, b): links between rows of ``nodes``, (node long, prints array<long>, check binary), each with its own node and as
+    many fingerprints as the others. Two rows are linked if one of their fingerprints differs in ``most`` <= 3 bits or
+    fewer and, where ``check`` isn't empty, their checks differ in ``far`` bits or fewer.
+
+    Of two fingerprints within 3 bits, one half differs in at most one bit. Each half has its covering code (see
+    ``anchors``), so both meet at an anchor that is the home of one of them. Within an anchor the links are thinned to a
+    forest, so that n alike rows give n - 1 links, not all pairs.
+
+    An anchor with more than ``SIDE`` rows is left to a second pass: its rows get one of k columns by hash, and each row
+    goes to the k squares of its column. A square has about ``SIDE`` rows, and every pair of the anchor meets in one.
     """
     if not 0 <= most <= 3:
         raise ValueError("most: 0 to 3; each half of a pair must differ in at most one bit")
-    sent = written(fps.mapInArrow(_sent, "anchor long, fp long, home boolean"), "anchors")
-    large = written(sent.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > SIDE), "large")
-    grouped = sent.withColumn("group", F.xxhash64("anchor"))
+    parts = width(nodes.sparkSession)
+    sent = nodes.mapInArrow(_sent, "anchor long, node long, fp long, home boolean, check binary")
+
+    def compared(rows: DataFrame, group: str) -> DataFrame:
+        rows = rows.select(F.col(group).alias("group"), "node", "fp", "home", "check")
+        rows = rows.repartition(parts, "group").sortWithinPartitions("group")
+        return written(rows.mapInArrow(lambda it: _compare(it, most, far), "na long, nb long"), "links")
+
+    found = compared(sent, "anchor")
+    large = found.filter("nb is null").select(F.col("na").alias("anchor"))
+    links = found.filter("nb is not null")
     if large.limit(1).count():
-        cuts = large.select("anchor", F.ceil(F.col("n") / (SIDE // 2)).cast("int").alias("k"))
-        own = F.pmod(F.xxhash64("fp"), "k").cast("int")
-        square = F.struct(F.least("own", "to").alias("x"), F.greatest("own", "to").alias("y"))
-        squares = (
-            sent.join(cuts, "anchor").withColumn("own", own)
-            .withColumn("to", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-            .select(F.xxhash64("anchor", square).alias("group"), "fp", "home", "anchor")
-        )
-        grouped = grouped.join(large.select("anchor"), "anchor", "left_anti").unionByName(squares, allowMissingColumns=True)
-    parts = max(1, int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    rows = grouped.select("group", "fp", "home").repartition(parts, "group").sortWithinPartitions("group")
-    return rows.mapInArrow(lambda it: _compare(it, most), "fa long, fb long")
+        busy = written(sent.join(large, "anchor"), "busy")
+        counts = busy.groupBy("anchor").agg(F.ceil(F.count(F.lit(1)) / (SIDE // 4)).cast("int").alias("k"))
+        cut = busy.join(written(counts, "columns"), "anchor").withColumn("own", F.pmod(F.xxhash64("node"), "k").cast("int"))
+        cut = cut.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+        squares = cut.withColumn("square", F.xxhash64("anchor", F.least("own", "to"), F.greatest("own", "to")))
+        found = compared(squares, "square")
+        if found.filter("nb is null").limit(1).count():
+            raise RuntimeError("a square of an anchor has more rows than a comparison takes")
+        links = links.unionByName(found)
+    return links.select(F.col("na").alias("a"), F.col("nb").alias("b"))
 
 
 def near_components(docs: DataFrame, words: int = 3, most: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -212,8 +255,8 @@ def near_components(docs: DataFrame, words: int = 3, most: int = 3, id_col: str
     prints = written(fingerprints(docs, words, id_col, text_col), "fingerprints")
     # a fingerprint's own number, the smallest id that has it, names it among the links
     nodes = written(prints.groupBy("fp").agg(F.min("id").alias("first")), "nodes")
-    links = written(near_links(nodes.select("fp"), most).distinct(), "links")
-    named = components(links.select(F.col("fa").alias("a"), F.col("fb").alias("b")))
+    sides = nodes.select(F.col("fp").alias("node"), F.array("fp").alias("prints"), F.lit("").cast("binary").alias("check"))
+    named = components(near_links(sides, most))
     whole = nodes.join(named, nodes["fp"] == named["node"], "left").select(
         "fp", "first", F.coalesce("component", "fp").alias("class")
     )
@@ -222,3 +265,73 @@ def near_components(docs: DataFrame, words: int = 3, most: int = 3, id_col: str
     ids = written(whole.join(least, "class").select("fp", "component_id"), "component_ids")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return prints.join(ids, "fp").select(F.col("id").alias(id_col), hexed.alias("fingerprint"), "component_id")
+
+
+#: Fingerprints of words, one of which must be within 3 bits, and bits of the check of 5-word shingles. Two texts that
+#: share a part s of their shingles (Jaccard) differ in acos(2s / (1 + s)) / pi of the bits: 19.4 of 128 for s = 0.8.
+PRINTS, CHECK_BITS = 3, 128
+
+
+def _far(similarity: float, bits: int = CHECK_BITS) -> int:
+    return int(bits * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+
+
+def _majority(strings: Iterator[bytes], weights: np.ndarray, seeds: int) -> np.ndarray:
+    """Words of 64 bits, two for each seed, set where more than half of the weight has the bit set in its XXH3 hash."""
+    ones = np.zeros(128 * seeds, np.int64)
+    for at in range(0, len(weights), CHUNK):
+        part = list(islice(strings, CHUNK))
+        for seed in range(seeds):
+            raw = np.frombuffer(b"".join([xxh3_128_digest(s, seed) for s in part]), np.uint8).reshape(-1, 16)
+            bits = np.unpackbits(raw, axis=1, bitorder="little")
+            own = weights[at : at + CHUNK]
+            ones[128 * seed : 128 * (seed + 1)] += bits.sum(axis=0, dtype=np.int64) if (own == 1).all() else own @ bits
+    return np.packbits(ones * 2 > weights.sum(), bitorder="little").view(np.uint64)
+
+
+def similar_prints(text: str, words: int = 5) -> tuple[np.ndarray, bytes]:
+    """(fingerprints of the words, check of the shingles) of a whole text."""
+    found = text.encode().lower().split()
+    if not found:
+        return np.zeros(PRINTS, np.uint64), bytes(CHECK_BITS // 8)
+    count = Counter(found)
+    prints = _majority(iter(count), np.fromiter(count.values(), np.int64, len(count)), 2)[:PRINTS]
+    n = max(1, len(found) - words + 1)
+    shingles = map(b" ".join, zip(*(islice(found, i, None) for i in range(words)))) if len(found) >= words else iter([b" ".join(found)])
+    return prints, _majority(shingles, np.ones(n, np.int64), 1).tobytes()
+
+
+def similar_components(
+    docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """(id, component_id): near-duplicate groups by SimHash, for texts less alike than a few bits of one fingerprint show.
+
+    Two texts are linked if their ``words``-word shingles, compared by 128 bits of SimHash, agree as those of texts with a
+    Jaccard ``similarity`` do on average or better, and one of three fingerprints of their single words differs in 3 bits
+    or fewer, which finds them at an anchor. The smallest id reachable names a group. Nulls, empty and blank texts are
+    never linked and have their own id; equal texts always share a group. Ids are integers; a row with a null id has none.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = [similar_prints(t.as_py(), words) for t in batch.column(1)]
+            prints = pa.array([p.view(np.int64).tolist() for p, _ in both], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(2), prints, pa.array([c for _, c in both], pa.binary())], ["id", "digest", "prints", "check"]
+            )
+
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = rows.filter(F.col("text").rlike(r"[^\x20\x09-\x0D]") & F.col("id").isNotNull())
+    rows = rows.withColumn("digest", F.unhex(F.sha2("text", 256)))
+    prints = written(rows.mapInArrow(run, "id long, digest binary, prints array<bigint>, check binary"), "prints")
+    # a text's own number is the smallest id that has it
+    nodes = prints.groupBy("digest").agg(F.min("id").alias("node"), F.first("prints").alias("prints"), F.first("check").alias("check"))
+    nodes = written(nodes, "nodes")
+    named = written(components(near_links(nodes.select("node", "prints", "check"), 3, _far(similarity))), "components")
+    # the least node of a component is its least id
+    texts = nodes.select("digest", "node").join(named, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
+    texts = written(texts, "texts")
+    found = prints.select("id", "digest").join(texts, "digest").select("id", "component_id")
+    others = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    others = others.filter(~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)) | F.col("id").isNull())
+    return found.unionByName(others.select("id", F.col("id").alias("component_id"))).withColumnRenamed("id", id_col)
