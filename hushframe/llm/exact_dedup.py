@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from .common import width
 
+#: Characters of a text that its splitter holds.
+HEAD = 64
+
 
 def exact_groups(
     docs: DataFrame,
@@ -19,7 +22,8 @@ def exact_groups(
 ) -> DataFrame:
     """(id, keep_id, group_size, kept, text_sha256): one row for each row of ``docs``.
 
-    Sampled splitters range-partition the normalised texts, each task sorts its range (spilling to disk), and
+    Sampled splitters range-partition the normalised texts, by their first characters and then their hash, so that no
+    splitter is long and texts with a common beginning still spread. Each task sorts its range (spilling to disk), and
     neighbours that are equal in full form a group. ``keep`` says whether the ``smallest`` or the ``largest`` id stays.
 
     A text with more copies than a quarter of a task's fair share is cut into slices that sort apart, so that no task
@@ -45,8 +49,9 @@ def exact_groups(
     sliced = texts.join(F.broadcast(hot), "sha", "left").withColumn(
         "slice", F.coalesce(F.pmod(F.xxhash64("id"), "slices"), F.lit(0)).cast("int")
     )
-    ranged = sliced.repartitionByRange(tasks, "body", "slice")
-    equal = Window.partitionBy("body", "slice")
+    # splitters are sampled rows that pass through the driver: a text's first characters and its hash stand for it there
+    ranged = sliced.withColumn("head", F.substring("body", 1, HEAD)).repartitionByRange(tasks, "head", "sha", "slice")
+    equal = Window.partitionBy("head", "sha", "slice", "body")
     ordered = equal.orderBy(F.col("id").desc_nulls_last() if last else F.col("id").asc_nulls_last())
     grouped = (
         ranged.withColumn("place", F.row_number().over(ordered))
