@@ -49,7 +49,8 @@ def _phi(z: float) -> float:
 
 def battery(run: str) -> tuple[int, int, float, bool] | None:
     """(encoding, length, chi-squared, random): whether the run passes for random in its encoding by all three tests:
-    chi-squared of the alphabet's uniformity, runs above and below the alphabet's middle, and serial correlation."""
+    uniformity of the alphabet (chi-squared, and no class of it missing that chance would hardly leave out), runs above and
+    below the alphabet's middle, and serial correlation."""
     body = run.rstrip("=")
     used = set(body)
     if used <= set(_DIGITS):
@@ -73,6 +74,10 @@ def battery(run: str) -> tuple[int, int, float, bool] | None:
     d = v - v.mean()
     serial = float((d[1:] * d[:-1]).sum()) / float((d * d).sum())
     ok = 1 - _phi(z_chi) >= ALPHA
+    letters = ENCODINGS[code][1]
+    for kind in (_DIGITS, _LOWER, _UPPER):
+        share = sum(c in kind for c in letters) / m
+        ok &= not share or (1 - share) ** n >= 2 * ALPHA or not used.isdisjoint(kind)
     ok &= 2 * _phi(-abs(runs - mean) / spread) >= ALPHA
     ok &= 2 * _phi(-abs(serial + 1 / n) * math.sqrt(n)) >= ALPHA
     return code, n, chi, ok
