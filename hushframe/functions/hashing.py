@@ -16,12 +16,15 @@ LANE = "decimal(38,0)"
 
 
 def framed(columns: list[Column]) -> Column:
-    """Unambiguous text of several cells: each is preceded by its length."""
-    return F.concat(*[F.concat(F.length(c).cast("string"), F.lit(":"), c) for c in columns])
+    """Unambiguous text of several cells: each is preceded by its length, a NULL is a mark of its own."""
+    cells = [c.cast("string") for c in columns]
+    return F.concat(
+        *[F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), c), F.lit("-")) for c in cells]
+    )
 
 
 def feature_lane(seed: int, *parts: Column) -> Column:
-    return F.xxhash64(F.lit(seed), *parts).cast("decimal(20,0)")
+    return F.xxhash64(F.lit(seed), framed(list(parts))).cast("decimal(20,0)")
 
 
 def feature_sums(cells: list[tuple[Column, ...]], lanes: int = 2) -> list[Column]:

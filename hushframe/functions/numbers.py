@@ -70,15 +70,36 @@ def canonical_numeric(
     return F.when(c == "", F.lit("")).when(ok, inside)
 
 
+# A power of ten beyond this is far outside any bin, on either side; digits stop here.
+_FAR_POWER = 4096
+
+
+def _without_exponent(text: Column) -> Column:
+    """``text`` with its exponent carried out by moving the decimal point."""
+    shape = r"^([+-]?)([0-9]*)\.?([0-9]*)[eE]([+-]?[0-9]+)\z"
+    sign, whole, part = (F.regexp_extract(text, shape, i) for i in (1, 2, 3))
+    # a power of more than nine digits doesn't fit an integer
+    tail = F.regexp_extract(text, shape, 4)
+    power = F.when(tail.rlike("^-"), -_FAR_POWER).otherwise(_FAR_POWER)
+    power = F.coalesce(tail.try_cast("int"), power)
+    power = F.least(F.greatest(power, F.lit(-_FAR_POWER)), F.lit(_FAR_POWER))
+    digits, point = F.concat(whole, part), F.length(whole) + power
+    n = F.length(digits)
+    moved = (
+        F.when(point <= 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), digits))
+        .when(point >= n, F.concat(digits, F.repeat(F.lit("0"), point - n)))
+        .otherwise(F.concat(F.substring(digits, F.lit(1), point), F.lit("."), F.substring(digits, point + 1, n)))
+    )
+    return F.when(text.rlike(shape), F.concat(sign, moved))
+
+
 def _plain_signed(c: Column) -> tuple[Column, Column]:
     """(negative?, canonical magnitude text) of a finite decimal text.
 
-    Exponent forms go through DECIMAL(38,18); plain forms stay exact at any length.
+    Both plain and exponent forms stay exact: the decimal point is moved in the text.
     """
     text = F.regexp_replace(c, rf"[{SPACE}_]", "")
-    expanded = F.when(text.rlike("[eE]"), text.try_cast("decimal(38,18)").cast("string")).otherwise(
-        text
-    )
+    expanded = F.when(text.rlike("[eE]"), _without_exponent(text)).otherwise(text)
     negative = F.startswith(expanded, F.lit("-"))
     digits = F.regexp_replace(expanded, r"^[+-]", "")
     digits = F.regexp_replace(digits, r"^\.", "0.")

@@ -31,8 +31,7 @@ AFFILIATION = (
 TITLED_NAME = (
     rf"(?<![{WORD}])(?:Dr|Prof|Professor|By)\.?[{X.SPACE}]+[A-Z][a-z]+(?:[{X.SPACE}]+[A-Z][a-z]+){{1,3}}(?![{WORD}])"
 )
-TERM_MIN, TERM_MAX, MAX_TERMS = 3, 256, 64
-SUGGESTIONS, EXCERPT = 32, 160
+TERM_MIN, TERM_MAX = 3, 256
 AUTHOR_METADATA = (
     "creator", "lastModifiedBy", "revision", "created", "modified", "Company", "Manager",
 )
@@ -133,15 +132,15 @@ def unique_terms(terms: DataFrame) -> DataFrame:
     return first.select("doc_id", "first.at", "first.kind", "value")
 
 
-def check_terms(terms: DataFrame, max_terms: int = MAX_TERMS) -> None:
-    """Refuse malformed terms and documents with more terms than allowed."""
+def check_terms(terms: DataFrame, max_terms: int | None = None) -> None:
+    """Refuse malformed terms and, where a limit is given, documents with more terms."""
     per_doc = terms.groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("n"),
         F.sum(bad_term(F.col("value"), F.col("kind")).cast("long")).alias("bad"),
     )
     row = per_doc.agg(
         F.coalesce(F.sum("bad"), F.lit(0)).alias("bad_terms"),
-        F.count_if(F.col("n") > max_terms).alias("documents_with_too_many_terms"),
+        F.count_if(F.col("n") > max_terms if max_terms is not None else F.lit(False)).alias("documents_with_too_many_terms"),
     ).first()
     refuse_any("terms", row.asDict())
 
@@ -322,7 +321,7 @@ def redact(
     terms: DataFrame | None = None,
     attributes: DataFrame | None = None,
     links: DataFrame | None = None,
-    max_terms: int = MAX_TERMS,
+    max_terms: int | None = None,
 ) -> Redacted:
     """Replace supplied and discovered identifiers by tokens, count them, check leaks."""
     every = found_identifiers(paras, attributes, links)
@@ -459,22 +458,24 @@ def numbered_paragraphs(df: DataFrame, doc: str, text: str, part: str = "body")
     ).select("doc_id", "part", (F.col("i") + 1).alias("para"), "text")
 
 
-def suggestions(paras: DataFrame, limit: int = SUGGESTIONS) -> DataFrame:
-    """Paragraphs hinting at authors or institutions: the first ``limit`` per document.
+def suggestions(paras: DataFrame, limit: int | None = None, excerpt: int | None = None) -> DataFrame:
+    """Paragraphs hinting at authors or institutions, found where they stand (no shuffle).
 
-    The rank filter is pushed below the shuffle (each task sends at most ``limit`` rows
-    per document), so one busy document stays small.
+    With ``limit`` only the first so many per document; that filter is pushed below the
+    shuffle. With ``excerpt`` only so many characters of each.
     """
     text = F.col("text")
     hits = paras.filter((text.rlike(AFFILIATION) | text.rlike(TITLED_NAME)) & ~X.is_blank(text))
-    order = Window.partitionBy("doc_id").orderBy("part", "para")
-    listed = hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
-    return listed.select(
+    if limit is not None:
+        order = Window.partitionBy("doc_id").orderBy("part", "para")
+        hits = hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
+    shown = X.strip(text)
+    return hits.select(
         "doc_id",
         F.substring(X.digest(F.concat_ws(":", "part", "para")), 1, 16).alias("id"),
         "part",
         "para",
-        F.substring(X.strip(text), 1, EXCERPT).alias("excerpt"),
+        (shown if excerpt is None else F.substring(shown, 1, excerpt)).alias("excerpt"),
     )
 
 

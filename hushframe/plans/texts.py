@@ -410,7 +410,7 @@ _NOTES = (
 )
 
 
-@query("k10_suggestions", f"WITH {_NOTES} SELECT doc_id, substr(sha256(part || ':' || para), 1, 16) AS id, part, para, trim(text) AS excerpt FROM ranked WHERE k <= 32")
+@query("k10_suggestions", f"WITH {_NOTES} SELECT doc_id, substr(sha256(part || ':' || para), 1, 16) AS id, part, para, trim(text) AS excerpt FROM ranked")
 def suggested(c):
     return D.suggestions(notes(c))
 
@@ -430,7 +430,7 @@ def document_lines(c):
 
 @query(
     "k11_removed_paragraphs",
-    f"WITH {_NOTES} SELECT n.doc_id, n.para FROM notes n WHERE NOT EXISTS (SELECT 1 FROM ranked r WHERE r.k <= 32 AND r.doc_id = n.doc_id AND r.para = n.para AND r.text LIKE 'Department%')",
+    f"WITH {_NOTES} SELECT n.doc_id, n.para FROM notes n WHERE NOT EXISTS (SELECT 1 FROM ranked r WHERE r.doc_id = n.doc_id AND r.para = n.para AND r.text LIKE 'Department%')",
 )
 def removed_paragraphs(c):
     paras = notes(c)

@@ -11,7 +11,7 @@ from ..operators.protect import Protected
 from ..operators.risk import validate, validate_related
 from ..policy import Policy
 from ..sources.rows import ROW
-from ..sources.tables import data_columns, quoted
+from ..sources.tables import CSV, data_columns, quoted
 
 
 def exists(spark, path: str) -> bool:
@@ -27,8 +27,7 @@ def write_table(df: DataFrame, columns: list[str], path: str, fmt: str = "parque
     refuse_if(any(f.dataType.simpleString() != "string" for f in out.schema), "non-text output")
     writer = out.write.mode("errorifexists")
     if fmt == "csv":
-        # Quote everything, so that blank and missing stay the same on the way back.
-        writer = writer.options(header=True, quoteAll=True, escape='"', emptyValue="")
+        writer = writer.options(**CSV)
     writer.format(fmt).save(path)
 
 

@@ -13,6 +13,12 @@ from ..workspace import Workspace
 from .rows import ROW, number_block_rows, number_file_rows
 
 RESERVED = ("record_id", "entity_id")
+# How CSV is read and written alike: every cell quoted, a quote inside doubled, line breaks kept. A file is then one
+# split; large tables have many files.
+CSV = {
+    "header": True, "multiLine": True, "quote": '"', "escape": '"', "quoteAll": True, "emptyValue": "",
+    "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "lineSep": "\n",
+}
 
 
 def data_columns(df: DataFrame) -> list[str]:
@@ -142,7 +148,7 @@ def load_table(
     for path in [paths] if isinstance(paths, str) else paths:
         reader = spark.read if schema is None else spark.read.schema(schema)
         if fmt == "csv":
-            reader = reader.options(header=True, inferSchema=False, multiLine=False)
+            reader = reader.options(**CSV)
         raw = reader.format(fmt).load(path)
         if columns is not None:
             raw = raw.select(*[quoted(c) for c in columns])
