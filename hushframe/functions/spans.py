@@ -26,8 +26,6 @@ from .text import (
 )
 
 SPAN = "struct<reason:string,start:int,end:int>"
-MAX_SPANS_PER_TEXT = 128
-MAX_SPANS = 1024
 
 
 def _span(reason: str, start: Column, end: Column) -> Column:
@@ -126,8 +124,8 @@ def word_bounded_starts(folded: Column, needle: Column) -> Column:
     return F.when(at_front, starts).otherwise(F.slice(starts, 2, F.greatest(F.size(starts) - 1, F.lit(0))))
 
 
-def utf16_spans(c: Column, spans: Column) -> Column:
-    """Distinct spans with UTF-16 offsets, by (start, end, reason), the first 128."""
+def utf16_spans(c: Column, spans: Column, limit: int | None = None) -> Column:
+    """Distinct spans with UTF-16 offsets, by (start, end, reason); with ``limit`` the first so many."""
 
     def units(position: Column) -> Column:
         before = F.substring(c, 1, position)
@@ -140,7 +138,7 @@ def utf16_spans(c: Column, spans: Column) -> Column:
         )
     )
     return F.transform(
-        F.slice(ordered, 1, MAX_SPANS_PER_TEXT),
+        ordered if limit is None else F.slice(ordered, 1, limit),
         lambda s: F.struct(
             s["reason"].alias("reason"),
             units(s["start"]).alias("start"),

@@ -103,7 +103,6 @@ def review_findings(reviews: DataFrame, identifiers: DataFrame) -> DataFrame:
         "origin", F.when(moved & F.col("known").isNotNull(), ids.fold_origins("approved"))
     )
     issues = S.issue_spans(F.col("approved"))
-    room = F.greatest(F.lit(S.MAX_SPANS_PER_TEXT) - F.size("found"), F.lit(0))
 
     def to_span(k):
         end = k["start"] + k["width"]
@@ -116,7 +115,7 @@ def review_findings(reviews: DataFrame, identifiers: DataFrame) -> DataFrame:
         )
 
     known = F.coalesce(F.col("known"), F.array())
-    spans = F.concat(F.col("found"), F.transform(F.slice(known, 1, room), to_span))
+    spans = F.concat(F.col("found"), F.transform(known, to_span))
     codes = F.concat(
         X.text_issues(F.col("approved")),
         F.when(F.col("known").isNotNull(), F.array(F.lit("known_identifier"))).otherwise(
@@ -130,13 +129,16 @@ def review_findings(reviews: DataFrame, identifiers: DataFrame) -> DataFrame:
     )
 
 
-def first_spans(findings: DataFrame, order: str, limit: int = S.MAX_SPANS) -> DataFrame:
-    """The first ``limit`` spans over all texts, in the given order of the texts.
+def first_spans(findings: DataFrame, order: str, limit: int | None = None) -> DataFrame:
+    """The texts with spans; with ``limit`` the first so many spans, in the given order of the texts.
 
     Each listed text holds at least one span, so the first ``limit`` texts suffice: a
     top-k selection first, then a running sum over those few rows.
     """
-    top = findings.filter(F.size("spans") > 0).orderBy(order).limit(limit)
+    listed = findings.filter(F.size("spans") > 0)
+    if limit is None:
+        return listed
+    top = listed.orderBy(order).limit(limit)
     before = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     used = F.coalesce(F.sum(F.size("spans")).over(before), F.lit(0))
     room = F.greatest(F.lit(limit) - used, F.lit(0)).cast("int")

@@ -97,7 +97,7 @@ _UTF16 = (
 
 @query(
     "e4_utf16_spans",
-    f"{_UTF16} SELECT reason, count(*) n, CAST(sum(s) AS BIGINT) starts, CAST(sum(e) AS BIGINT) ends FROM ranked WHERE k <= 128 GROUP BY reason",
+    f"{_UTF16} SELECT reason, count(*) n, CAST(sum(s) AS BIGINT) starts, CAST(sum(e) AS BIGINT) ends FROM ranked GROUP BY reason",
 )
 def utf16_spans(c):
     v = F.col("text")
@@ -109,11 +109,10 @@ def utf16_spans(c):
 
 @query(
     "e4_first_spans",
-    f"{_UTF16}, capped AS (SELECT * FROM ranked WHERE k <= 128 ORDER BY id, k LIMIT 1024)"
-    " SELECT CAST(id AS VARCHAR) doc_id, count(*) n, CAST(sum(s) AS BIGINT) starts FROM capped GROUP BY id",
+    f"{_UTF16} SELECT CAST(id AS VARCHAR) doc_id, count(*) n, CAST(sum(s) AS BIGINT) starts FROM ranked GROUP BY id",
 )
 def first_spans(c):
-    """Spans shown over all texts: the first 1,024, in document order."""
+    """Spans shown over all texts."""
     v = F.col("text")
     found = c.text("documents", ["doc_id", "text"]).select("doc_id", ROW, Z.utf16_spans(v, Z.issue_spans(v)).alias("spans"))
     top = E.first_spans(found, ROW).select("doc_id", F.explode("spans").alias("s"))

@@ -224,8 +224,8 @@ def cell_counters(cells: DataFrame) -> DataFrame:
     )
 
 
-def unsafe_cells(df: DataFrame, first: int = 20) -> tuple[DataFrame, DataFrame]:
-    """(count of cells holding control characters, coordinates of the first ones).
+def unsafe_cells(df: DataFrame, first: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(count of cells holding control characters, their coordinates; with ``first`` the first ones).
 
     Coordinates are (row, column position, heading); values never leave the table.
     """
@@ -240,4 +240,5 @@ def unsafe_cells(df: DataFrame, first: int = 20) -> tuple[DataFrame, DataFrame]:
     found = df.select(ROW, F.explode(F.array_compact(F.array(*hit))).alias("c")).select(
         ROW, "c._col", "c.column"
     )
-    return found.agg(F.count(F.lit(1)).alias("cells")), found.orderBy(ROW, "_col").limit(first)
+    listed = found if first is None else found.orderBy(ROW, "_col").limit(first)
+    return found.agg(F.count(F.lit(1)).alias("cells")), listed

@@ -67,7 +67,7 @@ def test_row_shape_and_unsafe_cells(table):
     for bad in ([("", "")], [("x" * 4097, "")], [("a\x00", "b")]):
         with pytest.raises(Refused):
             T.check_row_shape(table(["a", "b"], bad))
-    total, first = T.unsafe_cells(table(["a", "b"], [("ok", "x\ty"), ("\x7f", "\n")] + [("\x01", "")] * 30))
+    total, first = T.unsafe_cells(table(["a", "b"], [("ok", "x\ty"), ("\x7f", "\n")] + [("\x01", "")] * 30), first=20)
     assert total.first().cells == 33
     got = [(r._row, r.column) for r in first.collect()]
     assert len(got) == 20 and got[:3] == [(0, "b"), (1, "a"), (1, "b")]
