@@ -4,6 +4,7 @@ import pytest
 
 import compare
 from __spark_entry__ import entry, oracle_sql, queries
+from hushframe import plans
 
 FOLDER = "/root/testdata/sf0.001"
 # One per operator family; the whole list is the comparison run's work.
@@ -20,7 +21,7 @@ def con():
 
 
 def test_every_query_has_its_statement():
-    assert set(queries()) == set(oracle_sql())
+    assert set(plans.queries()) == set(plans.oracle_sql())
 
 
 @pytest.mark.parametrize("name", SAMPLE)
