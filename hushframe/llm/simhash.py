@@ -83,7 +83,10 @@ def anchors(half: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(anchor, node, fp, home, check) for each different anchor of either half of each of a node's fingerprints. An anchor's
-    number holds the place of the fingerprint and the half, so that only like halves meet."""
+    number holds the place of the fingerprint and the half, so that only like halves meet.
+
+    Halves that differ in one bit have unlike parities, and equal halves have the same home. So a half with an even number
+    of ones waits at its home alone, where every odd neighbour comes by: an odd half goes to all its anchors."""
     for batch in batches:
         for at in range(0, batch.num_rows, 4096):
             part = batch.slice(at, 4096)
@@ -91,9 +94,11 @@ def _sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for which in range(prints.shape[1]):
                 for half in (0, 1):
                     fp = np.ascontiguousarray(prints[:, which])
-                    to, home = anchors((fp >> np.uint64(32 * half)) & np.uint64(0xFFFFFFFF))
+                    word = (fp >> np.uint64(32 * half)) & np.uint64(0xFFFFFFFF)
+                    to, home = anchors(word)
+                    odd = (np.bitwise_count(word) & 1).astype(bool)
                     first = np.ones(to.shape, bool)
-                    first[:, 1:] = to[:, 1:] != home[:, None]
+                    first[:, 1:] = (to[:, 1:] != home[:, None]) & odd[:, None]
                     row, col = np.nonzero(first)
                     key = to[row, col] | (np.uint64(2 * which + half) << np.uint64(32))
                     rows = pa.array(row)
@@ -212,7 +217,7 @@ def near_links(nodes: DataFrame, most: int = 3, far: int = 0) -> DataFrame:
     fewer and, where ``check`` isn't empty, their checks differ in ``far`` bits or fewer.
 
     Of two fingerprints within 3 bits, one half differs in at most one bit. Each half has its covering code (see
-    ``anchors``), so both meet at an anchor that is the home of one of them. Within an anchor the links are thinned to a
+    ``anchors``), so both meet at an anchor that is the home of one of them, of the one with the even half (see ``_sent``). Within an anchor the links are thinned to a
     forest, so that n alike rows give n - 1 links, not all pairs.
 
     An anchor with more than ``SIDE`` rows is left to a second pass: its rows get one of k columns by hash, and each row

@@ -6,6 +6,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
@@ -119,6 +120,29 @@ def test_every_bit_pattern_meets_at_an_anchor():
         assert (to == other_home[:, None]).any(axis=1).all() and (other_to == home[:, None]).any(axis=1).all()
 
 
+def test_sent_rows_meet():
+    """Fingerprints within 3 bits share an anchor, although even halves wait at their home alone."""
+    rnd = np.random.default_rng(2)
+    fps = rnd.integers(0, 1 << 63, 300, dtype=np.uint64)
+    other = fps.copy()
+    for _ in range(3):
+        other ^= np.uint64(1) << rnd.integers(0, 64, 300).astype(np.uint64)
+
+    def places(prints):
+        batch = pa.RecordBatch.from_arrays(
+            [pa.array(range(300)), pa.array([[int(f)] for f in prints.view(np.int64)]), pa.array([b""] * 300)], ["node", "prints", "check"]
+        )
+        out = [set() for _ in range(300)]
+        for b in simhash._sent(iter([batch])):
+            for anchor, node in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                out[node].add(anchor)
+        return out
+
+    first, second = places(fps), places(other)
+    assert all(a & b for a, b in zip(first, second))
+    assert np.mean([len(x) for x in first]) < 20
+
+
 def test_anchor_in_squares(spark, monkeypatch):
     rnd = random.Random(5)
     fps = {0xABC << 40 | rnd.randrange(1 << 12) for _ in range(400)}
