@@ -23,7 +23,7 @@ SPLIT = (
 _L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾", r"\t-\r \x85\xa0"
 SPLIT_LATIN = rf" ?[{_L}]+|'(?:s|t|re|ve|m|ll|d)| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
 #: Distinct words a task remembers; the memory is emptied when it is full, which changes no result.
-REMEMBERED = 500_000
+REMEMBERED = 100_000
 #: Words longer than this aren't remembered.
 LONG_WORD = 64
 

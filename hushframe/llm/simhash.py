@@ -156,9 +156,9 @@ def _linked(rows: _Rows, most: int, far: int) -> tuple[np.ndarray, np.ndarray]:
     """Links among the rows of one group, thinned to a forest: enough to join what the group joins."""
     n = len(rows.fp)
     root = np.arange(n)
-    for at in range(0, n, 256):
+    for at in range(0, n, 64):  # bounds the room of a comparison
         if rows.home[at:].any():
-            i, j = np.nonzero(_near(rows[at : at + 256][:, None], rows[at:][None], most, far))
+            i, j = np.nonzero(_near(rows[at : at + 64][:, None], rows[at:][None], most, far))
             pairs = np.stack([root[i + at], root[j + at]], axis=1)
             pairs = np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0)
             if len(pairs):
