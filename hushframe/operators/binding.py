@@ -143,7 +143,7 @@ def check_codebook(keymap: KeyMap) -> None:
         bad += set(fields) != set(policy.of_action("code"))
         for name, book in fields.items():
             bad += not book or len(set(book.values())) != len(book)
-            bad += sum(label not in policy.columns[name].allowed_values for label in book)
+            bad += sum(label not in policy.columns[name].domain.values for label in book)
             for label, code in book.items():
                 mine = (name, label) if name in keymap.shared else (sheet, name, label)
                 bad += owner.setdefault(code, mine) != mine

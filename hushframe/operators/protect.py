@@ -48,10 +48,10 @@ class Protected:
 def simple_value(rule: Rule, c: Column) -> Column:
     """Protected value of the rules needing no lookup; NULL where refused."""
     if rule.action == "keep":
-        return F.when(c.isin(list(rule.allowed_values)), c)
+        return F.when(c.isin(list(rule.domain.values)), c)
     if rule.action == "keep_numeric":
-        return N.canonical_numeric(c, rule.bounds, rule.max_decimal_places)
-    return N.bin_label(c, rule.bins, rule.labels)
+        return N.canonical_numeric(c, rule.domain.bounds, rule.domain.places)
+    return N.bin_label(c, rule.domain.pairs, rule.domain.labels)
 
 
 def protected_values(
@@ -74,7 +74,7 @@ def protected_values(
             side = lookup_table(spark, books[name], f"_l{i}", f"_c{i}")
             df = df.join(side, get(name) == F.col(f"_l{i}"), "left")
             values[name] = F.col(f"_c{i}")
-        elif rule.review_table:
+        elif rule.domain.from_table:
             refuse_if(name not in (reviews or {}), "a review table is missing")
             side = reviews[name].select(
                 F.col("digest").alias(f"_d{i}"), F.col("approved").alias(f"_c{i}")
@@ -82,7 +82,7 @@ def protected_values(
             df = keyed_join(df.withColumn(f"_d{i}", X.digest(get(name))), side, f"_d{i}", ROW)
             values[name] = F.col(f"_c{i}")
         elif rule.action == "review_text":
-            side = lookup_table(spark, dict(rule.text_reviews), f"_d{i}", f"_c{i}")
+            side = lookup_table(spark, dict(rule.domain.approved), f"_d{i}", f"_c{i}")
             df = df.join(side, X.digest(get(name)) == F.col(f"_d{i}"), "left")
             values[name] = F.col(f"_c{i}")
         else:
@@ -142,7 +142,7 @@ def repeated_keys(df: DataFrame, key: str = "source_key") -> DataFrame:
 
 def draw_books(policy: Policy) -> dict[str, dict[str, str]]:
     """A fresh code for every allowed label of every coded column."""
-    return {n: ids.new_codes(policy.columns[n].allowed_values) for n in policy.of_action("code")}
+    return {n: ids.new_codes(policy.columns[n].domain.values) for n in policy.of_action("code")}
 
 
 def _observed(policy: Policy, books: dict, seen: dict[str, set[str]]) -> tuple[dict, dict]:
@@ -227,7 +227,7 @@ def protect_related(
     common = {
         field: ids.new_codes(
             {v for p in policies.values() if field in p.of_action("code")
-             for v in p.columns[field].allowed_values}
+             for v in p.columns[field].domain.values}
         )
         for field in shared
     }
@@ -236,7 +236,7 @@ def protect_related(
         policy = policies[name]
         own = draw_books(policy)
         for field in set(own) & set(shared):
-            own[field] = {v: common[field][v] for v in policy.columns[field].allowed_values}
+            own[field] = {v: common[field][v] for v in policy.columns[field].domain.values}
         df, values = protected_values(source, policy, own)
         flat = df.select(
             ROW,

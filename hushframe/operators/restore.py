@@ -113,7 +113,7 @@ def restore_results(
         ]
         for i, n in enumerate(coded):
             label = src(n)
-            bad = ~label.isin(list(policy.columns[n].allowed_values)) | ~X.safe_category(label)
+            bad = ~label.isin(list(policy.columns[n].domain.values)) | ~X.safe_category(label)
             extra.append(F.count_if(bad | ~X.is_uuid4(ret(n))).alias(f"bad_code{i}"))
     outputs = [src(n) if n in coded else ret(n) for n in results]
     unsafe = any_of([X.formula_or_control(c) for c in [F.col("source_key"), *outputs]])
@@ -176,16 +176,16 @@ def decode_edits(
             df = df.join(side, get(name) == F.col(f"_ec{i}"), "left")
             decoded[name] = F.col(f"_el{i}")
         elif rule.action == "keep":
-            decoded[name] = F.when(get(name).isin(list(rule.allowed_values)), get(name))
+            decoded[name] = F.when(get(name).isin(list(rule.domain.values)), get(name))
         else:
-            decoded[name] = N.canonical_numeric(get(name), rule.bounds, rule.max_decimal_places)
+            decoded[name] = N.canonical_numeric(get(name), rule.domain.bounds, rule.domain.places)
     return df, decoded
 
 
 def changed(decoded: Column, original: Column, rule: Rule) -> Column:
     """The new value where an edit differs from the (canonical) source, else NULL."""
     before = (
-        N.canonical_numeric(original, rule.bounds, rule.max_decimal_places)
+        N.canonical_numeric(original, rule.domain.bounds, rule.domain.places)
         if rule.action == "keep_numeric"
         else original
     )

@@ -37,7 +37,7 @@ def domains(keymap: KeyMap) -> Domains:
     coded_in: dict[str, int] = {}
     for sheet, policy in keymap.policies.items():
         for name in policy.of_action("keep"):
-            d.known.setdefault(name, set()).update(policy.columns[name].allowed_values)
+            d.known.setdefault(name, set()).update(policy.columns[name].domain.values)
         for name, book in keymap.books[sheet].items():
             coded_in[name] = coded_in.get(name, 0) + 1
             d.known.setdefault(name, set()).update(book)

@@ -216,11 +216,11 @@ def check_review_source(source: DataFrame, policy: Policy, reviews: dict | None
     identifiers = source_identifiers(source, columns)
     for name in narrative:
         rule = policy.columns[name]
-        refuse_if(rule.review_table and name not in (reviews or {}), "a review table is missing")
+        refuse_if(rule.domain.from_table and name not in (reviews or {}), "a review table is missing")
         given = (
             reviews[name]
-            if rule.review_table
-            else review_table(source.sparkSession, dict(rule.text_reviews))
+            if rule.domain.from_table
+            else review_table(source.sparkSession, dict(rule.domain.approved))
         )
         approve_reviews(source, name, given, identifiers)
 

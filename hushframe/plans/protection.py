@@ -239,7 +239,7 @@ def shared_field_check(c):
             ok = True
         except Refused:
             ok = False
-        rows.append((field, ok, len(policies["customer"].columns["nation"].allowed_values)))
+        rows.append((field, ok, len(policies["customer"].columns["nation"].domain.values)))
     return c.spark.createDataFrame(rows, "field string, accepted boolean, labels long")
 
 
@@ -277,7 +277,7 @@ def gate_violations(c):
     rules = policy.columns
     stage = df.select(
         F.col("o_custkey").alias("source_key"),
-        F.when(F.col("o_orderpriority").isin(list(rules["prio"].allowed_values)), F.col("o_orderpriority")).alias("prio"),
+        F.when(F.col("o_orderpriority").isin(list(rules["prio"].domain.values)), F.col("o_orderpriority")).alias("prio"),
         simple_value(rules["price"], F.col("o_totalprice")).alias("price"),
         simple_value(rules["span"], F.col("o_totalprice")).alias("span"),
     )

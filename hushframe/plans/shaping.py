@@ -493,7 +493,7 @@ def authored_policy(c):
         .drop("c_acctbal")
         .build()
     )
-    rows = [(n, r.action, r.classification, len(r.allowed_values), p.version) for n, r in p.columns.items()]
+    rows = [(n, r.action, r.classification, len(r.domain.values), p.version) for n, r in p.columns.items()]
     return c.spark.createDataFrame(rows, "column string, action string, classification string, labels long, version int")
 
 
@@ -522,7 +522,7 @@ def narrowed_domains(c):
     source = c.text("customer")
     wide = customer_policy(source, spare=("SPARE ONE", "SPARE TWO"))
     p = protect(source, wide, c.ws).keymap.policies["table"]
-    rows = [(n, v) for n in p.of_action("code") for v in p.columns[n].allowed_values]
+    rows = [(n, v) for n in p.of_action("code") for v in p.columns[n].domain.values]
     return c.spark.createDataFrame(rows, "column string, label string")
 
 

@@ -59,7 +59,7 @@ def test_protected_values(protected):
     assert rows[0].campus == rows[1].campus != rows[2].campus == rows[3].campus
     book = protected.keymap.books["table"]
     assert set(book["campus"]) == {"Moon", "Mars"}  # observed labels only
-    assert protected.keymap.policies["table"].columns["campus"].allowed_values == ("Mars", "Moon")
+    assert protected.keymap.policies["table"].columns["campus"].domain.values == ("Mars", "Moon")
     assert protected.table.columns == ["record_id", "campus", "subject", "gpa"]
 
 
