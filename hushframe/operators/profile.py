@@ -101,16 +101,6 @@ def profile(df: DataFrame) -> DataFrame:
     )
 
 
-def quick_profile(df: DataFrame) -> DataFrame:
-    """Approximate cardinality per column in one scan without a shuffle of values."""
-    names = data_columns(df)
-    aggs = [F.approx_count_distinct(quoted(n)).alias(f"a{i}") for i, n in enumerate(names)]
-    one = df.agg(F.count(F.lit(1)).alias("n_rows"), *aggs)
-    cells = [F.struct(F.lit(n).alias("column"), F.col(f"a{i}").alias("cardinality"))
-             for i, n in enumerate(names)]
-    return one.select(F.explode(F.array(*cells)).alias("c"), "n_rows").select("c.*", "n_rows")
-
-
 def type_counts(df: DataFrame) -> DataFrame:
     """Inferred type per column straight from one aggregate (no shuffle of values)."""
     names = data_columns(df)

@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..errors import Refused, refuse_any, refuse_if
+from ..errors import refuse_any, refuse_if
 from ..functions import numbers as N
 from ..functions import text as X
 from ..keymap import KeyMap, lookup_table
@@ -20,7 +20,7 @@ from ..policy import Policy, Rule
 from ..sources.rows import ROW
 from ..sources.tables import check_headings, data_columns, heading_ok, quoted
 from ..workspace import Workspace
-from .binding import check_map, check_unchanged, table_digest
+from .binding import check_map, check_unchanged
 from .profile import any_of
 from .protect import bad_key, protected_values
 
@@ -473,9 +473,3 @@ def imprecise_edits(rev: Review, policy: Policy, double_columns: list[str]) -> D
     for h in hits:
         total = total + h
     return rev.stage.agg(F.coalesce(F.sum(total), F.lit(0)).cast("long").alias("imprecise"))
-
-
-def check_fresh(before: str, df: DataFrame, salt: str = "") -> None:
-    """Refuse when a proposal changed between review and approval."""
-    if table_digest(df, salt) != before:
-        raise Refused("a table changed after its review")
