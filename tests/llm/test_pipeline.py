@@ -96,3 +96,35 @@ def test_near_copies_against_brute_force(spark):
         for j in range(i):
             like = len(sets[i] & sets[j]) / len(sets[i] | sets[j])
             assert root[i] == root[j] if like > 0.93 else like > 0.3 or root[i] != root[j]
+
+
+def test_near_copies_by_exact_similarity(spark):
+    """Short texts, a word or a few changed: linked where the Jaccard similarity of their five-word shingles is 0.8 or more."""
+    rnd = random.Random(5)
+    word = lambda: "".join(rnd.choices("abcdefghij", k=rnd.randint(3, 7)))
+    passage = [word() for _ in range(12)]  # stands in many texts that are not alike
+    texts = []
+    for size in range(15, 61):
+        for k in range(4):
+            w = [word() for _ in range(size)] + passage * (k == 3)
+            last = [*w[:-1], word()]
+            inner = list(w)
+            inner[size // 2] = word()
+            texts += [" ".join(x) for x in (w, last, inner, w[:-2], [word(), word(), word(), *w])]
+    texts += ["one two three", "ONE two  three", "one two four", "one two"]
+    rnd.shuffle(texts)
+    shingles = lambda w: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+    sets = [shingles(t.lower().split()) for t in texts]
+    root = list(range(len(texts)))
+    close = 0
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if 5 * both >= 4 * (len(sets[i]) + len(sets[j]) - both):
+                close += 1
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root] if a != b else root
+    assert close > 300 and len(set(root)) > 250
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_components(docs).collect()}
+    assert got == dict(enumerate(root))
