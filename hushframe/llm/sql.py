@@ -4,13 +4,13 @@ from __future__ import annotations
 
 #: (host, path, action)
 SITE_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
-#: (name, action, regex over host + path, whole tokens of every match)
+#: (name, action, regex over host + path, whole tokens of every match; a|b: one of them)
 PATTERN_RULES = [
     ("pills", "block", r"^(?:[^/]*[.-])?cheap-pills[.-]", ("cheap", "pills")),
     ("spam farm", "block", r"^(?:[^/]*[.-])?spam-farm[.-]", ("spam", "farm")),
     ("casino", "block", r"^[^/]*(?:^|[.-])casino[.-]", ("casino",)),
     ("adult", "block", r"(?:^|[./-])(?:free-)?xxx(?:[./-]|$)", ("xxx",)),
-    ("tracker", "block", r"^(?:ads|adserver)\.", ("ads",)),
+    ("tracker", "block", r"^(?:ads|adserver)\.", ("ads|adserver",)),
     ("link shop", "block", r"/buy-backlinks(?:/|$)", ("buy", "backlinks")),
     ("payday", "block", r"(?:^|[.-])payday-loans?[.-]", ("payday",)),
     ("torrent", "block", r"^[^/]*(?:^|[.-])torrent[.-]", ("torrent",)),

@@ -1,7 +1,7 @@
 """URL filters: pattern rules indexed by their rarest literal token.
 
 A rule is a regular expression over ``host + path`` together with literal tokens that every match contains. Each rule is
-filed under the token that the fewest urls hold; a url fetches the rules filed under its own tokens, and only those
+filed under the token (or the alternatives) that the fewest urls hold; a url fetches the rules filed under its own tokens, and only those
 rules' expressions run on it.
 """
 
@@ -22,7 +22,8 @@ SITE, PATTERN = "site", "pattern"
 
 @dataclass(frozen=True)
 class Rule:
-    """``name`` is shown in results; ``tokens`` must be whole tokens (``[0-9a-z]+``) of every url that ``regex`` finds."""
+    """``name`` is shown in results; ``tokens`` must be whole tokens (``[0-9a-z]+``) of every url that ``regex`` finds. A
+    token may name alternatives, ``a|b``, of which every such url has one: the rule is then filed under each."""
 
     name: str
     action: str
@@ -88,8 +89,9 @@ def judge_urls(
         "tokens", F.array_distinct(F.concat(F.split(F.lower("key"), "[^0-9a-z]+"), F.array(F.lit(""))))
     )
     table = rule_table(spark, rules)
-    named = table.select("rule_no", F.explode(F.array_distinct("tokens")).alias("token"))
-    few = sum(max(1, len(r.tokens)) for r in rules) <= BROADCAST_RULES
+    named = table.select("rule_no", F.explode(F.array_distinct("tokens")).alias("tokens"))
+    named = named.withColumn("token", F.explode(F.array_distinct(F.split("tokens", "[|]"))))
+    few = sum(1 + t.count("|") for r in rules for t in r.tokens or ("",)) <= BROADCAST_RULES
     small = F.broadcast if few else (lambda side: side)
     seen = (
         urls.select(F.explode("tokens").alias("token"))
@@ -98,7 +100,9 @@ def judge_urls(
     )
     index = (
         named.join(seen, "token", "left")
-        .groupBy("rule_no").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token"))["token"].alias("token"))
+        .groupBy("rule_no", "tokens").agg(F.sum(F.coalesce("n", F.lit(0))).alias("n"))
+        .groupBy("rule_no").agg(F.min(F.struct("n", "tokens"))["tokens"].alias("tokens"))
+        .select("rule_no", F.explode(F.array_distinct(F.split("tokens", "[|]"))).alias("token"))
         .join(table.drop("tokens"), "rule_no")
     )
     found = (

@@ -193,6 +193,33 @@ def test_urls(spark):
 
 # -- chat formatting
 
+#: Urls for each alternative of each registered pattern rule.
+RULE_URLS = {
+    "pills": ["cheap-pills.com/a", "www.cheap-pills-now.net", "my-cheap-pills.org/"],
+    "spam farm": ["spam-farm.com", "x.spam-farm-2.com/p", "a-spam-farm.org"],
+    "casino": ["casino.com", "my.casino-x.com/", "best-casino.org/a"],
+    "adult": ["xxx", "xxx.com", "free-xxx.com", "a.com/xxx", "a.com/free-xxx/b", "a-xxx-b.com", "a.com/x.xxx"],
+    "tracker": ["ads.example.com/x", "adserver.example.com/x", "adserver.net"],
+    "link shop": ["a.com/buy-backlinks", "a.com/b/buy-backlinks/c"],
+    "payday": ["payday-loan.com", "my.payday-loans.org/", "a.com/x-payday-loans-now"],
+    "torrent": ["torrent.com", "my.torrent-x.com/", "best-torrent.org/a"],
+}
+
+
+def test_every_alternative_of_the_registered_rules_is_found(spark):
+    from hushframe.llm.sql import PATTERN_RULES
+
+    rules = [url_filter.Rule(*r) for r in PATTERN_RULES]
+    assert set(RULE_URLS) == {r.name for r in rules}
+    urls = [u for own in RULE_URLS.values() for u in own] + ["adserverx.com", "loads.com", "plain.com/a"] + ["ads.com/%d" % i for i in range(5)]
+    pages = spark.createDataFrame([(i, "http://" + u) for i, u in enumerate(urls)], "page_id long, url string")
+    for some in ([r] for r in rules):
+        got = {r["page_id"]: r["pattern"] for r in url_filter.judge_urls(pages, some).collect()}
+        assert got == {i: some[0].name if re.search(some[0].regex, u) else None for i, u in enumerate(urls)}
+        assert all(got[urls.index(u)] for u in RULE_URLS[some[0].name])
+    got = {r["page_id"]: r["verdict"] for r in url_filter.judge_urls(pages, rules).collect()}
+    assert got == {i: "block" if any(re.search(r.regex, u) for r in rules) else "allow" for i, u in enumerate(urls)}
+
 
 def test_chat_round_trip(spark):
     rnd = random.Random(2)
