@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -117,6 +118,40 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+_JOINTS = re.compile("[/+]"), re.compile("[_-]"), re.compile("[/+_-]")
+
+
+def pieces(text: str, start: int, end: int, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """(start, end) of what is tested of a run: what the fixed patterns leave of it, whole and in its pieces between ``/`` and
+    ``+`` (paths), between ``_`` and ``-`` (names), and between all of them. Each has ``SHORTEST`` characters or more."""
+    free, at = [], start
+    for a, _, b in base:  # by start
+        if a < end and start < b:
+            free.append((at, min(a, end)))
+            at = max(at, b)
+    found = set()
+    for a, b in [*free, (at, end)]:
+        found.add((a, b))
+        for joint in _JOINTS:
+            cuts = [a - 1, *(m.start() for m in joint.finditer(text, a, b)), b]
+            found.update((x + 1, y) for x, y in zip(cuts, cuts[1:]))
+    return sorted((a, b) for a, b in found if len(text[a:b].rstrip("=")) >= SHORTEST)
+
+
+def strongest(runs: list[dict], least: dict[int, int]) -> list[dict]:
+    """The discoveries among tested spans: of those that overlap the one with most evidence, or else the longest."""
+    passed = [r for r in runs if r["stratum"] in least and r["step"] >= least[r["stratum"]]]
+    passed.sort(key=lambda r: (-r["step"], r["start"] - r["end"], r["start"]))
+    out: list[dict] = []
+    taken: list[tuple[int, int]] = []  # apart and sorted
+    for r in passed:
+        at = bisect_left(taken, (r["end"],))  # the spans before it start ahead of this one's end
+        if not at or taken[at - 1][1] <= r["start"]:
+            taken.insert(at, (r["start"], r["end"]))
+            out.append(r)
+    return sorted(out, key=lambda r: r["start"])
+
+
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each document, and after each batch a row with its character counts."""
     for batch in batches:
@@ -130,9 +165,9 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             base.append([{"start": s, "kind": k, "end": e} for s, k, e in found])
             own = []
             for m in RUN.finditer(text):
-                s, e = m.span()
-                if not any(a < e and s < b for a, _, b in found) and (t := battery(m.group())):
-                    own.append({"start": s, "end": e, "code": t[0], "n": t[1], "chi": t[2], "ok": t[3]})
+                for s, e in pieces(text, *m.span(), found):
+                    if t := battery(text[s:e]):
+                        own.append({"start": s, "end": e, "code": t[0], "n": t[1], "chi": t[2], "ok": t[3]})
             runs.append(own)
         ids = batch.column(0)
         ids = pa.concat_arrays([ids, pa.nulls(1, ids.type)])
@@ -153,8 +188,9 @@ def find_secrets(docs: DataFrame, q: float = 0.01, id_col: str = "doc_id", text_
     """(id, base, added): for each row the spans (start, kind, end; code points, end exclusive; kind is a place in
     ``KINDS``) of the fixed patterns, and those that the randomness tests add outside them.
 
-    One pass over the whole texts finds the patterns, tests every run of 20 or more encoding characters, and counts the
-    corpus's characters. A run's p value is the chance that characters drawn as the corpus has them are as even as it. The
+    One pass over the whole texts finds the patterns, tests every run of 20 or more encoding characters outside them, whole
+    and in its pieces (see ``pieces``), and counts the corpus's characters. Every tested piece counts as a test; of
+    discoveries that overlap the strongest stays. A run's p value is the chance that characters drawn as the corpus has them are as even as it. The
     false-discovery rate is held at ``q`` in each class of length apart (Benjamini-Hochberg over all runs of the class,
     counted by steps of p): what is enough evidence for one length is not for another.
 
@@ -185,17 +221,17 @@ def find_secrets(docs: DataFrame, q: float = 0.01, id_col: str = "doc_id", text_
     tested = written(tested, "tested")
     each = tested.select(F.inline("runs")).groupBy("stratum", "step").agg(F.count(F.lit(1)).alias("n"))
     least = thresholds([tuple(r) for r in each.collect()], q)  # classes x steps rows at most
-    def passed(x):
-        test = F.lit(False)
-        for stratum, step in least.items():
-            test = test | ((x["stratum"] == stratum) & (x["step"] >= step))
-        return test
-
-    added = F.transform(
-        F.filter("runs", passed),
-        lambda x: F.struct(x["start"].alias("start"), F.lit(KINDS.index("random")).alias("kind"), x["end"].alias("end")),
-    )
-    return tested.select(F.col("id").alias(id_col), "base", added.alias("added"))
+
+    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [
+                [{"start": r["start"], "kind": KINDS.index("random"), "end": r["end"]} for r in strongest(own, least)]
+                for own in batch.column(2).to_pylist()
+            ]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, _BASE)], ["id", "base", "added"])
+
+    added = tested.mapInArrow(chosen, f"id {kind}, base {_SPAN}, added {_SPAN}")
+    return added.select(F.col("id").alias(id_col), "base", "added")
 
 
 def thresholds(counts: list[tuple[int, int, int]], q: float) -> dict[int, int]:
