@@ -413,7 +413,9 @@ def profiles(c):
 _LINKED = (
     "WITH f AS (SELECT CAST(c_custkey AS BIGINT) e, ['customer', 'nation', CAST(c_nationkey AS VARCHAR)] x FROM customer"
     " UNION ALL SELECT c_custkey, ['customer', 'segment', c_mktsegment] FROM customer"
-    " UNION ALL SELECT o_custkey, ['orders', 'status', o_orderstatus] FROM orders WHERE o_orderstatus = 'P'),"
+    f" UNION ALL SELECT c_custkey, ['customer', 'balance', {BIN}] FROM customer"
+    " UNION ALL SELECT o_custkey, ['orders', 'status', o_orderstatus] FROM orders"
+    " UNION ALL SELECT o_custkey, ['orders', 'priority', o_orderpriority] FROM orders),"
     " e AS (SELECT c_custkey e FROM customer UNION SELECT o_custkey FROM orders),"
     " p AS (SELECT e.e, list_sort(list(f.x)) fp FROM e LEFT JOIN f ON e.e = f.e GROUP BY e.e)"
 )
@@ -425,10 +427,9 @@ _LINKED = (
     " CAST(coalesce(sum(CASE WHEN n < 5 THEN n END), 0) AS BIGINT) small_members, count_if(n = 1) / sum(n) unique_fraction FROM s",
 )
 def linked_fingerprints(c):
-    """Customers with their pending orders: how many look alike over both tables."""
-    sources, p = related(c)
-    pending = p.tables["orders"].filter("o_orderstatus = 'P'")
-    tables = {"customer": (p.tables["customer"], ["c_nationkey", "c_mktsegment"]), "orders": (pending, ["o_orderstatus"])}
+    """Customers with all their orders and every retained column: how many look alike over both tables."""
+    _, p = related(c)
+    tables = {name: (df, list(p.keymap.policies[name].retained)) for name, df in p.tables.items()}
     return K.linked_counts(tables, p.keymap.entities, 5)
 
 
