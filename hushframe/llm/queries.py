@@ -19,6 +19,7 @@ from .simhash import near_components
 from .sql import PATTERN_RULES, SITE_RULES, SQL
 from .topk import top_k
 from .url_filter import Rule, judge_urls, site_rule
+from .vector_codes import compress
 
 BPE_FILE = "byte_bpe_50k.json"
 
@@ -106,11 +107,15 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compress(table(spark, sf_dir, "embeddings"), parts=8, entries=16, rounds=6, scale=4096)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_language_id, op2_simhash, op3_url_filters, op4_chat_format, op5_bpe, op6_line_dedup, op7_secrets, op8_mix, op9_top_k,
-        op10_exact_dedup,
+        op10_exact_dedup, op13_vector_codes,
     )
 }
 

@@ -141,7 +141,36 @@ g AS (SELECT *, max(doc_id) OVER (PARTITION BY text) AS keep_id, count(*) OVER (
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(text) AS text_sha256 FROM g
 """
 
+
+
+def _codes(parts: int = 8, entries: int = 16, rounds: int = 6, scale: int = 4096) -> str:
+    assigned = """a{0} AS MATERIALIZED (
+  SELECT id, part, min(struct_pack(d := CAST(list_sum(list_transform(list_zip(p.x, b.y), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT), e := entry)) AS best
+  FROM p JOIN b{0} b USING (part) GROUP BY id, part)"""
+    moved = """m{0} AS (
+  SELECT part, entry, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY j) AS y FROM (
+    SELECT a.part, best.e AS entry, j, CAST(sum(x[j]) AS HUGEINT) AS s, count(*) AS n
+    FROM a{0} a JOIN (SELECT id, part, x, unnest(range(1, len(x) + 1)) AS j FROM p) q USING (id, part) GROUP BY ALL) GROUP BY part, entry),
+b{1} AS MATERIALIZED (SELECT part, entry, coalesce(m{0}.y, b{0}.y) AS y FROM b{0} LEFT JOIN m{0} USING (part, entry))"""
+    steps = [x for r in range(rounds) for x in (assigned.format(r), moved.format(r, r + 1))] + [assigned.format(rounds)]
+    listed = ",\n".join(steps)
+    return rf"""
+WITH v AS (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST) AS id, vec_id, label,
+    list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (SELECT id, i AS part, v[i * len(v) // {parts} + 1:(i + 1) * len(v) // {parts}] AS x FROM v, range({parts}) r(i)),
+b0 AS MATERIALIZED (SELECT part, id - 1 AS entry, x AS y FROM p WHERE id <= {entries}),
+{listed},
+c AS (SELECT sha256(string_agg(array_to_string(y, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM b{rounds}),
+e AS (
+  SELECT vec_id, label, string_agg(printf('%02x', best.e), '' ORDER BY part) AS code, CAST(sum(best.d) AS BIGINT) AS error
+  FROM a{rounds} JOIN v USING (id) GROUP BY id, vec_id, label)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM e, c
+"""
+
+
 SQL = {
     "op3_url_filters": OP3, "op4_chat_format": OP4, "op6_line_dedup": OP6, "op8_mix": OP8, "op9_top_k": OP9,
-    "op10_exact_dedup": OP10,
+    "op10_exact_dedup": OP10, "op13_vector_codes": _codes(),
 }
