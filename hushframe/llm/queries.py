@@ -14,6 +14,7 @@ from .exact_dedup import exact_groups
 from .langid import held_out, learn_profiles, predict_languages
 from .line_dedup import dedup_lines
 from .mixing import mix
+from .quality import judge_quality
 from .secrets import KINDS, find_secrets, listed
 from .simhash import near_components
 from .sql import PATTERN_RULES, SITE_RULES, SQL
@@ -107,6 +108,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_quality(table(spark, sf_dir, "documents")).drop("rejected_by")
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compress(table(spark, sf_dir, "embeddings"), parts=8, entries=16, rounds=6, scale=4096)
 
@@ -115,7 +120,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_language_id, op2_simhash, op3_url_filters, op4_chat_format, op5_bpe, op6_line_dedup, op7_secrets, op8_mix, op9_top_k,
-        op10_exact_dedup, op13_vector_codes,
+        op10_exact_dedup, op11_quality_rules, op13_vector_codes,
     )
 }
 

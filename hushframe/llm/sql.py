@@ -142,6 +142,29 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(text) AS te
 """
 
 
+OP11 = r"""
+WITH w AS (
+  SELECT doc_id, coalesce(text, '') AS text, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls, row_number() OVER () AS r
+  FROM documents),
+i AS (SELECT r, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS win FROM (SELECT r, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
+p AS (SELECT r, i FROM i QUALIFY count(*) OVER (PARTITION BY r, win) > 1),
+n AS (SELECT r, count(DISTINCT i + d) AS n_repeat_words FROM p, range(3) t(d) GROUP BY r),
+m AS (
+  SELECT doc_id, text, ws, ls, len(ws) AS n_words, CAST(length(list_aggregate(ws, 'string_agg', '')) AS BIGINT) AS chars,
+    CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
+    CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words
+  FROM w LEFT JOIN n USING (r)),
+b AS (SELECT *, coalesce(chars, 0) AS word_chars, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT (base_failed OR word_chars < 2 * n_words OR word_chars > 15 * n_words OR 10 * n_symbols > n_words
+    OR 2 * n_dup_lines > len(ls) OR 10 * len(list_filter(ws, lambda x: regexp_matches(x, '\p{L}'))) < 7 * n_words
+    OR 2 * len(regexp_extract_all(text, '\p{Lu}')) > len(regexp_extract_all(text, '\p{L}'))
+    OR 10 * len(regexp_extract_all(text, '(?:\.\.\.|…)[ \t]*(?:\n|$)')) > 3 * len(string_split(text, chr(10)))
+    OR regexp_matches(text, '(?i)lorem ipsum dolor')) AS kept
+FROM b
+"""
+
 
 def _codes(parts: int = 8, entries: int = 16, rounds: int = 6, scale: int = 4096) -> str:
     assigned = """a{0} AS MATERIALIZED (
@@ -172,5 +195,5 @@ SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT)
 
 SQL = {
     "op3_url_filters": OP3, "op4_chat_format": OP4, "op6_line_dedup": OP6, "op8_mix": OP8, "op9_top_k": OP9,
-    "op10_exact_dedup": OP10, "op13_vector_codes": _codes(),
+    "op10_exact_dedup": OP10, "op11_quality_rules": OP11, "op13_vector_codes": _codes(),
 }
