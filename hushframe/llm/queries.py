@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .bpe import encode_texts
 from .chat_format import digests, format_windows, read_back
+from .collocations import mine_collocations
 from .common import count_words, written
 from .exact_dedup import exact_groups
 from .langid import held_out, learn_profiles, predict_languages
@@ -112,6 +113,10 @@ def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_quality(table(spark, sf_dir, "documents")).drop("rejected_by")
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mine_collocations(table(spark, sf_dir, "documents"), longest=4, least=30, top=2000, scale=2_000_000, covered=80)
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compress(table(spark, sf_dir, "embeddings"), parts=8, entries=16, rounds=6, scale=4096)
 
@@ -120,7 +125,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_language_id, op2_simhash, op3_url_filters, op4_chat_format, op5_bpe, op6_line_dedup, op7_secrets, op8_mix, op9_top_k,
-        op10_exact_dedup, op11_quality_rules, op13_vector_codes,
+        op10_exact_dedup, op11_quality_rules, op12_collocations,
+        op13_vector_codes,
     )
 }
 

@@ -165,6 +165,32 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM b
 """
 
+OP12 = r"""
+WITH w AS (
+  SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM (
+    SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+g AS (SELECT lang, ws, m, unnest(range(1, len(ws) - m + 2)) AS i FROM w, range(1, 5) t(m) WHERE len(ws) >= m),
+f AS MATERIALIZED (
+  SELECT lang, m, array_to_string(ws[i:i + m - 1], ' ') AS phrase, count(*) AS n FROM g GROUP BY ALL HAVING count(*) >= 30),
+c AS (SELECT lang, phrase, n AS a, string_split(phrase, ' ') AS ws FROM f WHERE m >= 2),
+k AS (
+  SELECT lang, phrase, a, k, array_to_string(ws[:k], ' ') AS lft, array_to_string(ws[k + 1:], ' ') AS rgt
+  FROM (SELECT *, unnest(range(1, len(ws))) AS k FROM c)),
+s AS (
+  SELECT k.lang, k.phrase, a, k, x.n AS l, y.n AS r, 2000000 * CAST(a AS HUGEINT) // (x.n + y.n) AS score
+  FROM k JOIN f x ON x.lang = k.lang AND x.phrase = lft JOIN f y ON y.lang = k.lang AND y.phrase = rgt),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+i AS (
+  SELECT lang, array_to_string(ws[j:j + m - 1], ' ') AS phrase, max(a) AS longer FROM (
+    SELECT *, unnest(range(1, len(ws) - m + 2)) AS j FROM (SELECT *, unnest(range(2, len(ws))) AS m FROM c WHERE len(ws) > 2)) GROUP BY ALL),
+r AS (
+  SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank
+  FROM b LEFT JOIN i ON b.lang = i.lang AND b.phrase = i.phrase WHERE longer IS NULL OR 100 * longer < 80 * a),
+n AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM w GROUP BY lang)
+SELECT lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM r JOIN n USING (lang) WHERE rank <= 2000
+"""
+
 
 def _codes(parts: int = 8, entries: int = 16, rounds: int = 6, scale: int = 4096) -> str:
     assigned = """a{0} AS MATERIALIZED (
@@ -195,5 +221,5 @@ SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT)
 
 SQL = {
     "op3_url_filters": OP3, "op4_chat_format": OP4, "op6_line_dedup": OP6, "op8_mix": OP8, "op9_top_k": OP9,
-    "op10_exact_dedup": OP10, "op11_quality_rules": OP11, "op13_vector_codes": _codes(),
+    "op10_exact_dedup": OP10, "op11_quality_rules": OP11, "op12_collocations": OP12, "op13_vector_codes": _codes(),
 }
