@@ -29,7 +29,7 @@ def test_query_matches_sql(spark, con, name):
 
 
 def test_all_are_registered():
-    assert {f"op{n}_" for n in range(1, 11)} == {re.match(r"op\d+_", x)[0] for x in corpus.queries()}
+    assert {f"op{n}_" for n in range(1, 14)} == {re.match(r"op\d+_", x)[0] for x in corpus.queries()}
     assert "pipeline" in queries()
 
 
