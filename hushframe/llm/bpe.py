@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
@@ -22,8 +23,9 @@ SPLIT = (
 # The same classes within U+0000 to U+00FF, for texts that hold nothing else: letters, numbers, white space.
 _L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾", r"\t-\r \x85\xa0"
 SPLIT_LATIN = rf" ?[{_L}]+|'(?:s|t|re|ve|m|ll|d)| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
-#: Distinct words a task remembers; the memory is emptied when it is full, which changes no result.
-REMEMBERED = 100_000
+#: Distinct words in each of the two generations that a task remembers. Words met again move to the young one; when that is
+#: full it becomes the old one, so that frequent words stay. This changes no result.
+REMEMBERED = 150_000
 #: Words longer than this aren't remembered.
 LONG_WORD = 64
 
@@ -63,7 +65,10 @@ class Codec:
         self.split, self.split_latin = regex.compile(SPLIT), re.compile(SPLIT_LATIN)
         longest_first = sorted(self.added, key=len, reverse=True)
         self.marks = regex.compile("(" + "|".join(map(regex.escape, longest_first)) + ")") if self.added else None
-        self.known: dict[str, tuple[tuple[int, ...], str]] = {}
+        #: ids of words as bytes of 32-bit numbers
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.decimal = [str(i) for i in range(len(self.piece))]
 
     def merged(self, word: str) -> list[int]:
         """Ids of one word. The queue holds rank * length + place of the left symbol; an entry is stale when the pair that
@@ -99,31 +104,30 @@ class Codec:
                     heappush(queue, s * n + h)
         return [x for x in ids if x >= 0]
 
-    def words(self, text: str) -> list[tuple[tuple[int, ...], str]]:
-        """(ids, the same as text) of each word, from memory where it has been met."""
+    def encode(self, text: str) -> list[int]:
+        """Ids of a whole text, words from memory where they have been met."""
         if self.marks and any(m in text for m in self.added):
-            out = []
-            for i, part in enumerate(self.marks.split(text)):
-                out += [((self.added[part],), str(self.added[part]))] if i % 2 else self.plain(part)
-            return out
-        return self.plain(text)
+            parts = enumerate(self.marks.split(text))
+            packed = b"".join([array("i", [self.added[p]]).tobytes() if i % 2 else self.plain(p) for i, p in parts])
+        else:
+            packed = self.plain(text)
+        return memoryview(packed).cast("i").tolist()
 
-    def plain(self, text: str) -> list[tuple[tuple[int, ...], str]]:
+    def plain(self, text: str) -> bytes:
         try:
             text.encode("latin-1")
             words = self.split_latin.findall(text)
         except UnicodeEncodeError:
             words = self.split.findall(text)
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        known, own = self.known, {}
-        for word in set(words).difference(known):
-            ids = self.merged(word)
-            (known if len(word) <= LONG_WORD else own)[word] = tuple(ids), ",".join(map(str, ids))
-        return [known[w] for w in words] if not own else [known.get(w) or own[w] for w in words]
-
-    def encode(self, text: str) -> list[int]:
-        return [i for ids, _ in self.words(text) for i in ids]
+        if len(self.young) > REMEMBERED:
+            self.young, self.old = {}, self.young
+        young, old, own = self.young, self.old, {}
+        for word in set(words).difference(young):
+            if len(word) > LONG_WORD:
+                own[word] = array("i", self.merged(word)).tobytes()
+            else:
+                young[word] = old.get(word) or array("i", self.merged(word)).tobytes()
+        return b"".join([young[w] for w in words] if not own else [young.get(w) or own[w] for w in words])
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.piece.__getitem__, ids)).decode("utf-8", "replace")
@@ -154,7 +158,7 @@ def encode_texts(
 
     Whole texts are encoded as the tokenizer's library does without adding special tokens: the strings of added tokens
     become their ids, everything else is split into words and merged. A null text counts as empty: no ids, "" decoded.
-    Ids are passed through, null or repeated. Texts never leave their task and no row waits for another.
+    Ids are passed through, null or repeated; no rows give no rows. Texts never leave their task and no row waits for another.
     """
     codec_of = shared_codec(docs.sparkSession, path)
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -170,15 +174,14 @@ def encode_texts(
                 part = batch.slice(at, 64)
                 out: list[list] = [[] for _ in range(5)]
                 for text in part.column(1).to_pylist():
-                    words = codec.words(text)
-                    ids = [i for own, _ in words for i in own]
+                    ids = codec.encode(text)
                     decoded = codec.decode(ids)
                     out[0].append(len(ids))
                     if with_ids:
                         out[1].append(ids)
                         out[2].append(decoded)
                     if with_digests:
-                        listed = ",".join([s for _, s in words])
+                        listed = ",".join(map(codec.decimal.__getitem__, ids))
                         out[3].append(hashlib.sha256(listed.encode()).hexdigest())
                         out[4].append(hashlib.sha256(decoded.encode()).hexdigest())
                 cols = [part.column(0), pa.array(out[0], pa.int64())]
