@@ -87,44 +87,80 @@ def _best(slices: list[np.ndarray | None], alive: np.ndarray, k: int) -> tuple[n
     return sure, tied
 
 
+def _at_least(slices: list[np.ndarray | None], least: np.ndarray, alive: np.ndarray) -> np.ndarray:
+    """Rows of each query whose sum is its ``least`` or more, by comparing slices from the most significant one down."""
+    least = least[:, None]
+    above, even = np.zeros_like(alive), np.where(least >> len(slices) > 0, 0, alive)
+    for level in reversed(range(len(slices))):
+        s, one = slices[level], (least >> level) & 1 == 1
+        if s is None:  # nobody has this bit
+            even = np.where(one, 0, even)
+            continue
+        above = np.where(one, above, above | (even & s))
+        even = even & np.where(one, s, ~s)
+    return np.where(least <= 0, alive, above | even)
+
+
+def _digits(queries: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(level, sign, where) of the signed binary digits of integers, no two neighbours of which are set: fewer than bits."""
+    size = np.abs(queries)
+    half = size >> 1
+    sum_ = size + half
+    plus, minus = sum_ & (half ^ sum_), half & (half ^ sum_)
+    for level in range(int(size.max(initial=0)).bit_length() + 1):
+        for digit, sign in ((plus, 1), (minus, -1)):
+            on = (digit >> level) & 1 == 1
+            for s in (1, -1):
+                yield level, s, on & ((queries > 0) if s == sign else (queries < 0))
+
+
 def search_block(ids: np.ndarray, values: np.ndarray, index, query_ids: np.ndarray, queries: np.ndarray, k: int):
-    """(query, row, score) of each query's k best rows of one block, rows in the order of id. ``index`` is ``slices_of``
-    the values."""
+    """(query, row, score) of each query's k best rows of one block, ``ids`` sorted. ``index`` is ``slices_of`` the values.
+
+    Queries are rounded to multiples of a step. The sums of the rounded ones are added up from the slices by bitmap
+    arithmetic; the k best of them, picked from the most significant slice down, have exact scores of which the lowest is a
+    threshold. What rounding may have changed is at most the product of the remainder's and the longest row's lengths: all
+    rows whose sum reaches the threshold less that, found from the slices again, are scored exactly."""
     maps, low, bits = index
     words = maps.shape[1]
     first = np.append(0, np.cumsum(bits))
     alive = np.packbits(np.append(np.ones(len(ids), np.uint8), np.zeros(words * 64 - len(ids), np.uint8)), bitorder="little")
-    # a query component's sign picks a bitmap or its complement, its bits the levels where it is added
-    table = np.concatenate([maps, ~maps, np.zeros((1, words), np.uint64)])
+    table = np.concatenate([maps, ~maps, np.zeros((1, words), np.uint64)])  # a digit's sign picks a bitmap or its complement
     none = len(table) - 1
-    at_q, at_row = [], []
+    longest = float(np.sqrt((values.astype(np.float64) ** 2).sum(axis=1).max(initial=0)))
+    at_q, at_row, at_score = [], [], []
     group = max(1, min(len(queries), (1 << 22) // max(1, words * 64 * 2)))
     for at in range(0, len(queries), group):
         q = queries[at : at + group]
-        i, d = np.nonzero(q)
-        size, minus = np.abs(q[i, d]), np.where(q[i, d] < 0, len(maps), 0)
+        typical = float(np.sqrt((q.astype(np.float64) ** 2).mean())) if q.size else 0.0
+        shift = max(0, int(typical).bit_length() - 2)
+        rounded = (q + (1 << shift >> 1)) >> shift
+        rest = np.sqrt(((q - (rounded << shift)).astype(np.float64) ** 2).sum(axis=1))
+        slack = np.ceil(rest * longest * (1 + 1e-9)).astype(np.int64)
         who, what, level = [], [], []
-        for v in range(int(size.max(initial=0)).bit_length()):
-            on = np.nonzero((size >> v) & 1)[0]
-            own = bits[d[on]]
-            each = np.repeat(on, own)
+        taken = np.zeros(len(q), np.int64)  # what complements add to the sums
+        for v, sign, on in _digits(rounded):
+            i, d = np.nonzero(on)
+            own = bits[d]
+            each = np.repeat(np.arange(len(i)), own)
             b = np.arange(len(each)) - np.repeat(np.cumsum(own) - own, own)
             who.append(i[each])
-            what.append(first[d[each]] + b + minus[each])
+            what.append(first[d[each]] + b + (len(maps) if sign < 0 else 0))
             level.append(v + b)
+            if sign < 0:
+                np.add.at(taken, i, ((np.int64(1) << own) - 1) << v)
         levels = {}
-        if who:
-            who, what, level = map(np.concatenate, (who, what, level))
-            order = np.lexsort((who, level))
-            who, what, level = who[order], what[order], level[order]
-            ends = np.searchsorted(level, np.arange(level.max(initial=-1) + 2))
-            for lv, (x, y) in enumerate(zip(ends, ends[1:])):
-                if x < y:
-                    w = who[x:y]
-                    place = np.arange(y - x) - np.searchsorted(w, w)
-                    pick = np.full((len(q), int(place.max()) + 1), none)
-                    pick[w, place] = what[x:y]
-                    levels[lv] = table[pick]
+        who, what, level = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (who, what, level))
+        order = np.lexsort((who, level))
+        who, what, level = who[order], what[order], level[order]
+        ends = np.searchsorted(level, np.arange(level.max(initial=-1) + 2))
+        for lv, (x, y) in enumerate(zip(ends, ends[1:])):
+            if x < y:
+                w = who[x:y]
+                place = np.arange(y - x) - np.searchsorted(w, w)
+                pick = np.full((len(q), int(place.max()) + 1), none)
+                pick[w, place] = what[x:y]
+                levels[lv] = table[pick]
         here = np.repeat(alive.view(np.uint64)[None], len(q), axis=0)
         own = np.searchsorted(ids, query_ids[at : at + group])
         for i, x in enumerate(query_ids[at : at + group]):
@@ -132,15 +168,28 @@ def search_block(ids: np.ndarray, values: np.ndarray, index, query_ids: np.ndarr
                 if ids[r] != x:
                     break
                 here[i, r >> 6] &= ~(np.uint64(1) << np.uint64(r & 63))
-        sure, tied = _best(_summed(levels), here, k)
+        sums = _summed(levels)
+        sure, tied = _best(sums, here, k)
+        threshold = np.zeros(len(q), np.int64)
+        for i in range(len(q)):
+            rows = _rows_of(sure[i])
+            rows = np.append(rows, _rows_of(tied[i])[: k - len(rows)])
+            # with fewer than k rows, all are wanted
+            threshold[i] = (values[rows] @ q[i]).min() if len(rows) == k else np.iinfo(np.int64).min // 4
+        floor = (threshold - slack + (1 << shift) - 1) >> shift
+        wanted = _at_least(sums, np.maximum(floor - rounded @ low + taken, 0), here)
         for i in range(len(q)):
-            rows = np.nonzero(np.unpackbits(sure[i].view(np.uint8), bitorder="little"))[0]
-            edge = np.nonzero(np.unpackbits(tied[i].view(np.uint8), bitorder="little"))[0]
-            rows = np.append(rows, edge[: k - len(rows)])  # ties go to the smaller id
-            at_q.append(np.full(len(rows), at + i))
-            at_row.append(rows)
-    qs, rows = np.concatenate(at_q), np.concatenate(at_row).astype(np.int64)
-    return qs, rows, (values[rows] * queries[qs]).sum(axis=1)  # boundary and order are settled exactly
+            rows = _rows_of(wanted[i])
+            score = values[rows] @ q[i]
+            best = np.lexsort((rows, -score))[:k]  # ties go to the smaller id
+            at_q.append(np.full(len(best), at + i))
+            at_row.append(rows[best])
+            at_score.append(score[best])
+    return np.concatenate(at_q), np.concatenate(at_row).astype(np.int64), np.concatenate(at_score)
+
+
+def _rows_of(bitmap: np.ndarray) -> np.ndarray:
+    return np.nonzero(np.unpackbits(bitmap.view(np.uint8), bitorder="little"))[0]
 
 
 def _pack(batches: Iterator[pa.RecordBatch], by: int) -> Iterator[pa.RecordBatch]:
@@ -179,9 +228,7 @@ def top_k(
 
     Components become floor(scale * x). Rows are dealt evenly to blocks, each block is indexed by bit slices, and every
     chunk of queries meets every block once: an exact search compares all queries with all rows, and the pairs of block
-    and chunk are spread over the tasks. For a query, slices are added up by bitmap arithmetic, the k best rows are picked
-    from the sum's most significant slice down, and ties at the boundary go to the smaller ids. Blocks' results are
-    merged by query.
+    and chunk are spread over the tasks. Within a block see ``search_block``. Blocks' results are merged by query.
 
     Vectors that are null or hold a null, NaN or infinite component take no part, as queries or as rows; shorter vectors
     count as filled up with zeros, empty ones score 0. A null id takes no part. Rows with a query's own id are left out
