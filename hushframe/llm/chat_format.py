@@ -41,12 +41,13 @@ def format_windows(
     Prefix sums of turn costs place every turn on a line that is cut each ``budget``: turns that lie between two cuts
     form a span, a turn across a cut is a span of its own. A span of several turns so keeps within the budget, and no
     turn is split. A window is its span, before it the earlier turns that start at most ``history`` tokens back, and
-    before these the conversation's system turn, if the first turn is one and isn't there already. Repeated turns carry
+    before these the conversation's first system turn, if it comes before the span and isn't there already. Repeated turns carry
     the mark ``<|again|>``. ``loss_spans`` are the places (code points, end exclusive) of the assistant texts of the
     span: each assistant text is a target in exactly one window.
 
     Turns are taken in the order of turn, role, text (nulls first); repeated rows are turns of their own. A null text
-    or role is empty. Rows without a conversation id form one conversation. No rows give no windows.
+    or role is empty. Rows without a conversation id form one conversation. No rows give no windows. A very long turn is a
+    window of its own, whole. A conversation is sorted in one task, as its digests need all of its turns in order.
     """
     role, text = F.coalesce(F.col(role_col), F.lit("")), F.coalesce(F.col(text_col), F.lit(""))
     rows = conversations.select(
@@ -61,7 +62,7 @@ def format_windows(
         .withColumn("start", F.sum("cost").over(so_far) - F.col("cost"))
         .withColumn("chars", F.length("said") + len(NEW))
         .withColumn("char", F.sum("chars").over(so_far) - F.col("chars"))
-        .withColumn("system", F.first(F.when(F.col("plain_role") == "system", F.col("said"))).over(so_far))
+        .withColumn("system", F.first(F.when(F.col("plain_role") == "system", F.struct("pos", "said")), ignorenulls=True).over(so_far))
         .withColumn("block", F.floor(F.col("start") / budget))
         .withColumn(
             "span", 2 * F.col("block") + (F.floor((F.col("start") + F.col("cost") - 1) / budget) > F.col("block")).cast("long")
@@ -73,10 +74,10 @@ def format_windows(
     turns = F.sort_array(F.collect_list(F.struct("pos", "char", "role", "body", "said", "plain_role")))
     spans = rows.groupBy("conv", "span").agg(lead.alias("lead"), turns.alias("turns"))
     past = F.transform("lead.before", lambda t: F.concat(F.lit(AGAIN), t["said"]))
-    with_system = (F.col("lead.pos") > 1) & F.col("lead.system").isNotNull() & ~F.coalesce(
-        F.exists("lead.before", lambda t: t["pos"] == 1), F.lit(False)
-    )
-    head = F.concat(F.when(with_system, F.concat(F.lit(AGAIN), F.col("lead.system"))).otherwise(""), F.array_join(past, ""))
+    system = F.col("lead.system")
+    there = F.exists("lead.before", lambda t: t["pos"] == system["pos"])
+    with_system = F.coalesce((system["pos"] < F.col("lead.pos")) & ~there, F.lit(False))
+    head = F.concat(F.when(with_system, F.concat(F.lit(AGAIN), system["said"])).otherwise(""), F.array_join(past, ""))
     spans = spans.withColumn("head", head)
 
     def place(t: Column) -> Column:

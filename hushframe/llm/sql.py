@@ -64,7 +64,7 @@ f AS (
   FROM h LEFT JOIN h g ON g.conv_id = h.conv_id AND g.pos = h.sys),
 n AS (
   SELECT conv_id, CAST(sum(said + 8 + CASE WHEN nth = 1 THEN recent
-    + CASE WHEN pos > 1 AND sys < pos AND coalesce(first_recent, 2) <> 1 THEN sys_said + 9 ELSE 0 END ELSE 0 END) AS BIGINT) AS formatted_chars
+    + CASE WHEN sys < pos AND (first_recent IS NULL OR first_recent > sys) THEN sys_said + 9 ELSE 0 END ELSE 0 END) AS BIGINT) AS formatted_chars
   FROM f GROUP BY conv_id)
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos)) AS turns_sha256,
   CAST(coalesce(sum(CASE WHEN role = 'assistant' THEN length(text) END), 0) AS BIGINT) AS loss_chars,
