@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,9 +24,37 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+_ACTIVE: ContextVar[Workspace | None] = ContextVar("workspace", default=None)
+#: While a table is written, Spark deletes a job's shuffle files as soon as it ends: nothing reads them again.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Workspace]:
+    """A workspace that takes all tables ``written`` meanwhile, and deletes them at the end. What outlives it is written to
+    another workspace before."""
+    ws = Workspace(spark)
+    token = _ACTIVE.set(ws)
+    try:
+        yield ws
+    finally:
+        _ACTIVE.reset(token)
+        ws.release()
+
+
+def current() -> Workspace | None:
+    return _ACTIVE.get()
+
+
 def written(df: DataFrame, label: str, ws: Workspace | None = None) -> DataFrame:
     """``df`` as a table in the shared folder: lineage ends there and a lost executor costs a reread."""
-    return (ws or Workspace(df.sparkSession)).keep(df, label)
+    spark = df.sparkSession
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        return (ws or current() or Workspace(spark)).keep(df, label)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
 
 
 def width(spark: SparkSession) -> int:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import count_words, fresh, width, written
+from ..workspace import Workspace
+from .common import count_words, current, fresh, scratch, width, written
 
 #: A repeated run counts from so many words on; shorter ones recur in texts that share no passage.
 LEAST_WORDS = 10
@@ -92,26 +93,28 @@ def dedup_lines(
     lines = lines.select(
         "doc", "row", "at", F.substring(F.unhex(F.sha2("x.body", 256)), 1, 16).alias("id"), count_words(F.col("x.body")).alias("words")
     )
-    lines = written(lines, "lines")
-    repeated = lines.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    active = lines.join(_ranked(repeated, ["id"], "names"), "id").select("doc", "row", "at", "words", "rank")
-    active = written(active.distinct(), "active")
-    runs = written(_runs(active, least_words), "runs")
-    longest = runs.agg(F.max("size")).first()[0] or 1
-    ranks = suffix_ranks(active, longest)
-    runs = runs.withColumn("level", F.floor(F.log2(F.col("size") + F.lit(0.5))).cast("int"))
-    second = (F.col("start") + F.col("size") - F.pow(F.lit(2), F.col("level")).cast("int")).alias("second")
-    at1 = ranks.select("level", "row", F.col("at").alias("start"), F.col("rank").alias("r1"))
-    at2 = ranks.select("level", "row", F.col("at").alias("second"), F.col("rank").alias("r2"))
-    named = runs.withColumn("second", second).join(at1, ["level", "row", "start"]).join(at2, ["level", "row", "second"])
-    named = written(named.select("size", "r1", "r2", "doc", "row", "start"), "named")
-    first = named.groupBy("size", "r1", "r2").agg(F.min(F.struct("doc", "row", "start")).alias("first"), F.count(F.lit(1)).alias("n"))
-    first = written(first.filter("n > 1").drop("n"), "first")
-    later = named.join(first, ["size", "r1", "r2"]).filter(
-        (F.col("row") != F.col("first.row")) | (F.col("start") != F.col("first.start"))
-    )
-    places = later.select("row", F.explode(F.sequence("start", F.col("start") + F.col("size") - 1)).alias("at"))
-    gone = written(places.groupBy("row").agg(F.collect_set("at").alias("at")), "gone")
+    outer = current() or Workspace(docs.sparkSession)
+    with scratch(docs.sparkSession):
+        lines = written(lines, "lines")
+        repeated = lines.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+        active = lines.join(_ranked(repeated, ["id"], "names"), "id").select("doc", "row", "at", "words", "rank")
+        active = written(active.distinct(), "active")
+        runs = written(_runs(active, least_words), "runs")
+        longest = runs.agg(F.max("size")).first()[0] or 1
+        ranks = suffix_ranks(active, longest)
+        runs = runs.withColumn("level", F.floor(F.log2(F.col("size") + F.lit(0.5))).cast("int"))
+        second = (F.col("start") + F.col("size") - F.pow(F.lit(2), F.col("level")).cast("int")).alias("second")
+        at1 = ranks.select("level", "row", F.col("at").alias("start"), F.col("rank").alias("r1"))
+        at2 = ranks.select("level", "row", F.col("at").alias("second"), F.col("rank").alias("r2"))
+        named = runs.withColumn("second", second).join(at1, ["level", "row", "start"]).join(at2, ["level", "row", "second"])
+        named = written(named.select("size", "r1", "r2", "doc", "row", "start"), "named")
+        first = named.groupBy("size", "r1", "r2").agg(F.min(F.struct("doc", "row", "start")).alias("first"), F.count(F.lit(1)).alias("n"))
+        first = written(first.filter("n > 1").drop("n"), "first")
+        later = named.join(first, ["size", "r1", "r2"]).filter(
+            (F.col("row") != F.col("first.row")) | (F.col("start") != F.col("first.start"))
+        )
+        places = later.select("row", F.explode(F.sequence("start", F.col("start") + F.col("size") - 1)).alias("at"))
+        gone = written(places.groupBy("row").agg(F.collect_set("at").alias("at")), "gone", outer)
     gone = gone.select(F.col("row").alias(row), F.col("at").alias(gone_col))
     out = keyed.join(gone, row, "left")
     lines_now = F.split(F.col(text_col), "\n")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, written
+from ..workspace import Workspace
+from .common import current, fresh, scratch, written
 
 #: Slices of the key's range: a source's rows are summed by slice, and only the slice with its cut is sorted.
 SLICES = 4096
@@ -121,10 +122,12 @@ def mix(
 def mix_rows(docs: DataFrame, weights, size: Column, quality: DataFrame | None = None, id_col: str = "doc_id", source_col: str = "source", **options) -> DataFrame:
     """The rows of ``docs``, each as often as ``mix`` takes it. Rows with the same id, source and size are all taken as
     often as the one of them that is taken most."""
-    mixed = mix(docs, weights, size, quality, id_col, source_col, **options)
     key, key_source, key_size, n = (fresh(docs, x) for x in ("mix_id", "mix_source", "mix_size", "mix_copies"))
-    copies = mixed.groupBy(F.col(id_col).alias(key), F.col(source_col).alias(key_source), F.col("size").alias(key_size))
-    copies = written(copies.agg(F.max("copies").cast("int").alias(n)).filter(F.col(n) > 0), "copies")
+    outer = current() or Workspace(docs.sparkSession)
+    with scratch(docs.sparkSession):
+        mixed = mix(docs, weights, size, quality, id_col, source_col, **options)
+        copies = mixed.groupBy(F.col(id_col).alias(key), F.col(source_col).alias(key_source), F.col("size").alias(key_size))
+        copies = written(copies.agg(F.max("copies").cast("int").alias(n)).filter(F.col(n) > 0), "copies", outer)
     on = F.col(id_col).eqNullSafe(F.col(key)) & F.col(source_col).eqNullSafe(F.col(key_source))
     on &= F.coalesce(size, F.lit(0)) == F.col(key_size)
     taken = docs.join(copies, on).withColumn(n, F.explode(F.sequence(F.lit(1), F.col(n))))

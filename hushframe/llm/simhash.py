@@ -2,17 +2,13 @@
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
-from fractions import Fraction
-from itertools import islice
-from math import ceil
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh3_128_digest, xxh64_intdigest
+from xxhash import xxh64_intdigest
 
 from .common import width, written
 from .components import components
@@ -169,7 +165,7 @@ def _linked(rows: _Rows, most: int, far: int) -> tuple[np.ndarray, np.ndarray]:
     return rows.node[moved], rows.node[root[moved]]
 
 
-def _compare(batches: Iterator[pa.RecordBatch], most: int, far: int) -> Iterator[pa.RecordBatch]:
+def _compare(batches: Iterator[pa.RecordBatch], most: int, far: int, linked: Callable) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by group; the links of each group. Groups of few rows are compared together, by their distance in
     the sorted rows. A group above ``SIDE`` rows yields its number (as a, b null) and is compared in squares later."""
     rest: _Rows | None = None
@@ -190,7 +186,7 @@ def _compare(batches: Iterator[pa.RecordBatch], most: int, far: int) -> Iterator
             i = i[_near(rows[i], rows[i + d], most, far)]
             yield from out(rows.node[i], rows.node[i + d])
         for k in np.nonzero(sizes > 32)[0]:
-            yield from out(*_linked(rows[starts[k] : starts[k] + sizes[k]], most, far))
+            yield from out(*linked(rows[starts[k] : starts[k] + sizes[k]], most, far))
 
     for batch in batches:
         for at in range(0, batch.num_rows, SIDE):
@@ -213,7 +209,7 @@ def _compare(batches: Iterator[pa.RecordBatch], most: int, far: int) -> Iterator
         yield from links(rest)
 
 
-def near_links(nodes: DataFrame, most: int = 3, far: int = 0) -> DataFrame:
+def near_links(nodes: DataFrame, most: int = 3, far: int = 0, sent_by: Callable = _sent, linked: Callable = _linked) -> DataFrame:
     """(a, b): links between rows of ``nodes``, (node long, prints array<long>, check binary), each with its own node and as
     many fingerprints as the others. Two rows are linked if one of their fingerprints differs in ``most`` <= 3 bits or
     fewer and, where ``check`` isn't empty, their checks differ in ``far`` bits or fewer.
@@ -224,16 +220,18 @@ def near_links(nodes: DataFrame, most: int = 3, far: int = 0) -> DataFrame:
 
     An anchor with more than ``SIDE`` rows is left to a second pass: its rows get one of k columns by hash, and each row
     goes to the k squares of its column. A square has about ``SIDE`` rows, and every pair of the anchor meets in one.
+
+    ``sent_by`` sends the rows to other anchors, ``linked`` finds the links within a group of over 32 rows.
     """
     if not 0 <= most <= 3:
         raise ValueError("most: 0 to 3; each half of a pair must differ in at most one bit")
     parts = width(nodes.sparkSession)
-    sent = nodes.mapInArrow(_sent, "anchor long, node long, fp long, home boolean, check binary")
+    sent = nodes.mapInArrow(sent_by, "anchor long, node long, fp long, home boolean, check binary")
 
     def compared(rows: DataFrame, group: str) -> DataFrame:
         rows = rows.select(F.col(group).alias("group"), "node", "fp", "home", "check")
         rows = rows.repartition(parts, "group").sortWithinPartitions("group")
-        return written(rows.mapInArrow(lambda it: _compare(it, most, far), "na long, nb long"), "links")
+        return written(rows.mapInArrow(lambda it: _compare(it, most, far, linked), "na long, nb long"), "links")
 
     found = compared(sent, "anchor")
     large = found.filter("nb is null").select(F.col("na").alias("anchor"))
@@ -272,212 +270,3 @@ def near_components(docs: DataFrame, words: int = 3, most: int = 3, id_col: str
     ids = written(whole.join(least, "class").select("fp", "component_id"), "component_ids")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return prints.join(ids, "fp").select(F.col("id").alias(id_col), hexed.alias("fingerprint"), "component_id")
-
-
-#: Fingerprints of words, one of which must be within 3 bits, and bits of the check of 5-word shingles. Two texts that
-#: share a part s of their shingles (Jaccard) differ in acos(2s / (1 + s)) / pi of the bits: 19.4 of 128 for s = 0.8.
-PRINTS, CHECK_BITS = 3, 128
-
-
-def _far(similarity: float, bits: int = CHECK_BITS) -> int:
-    return int(bits * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-
-
-def _majority(strings: Iterator[bytes], weights: np.ndarray, seeds: int) -> np.ndarray:
-    """Words of 64 bits, two for each seed, set where more than half of the weight has the bit set in its XXH3 hash."""
-    ones = np.zeros(128 * seeds, np.int64)
-    for at in range(0, len(weights), CHUNK):
-        part = list(islice(strings, CHUNK))
-        for seed in range(seeds):
-            raw = np.frombuffer(b"".join([xxh3_128_digest(s, seed) for s in part]), np.uint8).reshape(-1, 16)
-            bits = np.unpackbits(raw, axis=1, bitorder="little")
-            own = weights[at : at + CHUNK]
-            ones[128 * seed : 128 * (seed + 1)] += bits.sum(axis=0, dtype=np.int64) if (own == 1).all() else own @ bits
-    return np.packbits(ones * 2 > weights.sum(), bitorder="little").view(np.uint64)
-
-
-def similar_prints(text: str, words: int = 5) -> tuple[np.ndarray, bytes]:
-    """(fingerprints of the words, check of the shingles) of a whole text."""
-    found = text.encode().lower().split()
-    if not found:
-        return np.zeros(PRINTS, np.uint64), bytes(CHECK_BITS // 8)
-    count = Counter(found)
-    prints = _majority(iter(count), np.fromiter(count.values(), np.int64, len(count)), 2)[:PRINTS]
-    n = max(1, len(found) - words + 1)
-    shingles = map(b" ".join, zip(*(islice(found, i, None) for i in range(words)))) if len(found) >= words else iter([b" ".join(found)])
-    return prints, _majority(shingles, np.ones(n, np.int64), 1).tobytes()
-
-
-#: Counters of shingles, by the low bits of their hash: they put common shingles last.
-COUNTERS = 1 << 16
-#: Places of a sketch; it tells unlike texts of up to about twice as many words apart before their sets are compared.
-SKETCH_BITS = 2048
-
-
-def shingle_set(text: str, words: int = 5) -> np.ndarray:
-    """Sorted different hashes (64 bits) of all shingles of a text that has words; equal hashes stand for equal shingles."""
-    found = text.encode().lower().split()
-    each = np.fromiter((xxh64_intdigest(w, 7) for w in found), np.uint64, len(found))
-    if len(found) < words:  # one shingle, unlike those of another number of words
-        words = len(found)
-        n, h = 1, np.array([words], np.uint64)
-    else:
-        n, h = len(found) - words + 1, np.zeros(len(found) - words + 1, np.uint64)
-    for i in range(words):
-        h = (h ^ each[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)  # wraps around
-        h ^= h >> np.uint64(29)
-    return np.unique(h)
-
-
-def _sketch(hashes: np.ndarray) -> bytes:
-    """For each of ``SKETCH_BITS`` places whether an odd number of hashes fall on it. Two sets differ in as many shingles at
-    least as their sketches differ in bits."""
-    odd = np.bincount((hashes >> np.uint64(32)).astype(np.int64) % SKETCH_BITS, minlength=SKETCH_BITS) & 1
-    return np.packbits(odd.astype(np.uint8)).tobytes()
-
-
-def _heads(hashes: np.ndarray, counts: np.ndarray, similarity: Fraction) -> np.ndarray:
-    """The rarest shingles of a set: two sets as alike as ``similarity`` share one of these, for the order is the same for all
-    and they share at least that part of either set."""
-    n = len(hashes)
-    order = np.lexsort((hashes, counts[hashes & np.uint64(COUNTERS - 1)]))
-    return hashes[order[: n - ceil(similarity * n) + 1]]
-
-
-def _counted(texts: DataFrame, words: int) -> np.ndarray:
-    """How many texts' shingles each counter has: a fixed number of rows is collected, whatever the table's size."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(COUNTERS, np.int64)
-        for batch in batches:
-            for t in batch.column(0):
-                total += np.bincount((shingle_set(t.as_py(), words) & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["counts"])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(COUNTERS, np.int64)
-        for batch in batches:
-            for c in batch.column(0):
-                total += np.frombuffer(c.as_py(), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["counts"])
-
-    rows = texts.select("text").mapInArrow(count, "counts binary").repartition(8).mapInArrow(add, "counts binary").collect()
-    return sum((np.frombuffer(r["counts"], np.int64) for r in rows), np.zeros(COUNTERS, np.int64))
-
-
-def _sets(rows: DataFrame, words: int) -> DataFrame:
-    """(node, own): the shingles of each (id, text), written."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own = [shingle_set(t.as_py(), words).tobytes() for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.binary())], ["node", "own"])
-
-    return written(rows.select("id", "text").mapInArrow(run, "node long, own binary"), "sets")
-
-
-def _alike(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, words: int, similarity: Fraction) -> DataFrame:
-    """The (a, b) of ``pairs`` whose shingles have a Jaccard similarity of ``similarity`` or more, exactly. Sizes and sketches
-    first rule out pairs that can't have it; only the texts (``rows``) of the others are read again."""
-
-    def may(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y, m, n in zip(*(batch.column(i) for i in (2, 3, 4, 5))):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                m, n = m.as_py(), n.as_py()
-                apart = max(abs(m - n), int(np.bitwise_count(x ^ y).sum()))
-                keep.append(m + n - apart >= similarity * (m + n + apart))  # twice the intersection and the union
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= similarity * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    def beside(pairs: DataFrame, side: DataFrame, *names: str) -> DataFrame:
-        for node, suffix in (("a", "_a"), ("b", "_b")):
-            pairs = pairs.join(side.select(F.col("node").alias(node), *(F.col(n).alias(n + suffix) for n in names)), node)
-        return pairs.select("a", "b", *(n + suffix for n in names for suffix in ("_a", "_b")))
-
-    pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct(), "pairs")
-    left = written(beside(pairs, nodes, "sketch", "size").mapInArrow(may, "a long, b long").distinct(), "left")
-    named = left.select(F.col("a").alias("node")).union(left.select("b")).distinct()
-    named = written(nodes.select("node", "digest").join(named, "node").select(F.col("node").alias("id"), "digest"), "compared")
-    sets = _sets(rows.join(named, ["id", "digest"], "left_semi").dropDuplicates(["id", "digest"]), words)
-    return written(beside(left, sets, "own").mapInArrow(judge, "a long, b long").distinct(), "alike")
-
-
-def _grouped(rows: DataFrame, links: DataFrame) -> DataFrame:
-    """``rows`` (hash, node, size) of the hashes that more than one component of ``links`` has, with its ``component``."""
-    named = written(components(links), "components")
-    now = rows.join(named, "node", "left").select("hash", "node", "size", F.coalesce("component", "node").alias("component"))
-    own = Window.partitionBy("hash")
-    now = now.withColumn("least", F.min("component").over(own)).withColumn("most", F.max("component").over(own))
-    return written(now.filter("least < most").drop("least", "most"), "grouped")
-
-
-def similar_components(
-    docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
-    """(id, component_id): near-duplicate groups. Two texts are linked if the sets of their ``words``-word shingles have a
-    Jaccard ``similarity`` or more; the smallest id reachable names a group.
-
-    Every link is checked exactly and none is missed. SimHash fingerprints find many copies at their anchors, thinned to
-    forests. All others are found by their rarest shingles, of which alike texts share one (see ``_heads``): texts that do
-    are compared with the first text of each shingle, and then all with all that are not in one group yet.
-
-    Nulls, empty and blank texts are never linked and have their own id; equal texts always share a group. Ids are
-    integers; a row with a null id has none.
-    """
-    least = Fraction(str(similarity))
-    if not 0 < least <= 1:
-        raise ValueError("similarity: above 0, at most 1")
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    rows = rows.filter(F.col("text").rlike(r"[^\x20\x09-\x0D]") & F.col("id").isNotNull())
-    counts = _counted(rows, words)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            both = [similar_prints(t.as_py(), words) for t in batch.column(1)]
-            prints = pa.array([p.view(np.int64).tolist() for p, _ in both], pa.list_(pa.int64()))
-            sets = [shingle_set(t.as_py(), words) for t in batch.column(1)]
-            heads = pa.array([_heads(x, counts, least).view(np.int64) for x in sets], pa.list_(pa.int64()))
-            size, sketch = pa.array(list(map(len, sets)), pa.int64()), pa.array(list(map(_sketch, sets)), pa.binary())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), prints, pa.array([c for _, c in both], pa.binary()), heads, size, sketch],
-                ["id", "digest", "prints", "check", "heads", "size", "sketch"],
-            )
-
-    rows = rows.withColumn("digest", F.unhex(F.sha2("text", 256)))
-    kinds = "id long, digest binary, prints array<bigint>, check binary, heads array<bigint>, size long, sketch binary"
-    prints = written(rows.mapInArrow(run, kinds), "prints")
-    # a text's own number is the smallest id that has it
-    nodes = prints.groupBy("digest").agg(F.min("id").alias("node"), *(F.first(c).alias(c) for c in ("prints", "check", "heads", "size", "sketch")))
-    nodes = written(nodes, "nodes")
-    guessed = near_links(nodes.select("node", "prints", "check"), 3, _far(similarity))
-    heads = nodes.select("node", "size", F.explode("heads").alias("hash"))
-    own = Window.partitionBy("hash")
-    shared = heads.withColumn("first", F.min("node").over(own)).withColumn("last", F.max("node").over(own))
-    shared = written(shared.filter("first < last").drop("last"), "shared")
-    links = _alike(guessed.union(shared.select("node", "first")), nodes, rows, words, least)
-    now = _grouped(shared.select("hash", "node", "size"), links)
-    held = now.select("hash", "component").distinct()
-    two = held.join(held.select("hash", F.col("component").alias("other")), "hash").filter("component < other")
-    left = now.select("hash", "component", F.col("node").alias("a"), F.col("size").alias("m"))
-    right = now.select("hash", F.col("component").alias("other"), F.col("node").alias("b"), F.col("size").alias("n"))
-    alike = F.least("m", "n") * least.denominator >= F.greatest("m", "n") * least.numerator
-    pairs = two.join(left, ["hash", "component"]).join(right, ["hash", "other"]).filter(alike).select("a", "b")
-    links = links.unionByName(_alike(pairs, nodes, rows, words, least))
-    named = written(components(links), "components")
-    # the least node of a component is its least id
-    texts = nodes.select("digest", "node").join(named, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
-    texts = written(texts, "texts")
-    found = prints.select("id", "digest").join(texts, "digest").select("id", "component_id")
-    others = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    others = others.filter(~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)) | F.col("id").isNull())
-    return found.unionByName(others.select("id", F.col("id").alias("component_id"))).withColumnRenamed("id", id_col)

@@ -250,6 +250,18 @@ def test_chat_round_trip(spark):
     assert digests(read_back(format_windows(df.limit(0)))).count() == 0
 
 
+def test_a_late_system_turn_is_in_every_later_window(spark):
+    rows = [(1, 0, "user", "hello"), (1, 1, "system", "be kind"), (1, 2, "system", "be brief")]
+    rows += [(1, t, "assistant" if t % 2 else "user", f"turn {t} " + "x" * 60) for t in range(3, 30)]
+    df = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")
+    windows = format_windows(df, budget=60, history=20).orderBy("first_turn").collect()
+    assert len(windows) > 5
+    for w in windows:
+        assert w["formatted"].count("be kind") == 1
+        assert (w["first_turn"] == 1) == ("hello" in w["formatted"]) or w["first_turn"] < 4
+    assert [digests(read_back(format_windows(df, budget=60, history=20))).first()["n_turns"]] == [30]
+
+
 # -- BPE
 
 
@@ -278,6 +290,12 @@ def test_bpe_forgets_without_harm(monkeypatch):
     want = codec.encode("some words and some other words")
     monkeypatch.setattr(bpe, "REMEMBERED", 2)
     assert codec.encode("some words and some other words") == want
+    monkeypatch.setattr(bpe, "REMEMBERED", 40)
+    merged, met = codec.merged, []
+    monkeypatch.setattr(codec, "merged", lambda word: met.append(word) or merged(word))
+    for i in range(0, 2000, 10):  # a word of every text stays, however many others come by
+        codec.encode(" ".join(["always", *(f"zq{j}" for j in range(i, i + 10))]) + " always")
+    assert met.count(" always") <= 1 and len(met) > 1000 and len(codec.young) + len(codec.old) < 120
 
 
 # -- line dedup
