@@ -17,15 +17,16 @@ BOOK_SCHEMA = "sheet string, field string, label string, code string"
 
 @dataclass
 class KeyMap:
-    """Records and entities are tables of any size; codebooks are bounded by the policy.
+    """Records, entities and codebooks are tables of any size.
 
     ``records[name]`` is ``(record_id, _row, source_key)`` for one table and
     ``(record_id, _row, entity_id)`` in a related set, with ``entities`` beside it.
+    ``book`` is ``(sheet, field, label, code)``.
     """
 
     policies: dict[str, Policy]
     records: dict[str, DataFrame]
-    books: dict[str, dict[str, dict[str, str]]]
+    book: DataFrame
     source_columns: dict[str, list[str]]
     entities: DataFrame | None = None
     shared: tuple[str, ...] = ()
@@ -55,8 +56,15 @@ class KeyMap:
         policy = self.policies[name]
         return list(policy.related_columns if self.related else policy.output_columns)
 
-    def codebook(self, spark: SparkSession) -> DataFrame:
-        return book_table(spark, self.books)
+    def book_of(self, name: str) -> DataFrame:
+        """``(field, label, code)`` of one table."""
+        return self.book.filter(F.col("sheet") == name).select("field", "label", "code")
+
+    def code(self, name: str, field: str, label: str) -> str:
+        """The code of one label."""
+        found = self.book_of(name).filter((F.col("field") == field) & (F.col("label") == label)).first()
+        refuse_if(found is None, "the codebook has no such label")
+        return found.code
 
     def manifest(self) -> dict:
         return {
@@ -72,29 +80,11 @@ class KeyMap:
         }
 
 
-def book_table(spark: SparkSession, books: dict) -> DataFrame:
-    rows = [
-        (sheet, name, label, code)
-        for sheet, fields in books.items()
-        for name, book in fields.items()
-        for label, code in book.items()
-    ]
-    return spark.createDataFrame(rows, BOOK_SCHEMA)
-
-
 def lookup_table(spark: SparkSession, pairs: dict[str, str], key: str, value: str) -> DataFrame:
-    """A bounded dictionary (one codebook column) as a broadcast side."""
+    """The approved texts of a policy, which limits their bytes, as a broadcast side."""
     return F.broadcast(spark.createDataFrame(list(pairs.items()), f"{key} string, {value} string"))
 
 
-def books_of(rows: DataFrame) -> dict:
-    """Codebook table back to dictionaries (bounded by the policies' category limit)."""
-    books: dict = {}
-    for r in rows.collect():
-        books.setdefault(r.sheet, {}).setdefault(r.field, {})[r.label] = r.code
-    return books
-
-
 # --- persistence: private columns are sealed with AES-GCM, bound to the export id ---
 def _seal(c, secret: str | None, export_id: str):
     if secret is None:
@@ -141,7 +131,7 @@ def save_key_map(spark: SparkSession, keymap: KeyMap, path: str, secret: str | N
         if secret is not None:
             entities = sealed(entities, ["source_key"], secret, keymap.export_id)
         entities.write.mode("errorifexists").parquet(f"{path}/entities")
-    book = keymap.codebook(spark)
+    book = keymap.book
     manifest = spark.createDataFrame([(keymap.export_id, json.dumps(keymap.manifest()))], "export_id string, body string")
     if secret is not None:
         book = sealed(book, ["label"], secret, keymap.export_id)
@@ -171,10 +161,7 @@ def load_key_map(spark: SparkSession, path: str, secret: str | None = None, limi
     if secret is not None:
         book = opened(book, ["label"], secret, export_id)
         entities = opened(entities, ["source_key"], secret, export_id) if related else None
-    books = {n: {c: {} for c in p.of_action("code")} for n, p in policies.items()}
-    for sheet, fields in books_of(book).items():
-        books[sheet].update(fields)
     return KeyMap(
-        policies, records, books, m["source_columns"], entities, tuple(m["shared"]),
+        policies, records, book, m["source_columns"], entities, tuple(m["shared"]),
         m["editable"], m["regions"], m["profile"], m["digests"], export_id, limits,
     )

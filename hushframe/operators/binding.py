@@ -15,6 +15,7 @@ from ..functions.hashing import LANE, framed, sha_lanes
 from ..keymap import KeyMap
 from ..sources.rows import ROW
 from ..sources.tables import data_columns, heading_ok, quoted
+from .joins import DICTIONARY_BYTES, dictionary_bytes
 from .protect import bad_key
 
 
@@ -133,38 +134,48 @@ def codebook_counts(book: DataFrame) -> DataFrame:
     return shape.join(F.broadcast(per_label)).join(F.broadcast(per_code))
 
 
+def book_faults(keymap: KeyMap) -> DataFrame:
+    """One row of violations of a key map's codebook: codes of the wrong shape, labels with several codes and codes with
+    several labels in a heading, labels that a policy doesn't list, codes of more than one owner (a heading of a table, or a
+    shared heading), shared labels whose code differs between tables, codes that double as a record or entity id."""
+    book = keymap.book
+    spark = book.sparkSession
+    shared = F.col("field").isin(list(keymap.shared))
+    owner = F.struct(F.when(~shared, F.col("sheet")).alias("sheet"), "field", "label")
+    owners = book.groupBy("code").agg(F.min(owner).alias("a"), F.max(owner).alias("b")).agg(
+        F.count_if(F.col("a") != F.col("b")).alias("several_owners")
+    )
+    between = book.filter(shared).groupBy("field", "label").agg(F.min("code").alias("a"), F.max("code").alias("b")).agg(
+        F.count_if(F.col("a") != F.col("b")).alias("unlike_shared")
+    )
+    listed = [
+        (n, c, v) for n, p in keymap.policies.items() for c in p.of_action("code") for v in p.columns[c].domain.values
+    ]
+    closed = spark.createDataFrame(listed, "sheet string, field string, label string")
+    unlisted = book.join(closed.select("sheet", "field").distinct(), ["sheet", "field"], "left_semi").join(
+        closed, ["sheet", "field", "label"], "left_anti"
+    ).agg(F.count(F.lit(1)).alias("unlisted"))
+    every = [df.select(F.col("record_id").alias("code")) for df in keymap.records.values()]
+    every += [keymap.entities.select(F.col("entity_id").alias("code"))] if keymap.related else []
+    codes = book.select("code").distinct()
+    size = sum(dictionary_bytes(book, texts=("code",)).values())
+    codes = F.broadcast(codes) if size <= DICTIONARY_BYTES else codes
+    clash = reduce(lambda a, b: a.unionByName(b), every).join(codes, "code", "left_semi").agg(
+        F.count(F.lit(1)).alias("shared_with_ids")
+    )
+    out = codebook_counts(book).drop("entries")
+    for part in (owners, between, unlisted, clash):
+        out = out.join(F.broadcast(part))
+    return out
+
+
 def check_codebook(keymap: KeyMap) -> None:
-    """Codebooks are bounded: label/code rules are checked on the driver, and that no code
-    doubles as a record or entity id in one distributed join."""
-    owner: dict[str, tuple] = {}
-    bad = 0
-    for sheet, fields in keymap.books.items():
-        policy = keymap.policies[sheet]
-        bad += set(fields) != set(policy.of_action("code"))
-        for name, book in fields.items():
-            bad += not book or len(set(book.values())) != len(book)
-            bad += sum(label not in policy.columns[name].domain.values for label in book)
-            for label, code in book.items():
-                mine = (name, label) if name in keymap.shared else (sheet, name, label)
-                bad += owner.setdefault(code, mine) != mine
-    for name in keymap.shared:
-        seen: dict[str, str] = {}
-        for fields in keymap.books.values():
-            for label, code in fields.get(name, {}).items():
-                bad += seen.setdefault(label, code) != code
-    refuse_any("codebook", {"inconsistent": bad})
-    if owner:
-        some = next(iter(keymap.records.values()))
-        codes = F.broadcast(some.sparkSession.createDataFrame([(c,) for c in owner], "code string"))
-        row = codes.agg(F.count_if(~X.is_uuid4(F.col("code"))).alias("bad")).first()
-        clash = sum(
-            df.join(codes, df.record_id == codes.code, "left_semi").count()
-            for df in keymap.records.values()
-        )
-        if keymap.related:
-            e = keymap.entities
-            clash += e.join(codes, e.entity_id == codes.code, "left_semi").count()
-        refuse_any("codebook", {"bad_codes": row.bad, "shared_with_ids": clash})
+    """Refuse a codebook that lacks a coded column, has one too many, or breaks a rule of ``book_faults``."""
+    wanted = {(n, c) for n, p in keymap.policies.items() for c in p.of_action("code")}
+    held = {(r.sheet, r.field) for r in keymap.book.select("sheet", "field").distinct().collect()}  # a row for each heading
+    refuse_any("codebook", {"columns": len(wanted ^ held)})
+    if held:
+        refuse_any("codebook", book_faults(keymap).first().asDict())
 
 
 def related_map_counts(keymap: KeyMap) -> DataFrame:

@@ -18,12 +18,12 @@ from ..errors import refuse_any, refuse_if
 from ..functions import ids
 from ..functions import numbers as N
 from ..functions import text as X
-from ..keymap import KeyMap, lookup_table
+from ..keymap import BOOK_SCHEMA, KeyMap, lookup_table
 from ..policy import Limits, Policy, Rule, shared_fields, with_domains
 from ..sources.rows import ROW
 from ..sources.tables import RESERVED, data_columns, quoted
 from ..workspace import Workspace, small_side
-from .joins import keyed_join
+from .joins import dictionary_bytes, keyed_join, looked_up
 from .textreview import check_review_source
 
 Getter = Callable[[str], Column]
@@ -57,22 +57,24 @@ def simple_value(rule: Rule, c: Column) -> Column:
 def protected_values(
     df: DataFrame,
     policy: Policy,
-    books: dict[str, dict[str, str]],
+    book: DataFrame,
     get: Getter = quoted,
     reviews: dict[str, DataFrame] | None = None,
 ) -> tuple[DataFrame, dict[str, Column]]:
     """(``df`` with lookups attached, protected value per retained column).
 
-    Codebooks are bounded by the policy and broadcast. Review maps of a policy are too;
-    a review *table* of any size joins on the digest with hot texts spread.
+    ``book`` is the table's ``(field, label, code)``: dictionaries are sent around while they
+    are small and joined by label otherwise. Review maps of a policy are small; a review
+    *table* of any size joins on the digest. Hot labels and texts are spread.
     """
     values: dict[str, Column] = {}
     spark = df.sparkSession
+    sizes = dictionary_bytes(book) if policy.of_action("code") else {}
     for i, name in enumerate(policy.retained):
         rule = policy.columns[name]
         if rule.action == "code":
-            side = lookup_table(spark, books[name], f"_l{i}", f"_c{i}")
-            df = df.join(side, get(name) == F.col(f"_l{i}"), "left")
+            side = book.filter(F.col("field") == name).select(F.col("label").alias(f"_l{i}"), F.col("code").alias(f"_c{i}"))
+            df = looked_up(df, get(name), side, f"_l{i}", sizes.get(name, 0))
             values[name] = F.col(f"_c{i}")
         elif rule.domain.from_table:
             refuse_if(name not in (reviews or {}), "a review table is missing")
@@ -105,13 +107,13 @@ def bad_key(c: Column) -> Column:
 
 
 def gate_counts(stage: DataFrame, policy: Policy, key: str = "source_key") -> DataFrame:
-    """One row of violation counts and, per category column, the observed labels/codes
-    (at most as many as the policy allows)."""
+    """One row of violation counts and, per column of kept categories, the observed ones
+    (at most as many as the policy lists)."""
     aggs = [F.count(F.lit(1)).alias("n_rows"), F.count_if(bad_key(F.col(key))).alias("bad_keys")]
     for i, name in enumerate(policy.retained):
         c = quoted(name)
         aggs.append(F.count_if(c.isNull()).alias(f"bad{i}"))
-        if policy.columns[name].action in ("keep", "code"):
+        if policy.columns[name].action == "keep":
             aggs.append(F.collect_set(c).alias(f"seen{i}"))
     return stage.agg(*aggs)
 
@@ -128,7 +130,7 @@ def _gate(stage: DataFrame, policy: Policy) -> dict[str, set[str]]:
     return {
         name: set(row[f"seen{i}"])
         for i, name in enumerate(policy.retained)
-        if policy.columns[name].action in ("keep", "code")
+        if policy.columns[name].action == "keep"
     }
 
 
@@ -140,20 +142,55 @@ def repeated_keys(df: DataFrame, key: str = "source_key") -> DataFrame:
     )
 
 
-def draw_books(policy: Policy) -> dict[str, dict[str, str]]:
-    """A fresh code for every allowed label of every coded column."""
-    return {n: ids.new_codes(policy.columns[n].domain.values) for n in policy.of_action("code")}
-
-
-def _observed(policy: Policy, books: dict, seen: dict[str, set[str]]) -> tuple[dict, dict]:
-    """(books cut to observed codes, observed labels per category column)."""
-    kept = {
-        n: {label: code for label, code in books[n].items() if code in seen[n]} for n in books
-    }
-    labels = {
-        n: list(kept[n]) if policy.columns[n].action == "code" else list(seen[n]) for n in seen
-    }
-    return kept, labels
+def draw_book(
+    sources: dict[str, DataFrame], policies: dict[str, Policy], ws: Workspace, shared: tuple[str, ...] = ()
+) -> DataFrame:
+    """``(sheet, field, label, code)``: a fresh code for every allowed label of every coded column, drawn in the
+    tasks and written once. Labels are those that a policy lists, or all safe ones of the source. A shared
+    heading has one code for a label, whatever table it stands in."""
+    spark = ws.spark
+    listed, parts = [], []
+    for name, policy in policies.items():
+        for heading in policy.of_action("code"):
+            if policy.columns[heading].domain.from_table:
+                label = quoted(heading)
+                own = sources[name].filter(X.safe_category(label)).select(label.alias("label")).distinct()
+                parts.append(own.select(F.lit(name).alias("sheet"), F.lit(heading).alias("field"), "label"))
+            else:
+                listed += [(name, heading, v) for v in policy.columns[heading].domain.values]
+    parts.append(spark.createDataFrame(listed, "sheet string, field string, label string"))
+    labels = reduce(lambda a, b: a.unionByName(b), parts)
+    owner = F.when(~F.col("field").isin(list(shared)), F.col("sheet"))
+    drawn = labels.groupBy(owner.alias("owner"), "field", "label").agg(F.collect_set("sheet").alias("sheets"))
+    drawn = ws.keep(drawn.withColumn("code", ids.random_id(F.col("label"))), "drawn")
+    return drawn.select(F.explode("sheets").alias("sheet"), "field", "label", "code")
+
+
+def _observed(
+    policies: dict[str, Policy], stages: dict[str, DataFrame], book: DataFrame, seen: dict[str, dict[str, set[str]]], ws: Workspace
+) -> tuple[DataFrame, dict[str, dict[str, list[str]]]]:
+    """(book cut to observed codes, observed labels per column that a policy lists labels for)."""
+    used = []
+    for name, policy in policies.items():
+        coded = policy.of_action("code")
+        if coded:
+            cells = [F.struct(F.lit(n).alias("field"), quoted(n).alias("code")) for n in coded]
+            pairs = stages[name].select(F.explode(F.array(*cells)).alias("c")).select("c.*").distinct()
+            used.append(pairs.withColumn("sheet", F.lit(name)))
+    if not used:
+        return ws.spark.createDataFrame([], BOOK_SCHEMA), seen
+    pairs = reduce(lambda a, b: a.unionByName(b), used)
+    kept = ws.keep(book.join(pairs, ["sheet", "field", "code"], "left_semi").select("sheet", "field", "label", "code"), "book")
+    from_source = [(n, c) for n, p in policies.items() for c in p.of_action("code") if p.columns[c].domain.from_table]
+    labels = {n: dict(found) for n, found in seen.items()}
+    several = kept.filter(~any_pair(from_source)) if from_source else kept
+    for r in several.select("sheet", "field", "label").collect():  # as many as the policies list
+        labels.setdefault(r.sheet, {}).setdefault(r.field, []).append(r.label)
+    return kept, {n: {c: list(v) for c, v in found.items()} for n, found in labels.items()}
+
+
+def any_pair(pairs: list[tuple[str, str]]) -> Column:
+    return reduce(lambda a, b: a | b, [(F.col("sheet") == s) & (F.col("field") == f) for s, f in pairs])
 
 
 def protect(
@@ -168,8 +205,8 @@ def protect(
     """Protect one table: unique keys, a random record id per row, codes per column."""
     check_schema(source, policy)
     check_review_source(source, policy, reviews)
-    books = draw_books(policy)
-    df, values = protected_values(source, policy, books, reviews=reviews)
+    book = draw_book({name: source}, {name: policy}, ws)
+    df, values = protected_values(source, policy, book.drop("sheet"), reviews=reviews)
     staged = df.select(
         ROW,
         quoted(policy.source_key).alias("source_key"),
@@ -178,11 +215,11 @@ def protect(
     stage = ws.keep(staged, "stage")
     seen = _gate(stage, policy)
     refuse_any("source keys", {"repeated": repeated_keys(stage).first().repeated_keys})
-    kept, labels = _observed(policy, books, seen)
+    kept, labels = _observed({name: policy}, {name: stage}, book, {name: seen}, ws)
     keymap = KeyMap(
-        {name: with_domains(policy, labels, limits)},
+        {name: with_domains(policy, labels[name], limits)},
         {name: stage.select("record_id", ROW, "source_key")},
-        {name: kept},
+        kept,
         {name: data_columns(source)},
         profile=profile,
         limits=limits,
@@ -224,19 +261,11 @@ def protect_related(
     refuse_any("source keys", {"blank_or_unsafe": bad})
     n_entities = entities.count()
 
-    common = {
-        field: ids.new_codes(
-            {v for p in policies.values() if field in p.of_action("code")
-             for v in p.columns[field].domain.values}
-        )
-        for field in shared
-    }
-    stages, tables, records, books, narrowed = {}, {}, {}, {}, {}
+    book = draw_book(sources, policies, ws, shared)
+    stages, tables, records, seen = {}, {}, {}, {}
     for name, source in sources.items():
         policy = policies[name]
-        own = draw_books(policy)
-        for field in set(own) & set(shared):
-            own[field] = {v: common[field][v] for v in policy.columns[field].domain.values}
+        own = book.filter(F.col("sheet") == name).drop("sheet")
         df, values = protected_values(source, policy, own)
         flat = df.select(
             ROW,
@@ -249,16 +278,15 @@ def protect_related(
         else:
             linked = keyed_join(flat, right, "source_key", ROW, counts=entities)
         stage = ws.keep(linked.withColumn("record_id", ids.random_id(F.col(ROW))), "stage")
-        seen = _gate(stage, policy)
-        books[name], labels = _observed(policy, own, seen)
-        narrowed[name] = with_domains(policy, labels, limits)
+        seen[name] = _gate(stage, policy)
         stages[name] = stage
         records[name] = stage.select("record_id", ROW, "entity_id")
         tables[name] = stage.select(*[quoted(c) for c in policy.related_columns])
+    kept, labels = _observed(policies, stages, book, seen, ws)
     keymap = KeyMap(
-        narrowed,
+        {n: with_domains(p, labels.get(n, {}), limits) for n, p in policies.items()},
         records,
-        books,
+        kept,
         {n: data_columns(s) for n, s in sources.items()},
         entities=entities.select("entity_id", "source_key"),
         shared=tuple(shared),

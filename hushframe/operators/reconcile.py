@@ -18,7 +18,7 @@ from .restore import (
     cells,
     change_counts,
     decode_edits,
-    edit_books,
+    edit_book,
     reconstruct_related,
     review_related,
     same_set,
@@ -146,8 +146,7 @@ def decode_proposals(
     """(``entity_id`` + decoded editable columns, one row of violation counts)."""
     editable = keymap.editable[target]
     refuse_if(set(data_columns(proposals)) != {"entity_id", *editable}, "proposal columns")
-    books = {n: b for (sheet, n), b in edit_books(keymap).items() if sheet == target}
-    looked, decoded = decode_edits(proposals, keymap.policies[target], editable, books, get=quoted)
+    looked, decoded = decode_edits(proposals, keymap.policies[target], editable, edit_book(keymap, target), get=quoted)
     out = looked.select("entity_id", *[decoded[n].alias(n) for n in editable])
     per_entity = out.groupBy("entity_id").agg(
         F.count(F.lit(1)).alias("n"),

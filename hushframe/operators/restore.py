@@ -15,12 +15,13 @@ from pyspark.sql import functions as F
 from ..errors import refuse_any, refuse_if
 from ..functions import numbers as N
 from ..functions import text as X
-from ..keymap import KeyMap, lookup_table
+from ..keymap import KeyMap
 from ..policy import Policy, Rule
 from ..sources.rows import ROW
 from ..sources.tables import check_headings, data_columns, heading_ok, quoted
 from ..workspace import Workspace
 from .binding import check_map, check_unchanged
+from .joins import dictionary_bytes, looked_up
 from .profile import any_of
 from .protect import bad_key, protected_values
 
@@ -151,29 +152,23 @@ def bijection_counts(df: DataFrame, label: Column, code: Column) -> DataFrame:
 
 
 # --- edits ---
-def edit_books(keymap: KeyMap) -> dict[tuple[str, str], dict[str, str]]:
-    """Code -> label per (table, column); shared columns see the codes of every table."""
-    pooled: dict[str, dict[str, str]] = {n: {} for n in keymap.shared}
-    for fields in keymap.books.values():
-        for name in set(fields) & set(pooled):
-            pooled[name].update({c: label for label, c in fields[name].items()})
-    return {
-        (sheet, name): pooled.get(name) or {c: label for label, c in book.items()}
-        for sheet, fields in keymap.books.items()
-        for name, book in fields.items()
-    }
+def edit_book(keymap: KeyMap, name: str) -> DataFrame:
+    """``(field, code, label)`` of one table; shared columns see the codes of every table."""
+    mine = (F.col("sheet") == name) | F.col("field").isin(list(keymap.shared))
+    return keymap.book.filter(mine).select("field", "code", "label").distinct()
 
 
 def decode_edits(
-    df: DataFrame, policy: Policy, names: list[str], books: dict[str, dict[str, str]], get=ret
+    df: DataFrame, policy: Policy, names: list[str], book: DataFrame, get=ret
 ) -> tuple[DataFrame, dict[str, Column]]:
     """(``df`` with codebook lookups, decoded value per editable column; NULL = refused)."""
     decoded: dict[str, Column] = {}
+    sizes = dictionary_bytes(book) if set(names) & set(policy.of_action("code")) else {}
     for i, name in enumerate(names):
         rule = policy.columns[name]
         if rule.action == "code":
-            side = lookup_table(df.sparkSession, books[name], f"_ec{i}", f"_el{i}")
-            df = df.join(side, get(name) == F.col(f"_ec{i}"), "left")
+            side = book.filter(F.col("field") == name).select(F.col("code").alias(f"_ec{i}"), F.col("label").alias(f"_el{i}"))
+            df = looked_up(df, get(name), side, f"_ec{i}", sizes.get(name, 0))
             decoded[name] = F.col(f"_el{i}")
         elif rule.action == "keep":
             decoded[name] = F.when(get(name).isin(list(rule.domain.values)), get(name))
@@ -262,10 +257,9 @@ def marked_return(
     both, fresh = joined_return(name, source, returned, keymap)
     fixed = [n for n in policy.retained if n not in editable]
     both, expected = protected_values(
-        both.withColumn(ROW, F.col("_at")), policy, keymap.books[name], get=src, reviews=reviews
+        both.withColumn(ROW, F.col("_at")), policy, keymap.book_of(name), get=src, reviews=reviews
     )
-    inverse = {n: b for (s, n), b in edit_books(keymap).items() if s == name}
-    both, decoded = decode_edits(both, policy, editable, inverse)
+    both, decoded = decode_edits(both, policy, editable, edit_book(keymap, name))
     marked = both.select(
         "record_id",
         "_at",

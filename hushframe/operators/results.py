@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 
 from ..errors import refuse_any, refuse_if
 from ..functions import text as X
-from ..keymap import KeyMap, lookup_table
+from ..keymap import KeyMap
 from ..sources.rows import ROW
 from ..sources.tables import data_columns, quoted
 from ..workspace import Workspace
 from .binding import check_unchanged, table_digests
-from .joins import keyed_join
+from .joins import dictionary_bytes, keyed_join, looked_up
 from .profile import any_of
 from .restore import cells, same_set, src
 
@@ -24,28 +24,27 @@ IDS = ("entity_id", "record_id")
 
 @dataclass
 class Domains:
-    """Per heading: code -> label over all tables, known labels, ambiguous headings."""
+    """``codes`` is ``(field, code, label)`` over all tables, ``known`` is ``(field, label)``; ``ambiguous`` and ``headings`` are
+    headings, of which there are as many as coded columns."""
 
-    codes: dict[str, dict[str, str]] = field(default_factory=dict)
-    known: dict[str, set[str]] = field(default_factory=dict)
+    codes: DataFrame
+    known: DataFrame
     ambiguous: set[str] = field(default_factory=set)
+    headings: set[str] = field(default_factory=set)
 
 
 def domains(keymap: KeyMap) -> Domains:
-    """Bounded by the policies' category limit, so it stays on the driver."""
-    d = Domains()
-    coded_in: dict[str, int] = {}
-    for sheet, policy in keymap.policies.items():
-        for name in policy.of_action("keep"):
-            d.known.setdefault(name, set()).update(policy.columns[name].domain.values)
-        for name, book in keymap.books[sheet].items():
-            coded_in[name] = coded_in.get(name, 0) + 1
-            d.known.setdefault(name, set()).update(book)
-            codes = d.codes.setdefault(name, {})
-            for label, code in book.items():
-                refuse_if(codes.setdefault(code, label) != label, "a code stands for two labels")
-    d.ambiguous = {n for n, times in coded_in.items() if times > 1 and n not in keymap.shared}
-    return d
+    """Codes and known labels as tables of any size; a code that stands for two labels is refused."""
+    book = keymap.book
+    split = book.groupBy("field", "code").agg(F.min("label").alias("a"), F.max("label").alias("b"))
+    refuse_any("a code stands for two labels", {"codes": split.filter("a <> b").count()})
+    kept = [
+        (n, v) for p in keymap.policies.values() for n in p.of_action("keep") for v in p.columns[n].domain.values
+    ]
+    known = book.select("field", "label").union(book.sparkSession.createDataFrame(kept, "field string, label string"))
+    coded = [n for p in keymap.policies.values() for n in p.of_action("code")]
+    ambiguous = {n for n in coded if coded.count(n) > 1 and n not in keymap.shared}
+    return Domains(book.select("field", "code", "label").distinct(), known.distinct(), ambiguous, set(coded))
 
 
 def domain_table(book: DataFrame, shared: tuple[str, ...]) -> DataFrame:
@@ -65,14 +64,18 @@ def decode_results(
 ) -> tuple[DataFrame, dict[str, Column], dict[str, Column], dict[str, Column]]:
     """(``df`` with lookups, value, is-novel and is-bad per result column)."""
     value, novel, bad = {}, {}, {}
+    code_bytes, label_bytes = dictionary_bytes(d.codes), dictionary_bytes(d.known, texts=("label",))
     for i, n in enumerate(names):
         c = quoted(n)
-        label = F.lit(None).cast("string")
-        if d.codes.get(n):
-            df = df.join(
-                lookup_table(df.sparkSession, d.codes[n], f"_c{i}", f"_l{i}"), c == F.col(f"_c{i}"), "left"
-            )
+        label, known = F.lit(None).cast("string"), F.lit(False)
+        if n in code_bytes:
+            side = d.codes.filter(F.col("field") == n).select(F.col("code").alias(f"_c{i}"), F.col("label").alias(f"_l{i}"))
+            df = looked_up(df, c, side, f"_c{i}", code_bytes[n])
             label = F.col(f"_l{i}")
+        if n in label_bytes:
+            side = d.known.filter(F.col("field") == n).select(F.col("label").alias(f"_k{i}"), F.lit(True).alias(f"_known{i}"))
+            df = looked_up(df, c, side, f"_k{i}", label_bytes[n])
+            known = F.coalesce(F.col(f"_known{i}"), F.lit(False))
         is_code = label.isNotNull()
         blank = c == ""
         bad[n] = ~blank & (
@@ -80,7 +83,6 @@ def decode_results(
             | (is_code & F.lit(n in d.ambiguous))
             | (~is_code & X.is_uuid_shaped(c))
         )
-        known = c.isin(sorted(d.known[n])) if d.known.get(n) else F.lit(False)
         novel[n] = ~blank & ~is_code & ~known
         value[n] = F.coalesce(label, c)
     return df, value, novel, bad
@@ -244,10 +246,7 @@ def join_source(
 ) -> DataFrame:
     """Source columns, then results; every row must find exactly one safe source row."""
     index = source_index(sources[j.source], keymap, j)
-    if j.by == "entity_id":
-        joined = keyed_join(stage, index, "entity_id", ROW)
-    else:
-        joined = stage.join(index, "record_id", "left")
+    joined = keyed_join(stage, index, j.by, ROW)  # blank record ids may be many, too
     out = ws.keep(joined.select(ROW, "_src", *[quoted(n) for n in fields]), "joined")
     row = out.agg(
         F.count_if(F.col("_src").isNull()).alias("unmatched"),

@@ -28,7 +28,7 @@ from ..operators.protect import (
     simple_value,
 )
 from ..errors import Refused
-from ..policy import PolicyBuilder, shared_fields
+from ..policy import SOURCE_LABELS, PolicyBuilder, shared_fields
 from ..sources import tables as T
 from ..sources.rows import ROW
 from . import sql as S
@@ -125,8 +125,42 @@ def code_shape(c):
 def decoded_codes(c):
     _, p = protected_customer(c)
     counts = P.distinct_values(p.table, ["c_mktsegment", "c_nationkey"])
-    book = p.keymap.codebook(c.spark).select(F.col("field").alias("column"), F.col("code").alias("value"), "label")
-    return counts.join(F.broadcast(book), ["column", "value"]).select("label", "n")
+    book = p.keymap.book.select(F.col("field").alias("column"), F.col("code").alias("value"), "label")
+    return counts.join(book, ["column", "value"]).select("label", "n")
+
+
+def large_domain(c):
+    """Parts under a label of their own, more labels than a policy may list: coded as the source holds them."""
+    source = c.text("part", ["p_partkey", "p_name"])
+    label = F.concat_ws(" ", "p_name", "p_partkey")
+    source = source.select("p_partkey", label.alias("article"), ROW)
+    policy = PolicyBuilder().key("p_partkey").code("article", SOURCE_LABELS, "quasi_identifier").build()
+    return source, protect(source, policy, c.ws, profile=LOOSE)
+
+
+@query("d6_large_domain", "SELECT p_name || ' ' || CAST(p_partkey AS VARCHAR) AS label, count(*) n FROM part GROUP BY 1")
+def coded_large_domain(c):
+    """Every code of the shared table, put back by the codebook."""
+    _, p = large_domain(c)
+    book = p.keymap.book.select(F.col("code").alias("article"), "label")
+    codes = p.table.groupBy("article").agg(F.count(F.lit(1)).alias("n"))
+    return codes.join(book, "article").select("label", "n")
+
+
+@query(
+    "g5_large_codebook",
+    "SELECT count(DISTINCT p_name || ' ' || CAST(p_partkey AS VARCHAR)) AS entries, count(DISTINCT p_brand) AS damaged FROM part",
+)
+def damaged_large_codebook(c):
+    """The codebook of a large domain, where all articles of a brand were given one code: a merged code for each brand."""
+    _, p = large_domain(c)
+    brands = c.text("part", ["p_partkey", "p_brand"]).select(F.col("p_partkey").alias("source_key"), "p_brand")
+    rows = p.stages["table"].select("source_key", F.col("article").alias("code")).join(brands, "source_key")
+    least = rows.groupBy("p_brand").agg(F.min("code").alias("least"))
+    book = p.keymap.book.join(rows.select("code", "p_brand"), "code").join(least, "p_brand")
+    bad = replace(p.keymap, book=book.select("sheet", "field", "label", F.col("least").alias("code")))
+    counts = B.book_faults(bad)
+    return counts.join(F.broadcast(p.keymap.book.agg(F.count(F.lit(1)).alias("entries")))).select("entries", F.col("merged_codes").alias("damaged"))
 
 
 @query(
@@ -217,7 +251,7 @@ def shared_codes(c):
     parts = []
     for shared in (("nation",), ()):
         p = protect_related(sources, policies, c.ws, shared=shared)
-        book = p.keymap.codebook(c.spark)
+        book = p.keymap.book
         per = book.groupBy("label", "code").agg(F.count(F.lit(1)).alias("n"))
         parts.append(
             per.agg(F.sum("n").alias("entries"), F.count_if(F.col("n") > 1).alias("same_code")).withColumn("shared", F.lit(bool(shared)))

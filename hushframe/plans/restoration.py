@@ -69,7 +69,7 @@ def expected_values(c):
     """Recompute every protected cell from source and stored codebook; compare."""
     source, p = bound_customer(c)
     policy = p.keymap.policies["table"]
-    df, values = protected_values(source, policy, p.keymap.books["table"])
+    df, values = protected_values(source, policy, p.keymap.book_of("table"))
     want = df.select(ROW, *[v.alias(f"w{i}") for i, v in enumerate(values.values())])
     pairs = want.join(p.stages["table"].select(ROW, *values), ROW)
     off = F.lit(False)
@@ -88,7 +88,7 @@ def expected_values(c):
 def review_counts(c):
     """A return where overdrawn rows got another segment code and an unsafe result."""
     source, p = bound_customer(c)
-    code = p.keymap.books["table"]["c_mktsegment"]["BUILDING"]
+    code = p.keymap.code("table", "c_mktsegment", "BUILDING")
     low = F.col("c_acctbal") == "[-1000, 0)"
     back = returned(p, grade=F.when(low, "=1+1").otherwise("Solid")).withColumn(
         "c_mktsegment", F.when(low, F.lit(code)).otherwise(F.col("c_mktsegment"))
@@ -181,12 +181,12 @@ def related_review(c):
 def edited(c):
     """Finished orders set to open with urgent priority; dear ones capped at 400000."""
     sources, p = related(c, numbers=True, editable=True)
-    book = p.keymap.books["orders"]["o_orderpriority"]
+    urgent = p.keymap.code("orders", "o_orderpriority", "1-URGENT")
     status, price = F.col("o_orderstatus"), F.col("o_totalprice")
     back = {
         "customer": returned(p, "customer"),
         "orders": returned(p, "orders")
-        .withColumn("o_orderpriority", F.when(status == "F", F.lit(book["1-URGENT"])).otherwise(F.col("o_orderpriority")))
+        .withColumn("o_orderpriority", F.when(status == "F", F.lit(urgent)).otherwise(F.col("o_orderpriority")))
         .withColumn("o_totalprice", F.when(price.cast("double") > 400_000, "0400000.00").otherwise(price))
         .withColumn("o_orderstatus", F.when(status == "F", "O").otherwise(status)),
     }
@@ -237,8 +237,8 @@ def decoded_edits(c):
     df = p.tables["orders"].withColumn("o_orderstatus", F.when(F.col("o_orderstatus") == "F", "Finished").otherwise(F.col("o_orderstatus"))).withColumn(
         "o_totalprice", F.when(F.col("o_totalprice").cast("double") > 300_000, "1000000.01").otherwise(F.col("o_totalprice"))
     )
-    books = {n: b for (s, n), b in R.edit_books(p.keymap).items() if s == "orders"}
-    looked, decoded = R.decode_edits(df, p.keymap.policies["orders"], p.keymap.editable["orders"], books, get=T.quoted)
+    book = R.edit_book(p.keymap, "orders")
+    looked, decoded = R.decode_edits(df, p.keymap.policies["orders"], p.keymap.editable["orders"], book, get=T.quoted)
     return looked.groupBy(decoded["o_orderstatus"].alias("status"), decoded["o_orderpriority"].alias("priority")).agg(
         F.count(F.lit(1)).alias("n"), F.count_if(decoded["o_totalprice"].isNull()).alias("refused_numbers")
     )
@@ -294,7 +294,7 @@ def result_domains(c):
     p = protect_related(sources, policies, c.ws)
     d = I.domains(p.keymap)
     assert d.ambiguous == {"nation"}
-    return I.domain_table(p.keymap.codebook(c.spark), p.keymap.shared)
+    return I.domain_table(p.keymap.book, p.keymap.shared)
 
 
 def result_rows(c):
@@ -437,7 +437,7 @@ def participants(c, additions=True, removals=True, propose=True):
     settings = J.Settings("target", "reference", "added", additions, removals, {"segment": ("reference", "sector")})
     if propose:
         new = J.incoming(p.keymap.records["target"], p.keymap.records["reference"])
-        code = p.keymap.books["target"]["priority"]["5-LOW"]
+        code = p.keymap.code("target", "priority", "5-LOW")
         back["added"] = new.select("entity_id", F.lit("0").alias("orders"), F.lit(code).alias("priority"), F.col("_at").alias(ROW))
     return sources, p, back, settings
 
@@ -527,7 +527,7 @@ def completeness(c):
 def proposals(c):
     """Everybody of the reference proposed, with a number above its bound."""
     _, p, back, _ = participants(c, propose=False)
-    code = p.keymap.books["target"]["priority"]["5-LOW"]
+    code = p.keymap.code("target", "priority", "5-LOW")
     everyone = p.keymap.records["reference"].select("entity_id", F.lit("1001").alias("orders"), F.lit(code).alias("priority"), ROW)
     new = J.incoming(p.keymap.records["target"], p.keymap.records["reference"])
     return J.decode_proposals(everyone, new, p.keymap, "target")[1]

@@ -269,9 +269,7 @@ def publish_customer(c):
     data, private = f"{c.ws.root}/shared/data", f"{c.ws.root}/private/map"
     publish(c.spark, p, {"table": source}, data, private, approved=True, secret="0" * 32)
     keymap = load_key_map(c.spark, private, "0" * 32)
-    labels = F.broadcast(
-        keymap.codebook(c.spark).filter("field = 'c_mktsegment'").select(F.col("code").alias("c_mktsegment"), F.col("label").alias("segment"))
-    )
+    labels = keymap.book.filter("field = 'c_mktsegment'").select(F.col("code").alias("c_mktsegment"), F.col("label").alias("segment"))
     return (
         c.spark.read.parquet(f"{data}/table")
         .join(keymap.records["table"], "record_id")

@@ -44,3 +44,11 @@ def table(spark, ws):
 
 def ordered(df):
     return [tuple(r) for r in df.orderBy("_row").drop("_row").collect()]
+
+
+def books(keymap):
+    """A key map's codebook as nested dictionaries."""
+    out = {}
+    for r in keymap.book.collect():
+        out.setdefault(r.sheet, {}).setdefault(r.field, {})[r.label] = r.code
+    return out

@@ -1,14 +1,18 @@
+from dataclasses import replace
+
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from conftest import ordered
+from conftest import books, ordered
 from hushframe.errors import Refused
 from hushframe.operators import binding as B
+from hushframe.operators import joins
 from hushframe.operators import profile as P
 from hushframe.operators import restore as R
 from hushframe.operators import risk as K
 from hushframe.operators.protect import protect
-from hushframe.policy import PolicyBuilder
+from hushframe.policy import SOURCE_LABELS, PolicyBuilder, parse_policy, policy_dict
 
 COLUMNS = ["student_name", "student_number", "email", "campus", "subject", "gpa", "notes"]
 ROWS = [
@@ -57,7 +61,7 @@ def test_protected_values(protected):
     assert [r.gpa for r in rows] == ["4.2", "4.2", "5.5", "5.5"]
     assert [r.source_key for r in rows] == ["SYNTH-001", "SYNTH-002", "SYNTH-003", "SYNTH-004"]
     assert rows[0].campus == rows[1].campus != rows[2].campus == rows[3].campus
-    book = protected.keymap.books["table"]
+    book = books(protected.keymap)["table"]
     assert set(book["campus"]) == {"Moon", "Mars"}  # observed labels only
     assert protected.keymap.policies["table"].columns["campus"].domain.values == ("Mars", "Moon")
     assert protected.table.columns == ["record_id", "campus", "subject", "gpa"]
@@ -68,7 +72,7 @@ def test_runs_share_no_token(source, ws, protected):
 
     def tokens(p):
         ids = {r.record_id for r in p.table.collect()}
-        return ids | {c for b in p.keymap.books["table"].values() for c in b.values()}
+        return ids | {c for b in books(p.keymap)["table"].values() for c in b.values()}
 
     assert not tokens(again) & tokens(protected)
 
@@ -230,10 +234,47 @@ def test_maps_and_codebooks_are_checked(spark, protected, source):
     pairs = B.observed_codes(source, protected.stages["table"], ["campus", "subject"])
     book = pairs.select(F.lit("t").alias("sheet"), "field", "label", "code")
     assert B.codebook_counts(book).first().asDict() == {"entries": 3, "bad_codes": 0, "split_labels": 0, "merged_codes": 0}
-    clash = protected.keymap.__class__(**{**protected.keymap.__dict__, "books": {"table": {
-        "campus": {"Moon": records.first().record_id}, "subject": protected.keymap.books["table"]["subject"]}}})
+    label = F.col("label") == "Moon"
+    taken = F.when(label, F.lit(records.first().record_id)).otherwise(F.col("code"))
+    damaged = {
+        "shared_with_ids": protected.keymap.book.withColumn("code", taken),
+        "merged_codes": protected.keymap.book.withColumn("code", F.first("code").over(Window.partitionBy("field").orderBy("label"))),
+        "bad_codes": protected.keymap.book.withColumn("code", F.concat("code", F.lit("x"))),
+        "unlisted": protected.keymap.book.withColumn("label", F.concat("label", F.lit("x"))),
+        "several_owners": protected.keymap.book.withColumn("code", F.first("code").over(Window.partitionBy("sheet").orderBy("label"))),
+        "split_labels": protected.keymap.book.withColumn("label", F.first("label").over(Window.partitionBy("field").orderBy("label"))),
+    }
+    B.check_codebook(protected.keymap)
+    for fault, book in damaged.items():
+        bad = replace(protected.keymap, book=book)
+        assert B.book_faults(bad).first()[fault] > 0, fault
+        with pytest.raises(Refused):
+            B.check_codebook(bad)
+    with pytest.raises(Refused):
+        B.check_codebook(replace(protected.keymap, book=protected.keymap.book.filter("field = 'campus'")))
+
+
+def test_a_domain_of_any_size_is_coded_from_the_source(table, ws, monkeypatch):
+    """Labels beyond a policy's list: codes are drawn in the tasks, and joined by shuffle where the dictionary is large."""
+    rows = [(f"K-{i}", f"town {i % 1500}") for i in range(3000)]
+    source = table(["k", "town"], rows)
+    pol = PolicyBuilder().key("k").code("town", SOURCE_LABELS).build()
+    assert parse_policy(policy_dict(pol)) == pol
+    for limit in (joins.DICTIONARY_BYTES, 100):
+        monkeypatch.setattr(joins, "DICTIONARY_BYTES", limit)
+        monkeypatch.setattr(B, "DICTIONARY_BYTES", limit)
+        p = protect(source, pol, ws)
+        book = books(p.keymap)["table"]["town"]
+        assert len(book) == len(set(book.values())) == 1500
+        seen = {r.source_key: r.town for r in p.stages["table"].collect()}
+        assert seen == {k: book[t] for k, t in rows}
+        B.check_codebook(p.keymap)
+        B.bind_source(p.keymap, {"table": source})
+        back = p.stages["table"].select("record_id", "town", F.lit("Fine").alias("grade"), "_row")
+        out = R.reconstruct(R.review(source, back, p.keymap, ws), ["grade"])
+        assert ordered(out) == [(*r, "Fine") for r in rows]
     with pytest.raises(Refused):
-        B.check_codebook(clash)
+        protect(table(["k", "town"], [("a", "x"), ("b", "=1+1")]), pol, ws)
 
 
 def test_digest_sees_order_headings_and_rows(table):
