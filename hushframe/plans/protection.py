@@ -330,11 +330,9 @@ def schema_check(c):
     source, p = protected_customer(c)
     policy = p.keymap.policies["table"]
     leaked = p.stages["table"].select(*policy.output_columns, F.lit("x").alias("c_name"), F.lit("x").alias("notes"), F.lit("x").alias("extra"))
-    report = K.validate(leaked, policy)
-    assert not report.passed
-    n = leaked.count()
-    rows = [(cls, k, n) for cls, k in report.rejected_field_classes.items()]
-    return c.spark.createDataFrame(rows, "class string, columns int, n_rows long")
+    found = K.assess(leaked, policy).findings.filter("code <> 'columns' and level = 'error'")
+    rows = leaked.agg(F.count(F.lit(1)).alias("n_rows"))
+    return found.select(F.col("code").alias("class"), F.col("n").cast("int").alias("columns")).join(F.broadcast(rows))
 
 
 @query("f2_id_check", "SELECT count(*) n_rows, 0 bad_ids, count(*) distinct_ids FROM orders")
@@ -437,11 +435,8 @@ _RISK = (
 )
 def profiles(c):
     _, p = protected_customer(c)
-    rows = []
-    for name in K.PROFILES:
-        r = K.validate(p.table, p.keymap.policies["table"], name)
-        rows.append((name, r.passed, len(r.errors), len(r.warnings)))
-    return c.spark.createDataFrame(rows, "profile string, passed boolean, errors int, warnings int")
+    policy = p.keymap.policies["table"]
+    return union([K.assess(p.table, policy, n, n).verdicts().select(F.col("sheet").alias("profile"), "passed", "errors", "warnings") for n in K.PROFILES])
 
 
 _LINKED = (
@@ -492,10 +487,8 @@ def cross_table_ids(c):
 )
 def report(c):
     _, p = related(c)
-    linked = K.validate_related(p.tables, p.keymap, LOOSE)
-    return K.report_table(c.spark, linked.tables).select(
-        "sheet", "passed", "n_rows", "minimum_class_size", "unique_records", "small_class_records"
-    )
+    tables = K.assess_related(p.tables, p.keymap, LOOSE).verdicts().filter(F.col("sheet") != K.LINKED)
+    return tables.select("sheet", "passed", "n_rows", "minimum_class_size", "unique_records", "small_class_records")
 
 
 # --- G ---

@@ -8,7 +8,7 @@ from ..errors import Refused, refuse_if
 from ..keymap import KeyMap, save_key_map
 from ..operators.binding import check_codebook, check_identity, check_related_map, check_unchanged
 from ..operators.protect import Protected
-from ..operators.risk import validate, validate_related
+from ..operators.risk import assess, assess_related
 from ..policy import Policy
 from ..sources.rows import ROW
 from ..sources.tables import CSV, data_columns, quoted
@@ -62,12 +62,12 @@ def publish(
     keymap: KeyMap = protected.keymap
     check_unchanged(keymap, sources)
     if keymap.related:
-        validate_related(protected.tables, keymap).require_pass()
+        assess_related(protected.tables, keymap).refuse()
         check_related_map(keymap)
     else:
         for name, df in protected.tables.items():
             policy: Policy = keymap.policies[name]
-            validate(df, policy, keymap.profile).require_pass()
+            assess(df, policy, keymap.profile, name).refuse()
             check_identity(sources[name], protected.stages[name], policy.source_key)
         check_codebook(keymap)
     save_key_map(spark, keymap, map_path, secret)

@@ -78,9 +78,12 @@ def test_runs_share_no_token(source, ws, protected):
 
 
 def test_report(protected):
-    r = K.validate(protected.table, protected.keymap.policies["table"])
-    assert r.passed and (r.rows, r.minimum_class_size, r.unique_records, r.small_cells, r.small_class_records) == (4, 2, 0, 0, 0)
-    assert r.classifications["record_id"] == "pseudonymous_identifier"
+    a = K.assess(protected.table, protected.keymap.policies["table"])
+    r = a.of()
+    assert not a.refused() and (r.n_rows, r.minimum_size, r.unique_members, r.small_cells, r.small_members) == (4, 2, 0, 0, 0)
+    assert K.retained_classes(protected.keymap.policies["table"])["record_id"] == "pseudonymous_identifier"
+    v = a.verdicts().first()
+    assert (v.passed, v.n_rows, v.minimum_class_size, v.errors) == (True, 4, 2, 0) and v.warnings == a.findings.count()
 
 
 def swap(df):
@@ -91,10 +94,14 @@ def swap(df):
 def test_swapped_numbers_make_every_row_unique(protected):
     p = protected.keymap.policies["table"]
     df = swap(protected.stages["table"]).select(*p.output_columns)
-    r = K.validate(df, p)
-    assert (r.small_cells, r.unique_fraction, r.small_class_records, r.passed) == (0, 1.0, 4, False)
-    loose = K.validate(df, p, "controlled_pseudonymisation")
-    assert loose.passed and any(w.startswith(K.ACCEPTED) for w in loose.warnings)
+    a = K.assess(df, p)
+    r = a.of()
+    assert (r.small_cells, r.unique_fraction, r.small_members, a.refused()) == (0, 1.0, 4, True)
+    assert a.codes("error") == {"table: rare_rows": 4}
+    with pytest.raises(Refused):
+        a.refuse()
+    loose = K.assess(df, p, "controlled_pseudonymisation")
+    assert not loose.refused() and loose.codes("accepted") == {"table: rare_rows": 4}
 
 
 def first(column, value):
@@ -113,13 +120,13 @@ def first(column, value):
 def test_validation_refuses(protected, mutate):
     p = protected.keymap.policies["table"]
     df = mutate(protected.stages["table"].select("_row", *p.output_columns)).drop("_row")
-    assert not K.validate(df, p).passed
+    assert K.assess(df, p).refused()
 
 
 def test_rejected_columns_are_counted_by_class(protected):
     p = protected.keymap.policies["table"]
-    r = K.validate(protected.table.withColumn("email", F.lit("x")).withColumn("notes", F.lit("x")).withColumn("zzz", F.lit("x")), p)
-    assert r.rejected_field_classes == {"direct_identifier": 1, "free_text": 1, "unknown": 1} and len(r.errors) == 4
+    a = K.assess(protected.table.withColumn("email", F.lit("x")).withColumn("notes", F.lit("x")).withColumn("zzz", F.lit("x")), p)
+    assert a.codes("error") == {"table: columns": 3, "table: direct_identifier": 1, "table: free_text": 1, "table: unknown": 1}
 
 
 def replaced(i, column, value):
@@ -150,8 +157,8 @@ def test_protect_refuses_other_schema(table, ws):
 
 def test_no_retained_column_is_one_class(table, ws):
     p = protect(table(["k", "x"], [("a", "1"), ("b", "2")]), PolicyBuilder().key("k").drop("x").build(), ws)
-    r = K.validate(p.table, p.keymap.policies["table"])
-    assert (r.minimum_class_size, r.unique_records) == (2, 0)
+    r = K.assess(p.table, p.keymap.policies["table"]).of()
+    assert (r.minimum_size, r.unique_members) == (2, 0)
 
 
 def test_full_restore(source, protected, returned, ws):
@@ -323,7 +330,7 @@ def test_coded_identifiers(table, ws):
     rows = [(f"SYNTH-00{i}", n) for i, n in enumerate(["Synthetic Ada", "Synthetic Ada", "Synthetic Bea", "Synthetic Bea"])]
     p = protect(table(columns, rows), PolicyBuilder().key("Synthetic key").code("Student Name", ["Synthetic Ada", "Synthetic Bea"]).build(), ws)
     pol = p.keymap.policies["table"]
-    r = K.validate(p.table, pol)
-    assert pol.version == 5 and r.passed and r.minimum_class_size == 2
-    assert r.classifications["Student Name"] == "pseudonymous_identifier"
-    assert any("namesakes" in w for w in r.warnings)
+    a = K.assess(p.table, pol)
+    assert pol.version == 5 and not a.refused() and a.of().minimum_size == 2
+    assert K.retained_classes(pol)["Student Name"] == "pseudonymous_identifier"
+    assert "table: namesakes_share_codes" in a.codes("warning")
