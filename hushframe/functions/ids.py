@@ -61,12 +61,3 @@ def casefold(column: str) -> Column:
         return values.str.casefold()
 
     return F.pandas_udf(fold, T.StringType())(F.col(column))
-
-
-def fold_origins(column: str) -> Column:
-    """For each character of the folded text, the index of the character it came from."""
-
-    def origins(values: pd.Series) -> pd.Series:
-        return values.map(lambda text: [i for i, ch in enumerate(text) for _ in ch.casefold()])
-
-    return F.pandas_udf(origins, T.ArrayType(T.IntegerType()))(F.col(column))

@@ -16,12 +16,10 @@ from .text import (
     MAX_FIELD,
     SPACE,
     TIME,
-    WORD,
     date_in,
     email_in,
     formula_prefix,
     is_blank,
-    quote_literal,
     time_in,
 )
 
@@ -102,28 +100,6 @@ def issue_spans(c: Column) -> Column:
     )
 
 
-def word_bounded_starts(folded: Column, needle: Column) -> Column:
-    """Start of every occurrence of ``needle`` with no word character on either side,
-    overlapping ones included: the text is cut *before* each occurrence."""
-    cut = F.concat(
-        F.lit(rf"(?<![{WORD}])(?="), quote_literal(needle), F.lit(rf"(?![{WORD}]))")
-    )
-    pieces = F.split(folded, cut, -1)
-    state = "struct<at:int,out:array<int>>"
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")).cast(state)
-    starts = F.aggregate(
-        pieces,
-        zero,
-        lambda acc, piece: F.struct(
-            (acc["at"] + F.length(piece)).alias("at"),
-            F.concat(acc["out"], F.array(acc["at"])).alias("out"),
-        ).cast(state),
-        lambda acc: acc["out"],
-    )
-    at_front = F.rlike(folded, F.concat(F.lit("^"), cut))
-    return F.when(at_front, starts).otherwise(F.slice(starts, 2, F.greatest(F.size(starts) - 1, F.lit(0))))
-
-
 def utf16_spans(c: Column, spans: Column, limit: int | None = None) -> Column:
     """Distinct spans with UTF-16 offsets, by (start, end, reason); with ``limit`` the first so many."""
 

@@ -11,6 +11,7 @@ from ..functions import spans as S
 from ..functions import text as X
 from ..policy import Policy, heading_class
 from ..sources.tables import data_columns, quoted
+from .phrases import with_hits
 from .profile import column_values
 
 
@@ -35,48 +36,10 @@ def source_identifiers(source: DataFrame, columns: list[str]) -> DataFrame:
     return distinct.select(ids.casefold("value").alias("identifier")).distinct()
 
 
-def _words(c):
-    return F.regexp_extract_all(c, F.lit(rf"[{X.WORD}]+"), 0)
-
-
 def known_identifier_pairs(texts: DataFrame, identifiers: DataFrame) -> DataFrame:
-    """``(digest, identifier)`` for every identifier standing in a text as whole words.
-
-    ``texts`` is ``(digest, folded)``. A hit has word boundaries on both sides, so every
-    word of the identifier is a complete word of the text. Each identifier is anchored on
-    its rarest word (by number of texts), joined on that word, and then checked exactly.
-    Identifiers without any word are anchored on their first character.
-    """
-    tokens = texts.select(
-        "digest",
-        F.explode(
-            F.array_distinct(
-                F.concat(
-                    _words(F.col("folded")),
-                    F.regexp_extract_all("folded", F.lit(rf"[^{X.WORD}]"), 0),
-                )
-            )
-        ).alias("anchor"),
-    )
-    weight = tokens.groupBy("anchor").agg(F.count(F.lit(1)).alias("texts"))
-    own = identifiers.select(
-        "identifier",
-        F.explode(
-            F.when(F.size(_words(F.col("identifier"))) > 0, F.array_distinct(_words(F.col("identifier"))))
-            .otherwise(F.array(F.substring("identifier", 1, 1)))
-        ).alias("anchor"),
-    )
-    # An identifier with a word no text has cannot occur: left join, then drop those.
-    ranked = own.join(weight, "anchor", "left").groupBy("identifier").agg(
-        F.min(F.struct(F.coalesce("texts", F.lit(0)).alias("texts"), "anchor")).alias("best")
-    )
-    anchors = ranked.filter(F.col("best.texts") > 0).select("identifier", F.col("best.anchor").alias("anchor"))
-    pairs = tokens.join(anchors, "anchor").select("digest", "identifier")
-    exact = F.rlike(
-        F.col("folded"),
-        F.concat(F.lit(rf"(?<![{X.WORD}])"), X.quote_literal(F.col("identifier")), F.lit(rf"(?![{X.WORD}])")),
-    )
-    return pairs.join(texts, "digest").filter(exact).select("digest", "identifier")
+    """``(digest, identifier)`` for every identifier standing in a text ``(digest, text)`` as whole words."""
+    found = with_hits(texts, "digest", "text", identifiers)
+    return found.select("digest", F.explode(F.array_distinct(F.col("known.identifier"))).alias("identifier"))
 
 
 def review_findings(reviews: DataFrame, identifiers: DataFrame) -> DataFrame:
@@ -85,47 +48,17 @@ def review_findings(reviews: DataFrame, identifiers: DataFrame) -> DataFrame:
     ``reviews`` is ``(digest, approved)``; the result is ``(digest, issues, spans)`` for
     the texts with at least one issue.
     """
-    folded = reviews.select("digest", "approved", ids.casefold("approved").alias("folded"))
-    hits = known_identifier_pairs(folded.select("digest", "folded"), identifiers)
-    starts = hits.join(folded, "digest").select(
-        "digest",
-        "identifier",
-        F.posexplode(S.word_bounded_starts(F.col("folded"), F.col("identifier"))).alias("i", "start"),
-        F.length("identifier").alias("width"),
-    )
-    per_text = starts.groupBy("digest").agg(
-        F.array_sort(F.collect_list(F.struct("identifier", "start", "width"))).alias("known")
+    found = with_hits(reviews.select("digest", "approved"), "digest", "approved", identifiers)
+    known = F.transform(
+        "known", lambda k: F.struct(F.lit("known_identifier").alias("reason"), k["start"].alias("start"), k["end"].alias("end"))
     )
-    joined = folded.join(per_text, "digest", "left")
-    # Folding can lengthen a text: only then is the map back to its characters needed.
-    moved = F.length("folded") != F.length("approved")
-    with_map = joined.withColumn(
-        "origin", F.when(moved & F.col("known").isNotNull(), ids.fold_origins("approved"))
-    )
-    issues = S.issue_spans(F.col("approved"))
-
-    def to_span(k):
-        end = k["start"] + k["width"]
-        first = F.when(F.col("origin").isNull(), k["start"]).otherwise(F.get("origin", k["start"]))
-        last = F.when(F.col("origin").isNull(), end).otherwise(F.get("origin", end - 1) + 1)
-        return F.struct(
-            F.lit("known_identifier").alias("reason"),
-            first.cast("int").alias("start"),
-            last.cast("int").alias("end"),
-        )
-
-    known = F.coalesce(F.col("known"), F.array())
-    spans = F.concat(F.col("found"), F.transform(known, to_span))
     codes = F.concat(
         X.text_issues(F.col("approved")),
-        F.when(F.col("known").isNotNull(), F.array(F.lit("known_identifier"))).otherwise(
-            F.array().cast("array<string>")
-        ),
+        F.when(F.size("known") > 0, F.array(F.lit("known_identifier"))).otherwise(F.array().cast("array<string>")),
     )
-    return (
-        with_map.withColumn("found", issues)
-        .select("digest", codes.alias("issues"), S.utf16_spans(F.col("approved"), spans).alias("spans"))
-        .filter(F.size("issues") > 0)
+    spans = F.concat(S.issue_spans(F.col("approved")), known)
+    return found.select("digest", codes.alias("issues"), S.utf16_spans(F.col("approved"), spans).alias("spans")).filter(
+        F.size("issues") > 0
     )
 
 
@@ -197,9 +130,8 @@ def approve_reviews(
         "source_controls": bound.source_controls,
     }
     if identifiers is not None:
-        folded = reviews.select("digest", ids.casefold("approved").alias("folded"))
-        pairs = known_identifier_pairs(folded, identifiers)
-        counts["known_identifier"] = pairs.select("digest").distinct().count()
+        found = with_hits(reviews.select("digest", "approved"), "digest", "approved", identifiers)
+        counts["known_identifier"] = found.filter(F.size("known") > 0).count()
     refuse_any("text review", counts)
 
 

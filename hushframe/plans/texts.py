@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..errors import Refused
-from ..functions import ids
 from ..functions import spans as Z
 from ..functions import text as X
 from ..operators import binding as B
 from ..operators import redact as D
 from ..operators import textreview as E
+from ..operators.phrases import with_hits
 from ..operators.protect import protect
 from ..policy import REVIEW_TABLE, PolicyBuilder
 from ..sources.rows import ROW
@@ -134,22 +134,42 @@ _PHRASES = (
 )
 
 
+def distinct_texts(c):
+    """``(digest, text)`` of the documents."""
+    return c.text("documents", ["text"]).select(X.digest(F.col("text")).alias("digest"), "text").dropDuplicates(["digest"])
+
+
 def phrases(c):
     """Clauses of the benchmark items stand in for known identifying phrases."""
     parts = c.text("benchmark", ["text"]).select(F.explode(F.split("text", "[.,]")).alias("phrase"))
     return E.source_identifiers(parts.withColumn(ROW, F.lit(0)), ["phrase"])
 
 
-@query(
-    "e6_identifier_hits",
-    f"WITH {_PHRASES}, t AS (SELECT DISTINCT text, replace(lower(text), 'ß', 'ss') folded FROM documents)"
-    f" SELECT sha256(text) AS digest, identifier FROM t, ids WHERE CASE WHEN contains(folded, identifier) THEN"
-    f" regexp_matches(folded, {S.q(f'(^|[^{S.W}])')} || regexp_escape(identifier) || {S.q(f'($|[^{S.W}])')}) ELSE false END",
+# Occurrences from the pieces between them; a folded sharp s has two places that both lead back to one character.
+_HITS = (
+    f"WITH {_PHRASES}, t AS (SELECT DISTINCT text, lower(text) low, replace(lower(text), 'ß', 'ss') folded FROM documents),"
+    " pieces AS (SELECT text, low, folded, identifier, string_split(folded, identifier) g FROM t, ids WHERE contains(folded, identifier)),"
+    " places AS (SELECT *, unnest(list_transform(range(1, len(g)), lambda i: CAST(list_sum(list_transform(g[:i], lambda x: length(x))) AS BIGINT) + (i - 1) * length(identifier))) s FROM pieces),"
+    f" hits AS (SELECT text, low, identifier, s, s + length(identifier) e FROM places WHERE (s = 0 OR NOT regexp_matches(substr(folded, s, 1), {S.q(f'[{S.W}]')}))"
+    f" AND NOT regexp_matches(substr(folded, s + length(identifier) + 1, 1), {S.q(f'[{S.W}]')}))"
 )
+
+
+@query("e6_identifier_hits", f"{_HITS} SELECT DISTINCT sha256(text) AS digest, identifier FROM hits")
 def identifier_hits(c):
-    texts = c.text("documents", ["text"]).select(X.digest(F.col("text")).alias("digest"), "text").dropDuplicates(["digest"])
-    folded = texts.select("digest", ids.casefold("text").alias("folded"))
-    return E.known_identifier_pairs(folded, phrases(c))
+    return E.known_identifier_pairs(distinct_texts(c), phrases(c))
+
+
+@query(
+    "e6_identifier_spans",
+    f"{_HITS}, origins AS (SELECT text, flatten(list_transform(string_split(low, ''), lambda x, i: CASE WHEN x = 'ß' THEN [i - 1, i - 1] ELSE [i - 1] END)) o"
+    " FROM (SELECT DISTINCT text, low FROM hits))"
+    " SELECT sha256(text) AS digest, identifier, CAST(o[s + 1] AS INT) start_at, CAST(o[e] + 1 AS INT) end_at FROM hits JOIN origins USING (text)",
+)
+def identifier_spans(c):
+    """Where each identifier stands, in code points of the text as it is."""
+    found = with_hits(distinct_texts(c), "digest", "text", phrases(c)).select("digest", F.explode("known").alias("k"))
+    return found.select("digest", "k.identifier", F.col("k.start").alias("start_at"), F.col("k.end").alias("end_at"))
 
 
 @query(
@@ -206,14 +226,12 @@ def candidate_check(c):
 
 @query(
     "e9_review_findings",
-    f"SELECT sha256(text) AS digest, concat_ws(',', {', '.join(f'CASE WHEN {cond} THEN {S.q(k)} END' for k, cond in _CODES.items())}) AS issues"
-    f" FROM (SELECT DISTINCT text, text AS v FROM documents) WHERE {' OR '.join(f'({cond})' for cond in _CODES.values())}",
+    f"{_HITS} SELECT sha256(text) AS digest, concat_ws(',', {', '.join(f'CASE WHEN {cond} THEN {S.q(k)} END' for k, cond in _CODES.items())}, CASE WHEN known THEN 'known_identifier' END) AS issues"
+    f" FROM (SELECT DISTINCT text, text AS v, text IN (SELECT text FROM hits) AS known FROM documents) WHERE known OR {' OR '.join(f'({cond})' for cond in _CODES.values())}",
 )
 def review_findings(c):
-    """Documents taken as approved texts: every issue of every text, with no identifier known."""
-    texts = c.text("documents", ["text"]).select(X.digest(F.col("text")).alias("digest"), F.col("text").alias("approved"))
-    nobody = c.text("documents", ["text"]).select(F.col("text").alias("identifier")).filter(F.lit(False))
-    found = E.review_findings(texts.dropDuplicates(["digest"]), nobody)
+    """Documents taken as approved texts, the benchmark's clauses as known identifiers: every issue of every text."""
+    found = E.review_findings(distinct_texts(c).withColumnRenamed("text", "approved"), phrases(c))
     return found.select("digest", F.concat_ws(",", "issues").alias("issues"))
 
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from hushframe.errors import Refused
 from hushframe.operators import redact as D
+from hushframe.operators import phrases as H
 from hushframe.operators import textreview as E
 from hushframe.operators.protect import protect
 from hushframe.policy import PolicyBuilder
@@ -86,6 +87,20 @@ def test_known_identifiers_match_brute_force(spark):
             assert got[sha(t)].issues == ["known_identifier"]
 
 
+def test_phrases_in_shards(spark):
+    cases = {("a a a", "a a"): [0, 2], ("xa a", "a"): [3], ("ab", "a"): [], ("a", "a"): [0], ("", "a"): [], ("a.a", "a"): [0, 2], ("\\E x", "\\e"): [0]}
+    phrases = spark.createDataFrame([(p,) for _, p in cases] + [("",), (None,)], "identifier string").distinct()
+    texts = spark.createDataFrame([(t, t) for t in {t for t, _ in cases}] + [("null", None)], "id string, t string")
+    for most in (1 << 20, 2):  # one automaton, then one for each few phrases
+        assert len(list(H.shards(phrases, most))) == 1 or most == 2
+        got = {r.id: r.known for r in H.with_hits(texts, "id", "t", phrases, most).collect()}
+        assert got.pop("null") == []
+        for (t, p), starts in cases.items():
+            assert sorted(k.start for k in got[t] if k.identifier == p) == starts, (t, p)
+    none = H.with_hits(texts, "id", "t", phrases.limit(0))
+    assert none.filter("size(known) = 0").count() == texts.count()
+
+
 def test_span_caps(spark):
     got = findings(spark, ["ada " * 500], ["ada"])
     assert len(next(iter(got.values())).spans) == 500  # all, as no limit is given
