@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from ..errors import refuse_any, refuse_if
 from ..functions import text as X
 from ..functions.hashing import LANE, framed, sha_lanes
-from ..keymap import KeyMap
+from ..keymap import KeyMap, load_key_map
+from ..policy import Limits
 from ..sources.rows import ROW
 from ..sources.tables import data_columns, heading_ok, quoted
 from .joins import DICTIONARY_BYTES, dictionary_bytes
@@ -78,7 +79,8 @@ def map_counts(records: DataFrame, key: str = "source_key") -> DataFrame:
         F.count_if(F.col("n") > 1).alias("repeated_ids"),
     )
     by_key = records.groupBy(k.alias("k")).agg(F.count(F.lit(1)).alias("n"))
-    unusable = X.is_blank(F.col("k")) | (F.length("k") > X.MAX_FIELD)
+    # what cannot be unsealed opens as NULL
+    unusable = F.coalesce(X.is_blank(F.col("k")) | (F.length("k") > X.MAX_FIELD), F.lit(True))
     key_part = by_key.agg(
         F.count_if(unusable).alias("bad_keys"),
         F.count_if(F.col("n") > 1).alias("repeated_keys"),
@@ -137,7 +139,8 @@ def codebook_counts(book: DataFrame) -> DataFrame:
 def book_faults(keymap: KeyMap) -> DataFrame:
     """One row of violations of a key map's codebook: codes of the wrong shape, labels with several codes and codes with
     several labels in a heading, labels that a policy doesn't list, codes of more than one owner (a heading of a table, or a
-    shared heading), shared labels whose code differs between tables, codes that double as a record or entity id."""
+    shared heading), shared labels whose code differs between tables, codes that double as a record or entity id, entries
+    with a NULL (what could not be unsealed)."""
     book = keymap.book
     spark = book.sparkSession
     shared = F.col("field").isin(list(keymap.shared))
@@ -163,8 +166,9 @@ def book_faults(keymap: KeyMap) -> DataFrame:
     clash = reduce(lambda a, b: a.unionByName(b), every).join(codes, "code", "left_semi").agg(
         F.count(F.lit(1)).alias("shared_with_ids")
     )
+    lost = book.agg(F.count_if(reduce(lambda a, b: a | b, [F.col(c).isNull() for c in book.columns])).alias("missing"))
     out = codebook_counts(book).drop("entries")
-    for part in (owners, between, unlisted, clash):
+    for part in (owners, between, unlisted, clash, lost):
         out = out.join(F.broadcast(part))
     return out
 
@@ -209,7 +213,7 @@ def related_map_counts(keymap: KeyMap) -> DataFrame:
     )
     keys = keymap.entities.groupBy("source_key").agg(F.count(F.lit(1)).alias("n")).agg(
         F.count_if(F.col("n") > 1).alias("repeated_keys"),
-        F.count_if(bad_key(F.col("source_key"))).alias("bad_keys"),
+        F.count_if(F.coalesce(bad_key(F.col("source_key")), F.lit(True))).alias("bad_keys"),
     )
     entity_ids = keymap.entities.groupBy("entity_id").agg(F.count(F.lit(1)).alias("n")).agg(
         F.count_if((F.col("n") > 1) | ~X.is_uuid4(F.col("entity_id"))).alias("bad_entities")
@@ -225,6 +229,33 @@ def check_related_map(keymap: KeyMap) -> None:
     check_codebook(keymap)
 
 
+def map_faults(keymap: KeyMap) -> dict[str, int]:
+    """Violations of every rule of a key map, by name: its entries, its row numbers, its entities."""
+    if keymap.related:
+        return related_map_counts(keymap).first().asDict()
+    found = {}
+    for df in keymap.records.values():
+        rows = df.agg(
+            (F.count(F.lit(1)) - F.count(ROW)).alias("no_row"), F.min(ROW).alias("low"), F.max(ROW).alias("high"),
+            F.count(F.lit(1)).alias("n"),
+        ).first()
+        found |= map_counts(df).first().asDict()
+        found["empty"] = int(found.pop("entries") == 0)
+        repeated = df.groupBy(ROW).count().filter("count > 1").count()
+        found["row_gaps"] = rows.no_row + repeated + int(rows.n > 0 and (rows.low != 0 or rows.high != rows.n - 1))
+    return found
+
+
+def open_key_map(spark, path: str, secret: str | None = None, limits: Limits = Limits()) -> KeyMap:
+    """The map at ``path``, refused unless its records, entities, codebook and editable headings keep every rule."""
+    keymap = load_key_map(spark, path, secret, limits)
+    refuse_any("key map", map_faults(keymap))
+    for name, edits in (keymap.editable or {}).items():
+        refuse_if(name not in keymap.policies or not set(edits) <= set(keymap.policies[name].retained), "editable headings")
+    check_codebook(keymap)
+    return keymap
+
+
 def identity_counts(source: DataFrame, stage: DataFrame, key: str) -> DataFrame:
     """One row: source rows, protected rows, and rows whose private key is not the source's."""
     a = source.select(ROW, quoted(key).alias("k"))

@@ -438,9 +438,12 @@ def approved_tables(
 
 
 # --- writing edits back to a copy of the source ---
-def apply_edits(source: DataFrame, rev: Review) -> DataFrame:
+def apply_edits(source: DataFrame, rev: Review, policy: Policy | None = None, doubles: tuple[str, ...] = ()) -> DataFrame:
     """The source with only changed cells of permitted columns replaced; with no change,
-    the source itself."""
+    the source itself. ``doubles`` are the columns whose cells are kept as DOUBLE: an edit
+    that such a cell would not keep exactly is refused."""
+    if policy is not None and doubles:
+        refuse_any("edits", {"imprecise": imprecise_edits(rev, policy, list(doubles)).first().imprecise})
     changed_rows = any_of([c.isNotNull() for c in rev.edits.values()])
     edits = rev.stage.filter(changed_rows).select(
         F.col("_src_row").alias(ROW), *[c.alias(f"_e{i}") for i, c in enumerate(rev.edits.values())]

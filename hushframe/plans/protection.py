@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numbers as N
 from ..functions import text as X
-from ..keymap import opened, sealed
+from ..keymap import load_key_map, opened, save_key_map, sealed
 from ..operators import binding as B
 from ..operators import profile as P
 from ..operators import risk as K
@@ -593,6 +593,73 @@ def related_map_check(c):
     return B.related_map_counts(p.keymap).withColumn("n_rows", F.lit(n))
 
 
+@query(
+    "g4_opened_map",
+    "SELECT count(*) entries, count(DISTINCT CASE WHEN c_custkey % 7 = 0 THEN c_custkey % 70 END) bad_ids,"
+    " (SELECT count(*) FROM (SELECT c_custkey % 70 FROM customer WHERE c_custkey % 7 = 0 GROUP BY 1 HAVING count(*) > 1)) repeated_ids,"
+    " CAST(count_if(c_custkey % 10 = 0) > 0 AS BIGINT) bad_keys, CAST(count_if(c_custkey % 10 = 0) > 1 AS BIGINT) repeated_keys,"
+    " (SELECT count(DISTINCT c_nationkey) FROM customer WHERE c_nationkey % 2 = 1) missing, true AS refused FROM customer",
+)
+def opened_map(c):
+    """A sealed map on disk with lost keys, wrong ids and lost labels: what opening it finds, and that it is refused."""
+    _, p = protected_customer(c)
+    key = F.col("source_key").cast("long")
+    records = p.keymap.records["table"]
+    damaged = records.select(
+        F.when(key % 7 == 0, F.concat(F.lit("id "), (key % 70).cast("string"))).otherwise(F.col("record_id")).alias("record_id"), ROW,
+        F.when(key % 10 != 0, F.col("source_key")).alias("source_key"),
+    )
+    odd = (F.col("field") == "c_nationkey") & (F.col("label").cast("long") % 2 == 1)
+    book = p.keymap.book.withColumn("label", F.when(~odd, F.col("label")))
+    path, secret = f"{c.ws.root}/private/damaged", "s" * 32
+    save_key_map(c.spark, replace(p.keymap, records={"table": damaged}, book=book), path, secret)
+    keymap = load_key_map(c.spark, path, secret)
+    try:
+        B.open_key_map(c.spark, path, secret)
+        refused = False
+    except Refused:
+        refused = True
+    lost = B.book_faults(keymap).select("missing")
+    return B.map_counts(keymap.records["table"]).join(F.broadcast(lost)).withColumn("refused", F.lit(refused))
+
+
+@query(
+    "g6_related_map_violations",
+    "WITH r AS (SELECT unnest(range((SELECT count(*) FROM orders))) r), ids AS (SELECT r % 26 i, count(*) n FROM r WHERE r % 13 = 0 GROUP BY 1)"
+    " SELECT (SELECT count(*) FROM ids WHERE n > 1) repeated_ids, (SELECT count(*) FROM ids) bad_ids, 1 row_gaps,"
+    " (SELECT count(DISTINCT r % 33) FROM r WHERE r % 11 = 0) unknown_entities,"
+    " (SELECT count(*) FROM (SELECT k % 5 FROM (SELECT c_custkey k FROM customer UNION SELECT o_custkey FROM orders) WHERE k % 3 = 0 GROUP BY 1 HAVING count(*) > 1)) repeated_keys,"
+    " 0 bad_keys, 0 bad_entities, (SELECT count(*) FROM orders) AS n_rows",
+)
+def related_map_violations(c):
+    """A damaged map of customers and orders: ids of the wrong shape, a missing first row, unknown entities, keys that meet."""
+    _, p = related(c)
+    records, row = dict(p.keymap.records), F.col(ROW)
+    records["orders"] = records["orders"].select(
+        F.when(row % 13 == 0, F.concat(F.lit("r"), (row % 26).cast("string"))).otherwise(F.col("record_id")).alias("record_id"),
+        (row + 1).alias(ROW),
+        F.when(row % 11 == 0, F.concat(F.lit("gone "), (row % 33).cast("string"))).otherwise(F.col("entity_id")).alias("entity_id"),
+    )
+    key = F.col("source_key")
+    number = key.cast("long")
+    entities = p.keymap.entities.withColumn("source_key", F.when(number % 3 == 0, F.concat(F.lit("k"), (number % 5).cast("string"))).otherwise(key))
+    n = records["orders"].count()
+    return B.related_map_counts(replace(p.keymap, records=records, entities=entities)).withColumn("n_rows", F.lit(n))
+
+
+@query(
+    "g8_identity_violations",
+    "SELECT count(*) source_rows, count_if(c_custkey % 9 <> 0) protected_rows, count_if(c_custkey % 9 = 0 OR c_custkey % 8 = 0) mismatches FROM customer",
+)
+def identity_violations(c):
+    """Protected rows of which some are lost and some belong to another customer."""
+    source, p = bound_customer(c)
+    key = F.col("source_key").cast("long")
+    stage = p.stages["table"].filter(key % 9 != 0)
+    stage = stage.withColumn("source_key", F.when(key % 8 == 0, (key + 1).cast("string")).otherwise(F.col("source_key")))
+    return B.identity_counts(source, stage, "c_custkey")
+
+
 @query(
     "g7_sealed_map",
     "SELECT CAST(c_custkey AS VARCHAR) source_key, true AS sealed, true AS foreign_key_fails FROM customer",

@@ -283,6 +283,29 @@ def number_precision(c):
     return line.select(v.alias("v")).agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(~N.survives_double(F.col("v"))).alias("imprecise"))
 
 
+@query(
+    "h15_imprecise_edits",
+    "SELECT count_if(o_totalprice > 400000) imprecise, count_if(o_totalprice > 400000) > 0 AS refused, count(*) n_rows FROM orders",
+)
+def imprecise_edits(c):
+    """Dear orders get a price of 16 digits, which a DOUBLE cell would not keep: such a return is refused."""
+    sources, p = related(c, numbers=True, editable=True)
+    price = F.col("o_totalprice")
+    long = F.concat(F.col("o_totalprice").cast("double").cast("long").cast("string"), F.lit(".0000000001"))
+    back = {
+        "customer": returned(p, "customer"),
+        "orders": returned(p, "orders").withColumn("o_totalprice", F.when(price.cast("double") > 400_000, long).otherwise(price)),
+    }
+    rev, policy = R.review_related(sources, back, p.keymap, c.ws)["orders"], p.keymap.policies["orders"]
+    try:
+        R.apply_edits(sources["orders"], rev, policy, ("o_totalprice",))
+        refused = False
+    except Refused:
+        refused = True
+    counted = R.imprecise_edits(rev, policy, ["o_totalprice"])
+    return counted.select("imprecise", F.lit(refused).alias("refused"), F.lit(sources["orders"].count()).alias("n_rows"))
+
+
 # --- I ---
 @query(
     "i1_domains",

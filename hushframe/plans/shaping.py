@@ -12,7 +12,6 @@ from ..operators import profile as P
 from ..operators.protect import protect
 from ..policy import PolicyBuilder, PolicyError, parse_policy, policy_dict
 from ..sinks.publish import publish, write_table
-from ..keymap import load_key_map
 from ..sources import regions as G
 from ..sources import tables as T
 from ..sources.rows import ROW
@@ -268,7 +267,7 @@ def publish_customer(c):
     B.bind_source(p.keymap, {"table": source})
     data, private = f"{c.ws.root}/shared/data", f"{c.ws.root}/private/map"
     publish(c.spark, p, {"table": source}, data, private, approved=True, secret="0" * 32)
-    keymap = load_key_map(c.spark, private, "0" * 32)
+    keymap = B.open_key_map(c.spark, private, "0" * 32)
     labels = keymap.book.filter("field = 'c_mktsegment'").select(F.col("code").alias("c_mktsegment"), F.col("label").alias("segment"))
     return (
         c.spark.read.parquet(f"{data}/table")

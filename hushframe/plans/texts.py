@@ -224,6 +224,18 @@ def candidate_check(c):
     return E.candidate_mismatches(docs, p.stages["table"], "text", reviews)
 
 
+@query(
+    "e9_candidate_violations",
+    "SELECT count(*) n_rows, count_if(doc_id % 6 = 0) mismatches FROM documents",
+)
+def candidate_violations(c):
+    """Protected texts of which some were changed after their approval."""
+    docs, reviews, p = protected_documents(c)
+    stage = p.stages["table"]
+    touched = F.when(F.col("source_key").cast("long") % 6 == 0, F.concat("text", F.lit("."))).otherwise(F.col("text"))
+    return E.candidate_mismatches(docs, stage.withColumn("text", touched), "text", reviews)
+
+
 @query(
     "e9_review_findings",
     f"{_HITS} SELECT sha256(text) AS digest, concat_ws(',', {', '.join(f'CASE WHEN {cond} THEN {S.q(k)} END' for k, cond in _CODES.items())}, CASE WHEN known THEN 'known_identifier' END) AS issues"

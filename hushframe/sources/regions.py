@@ -18,9 +18,9 @@ from .tables import check_headings, check_row_shape, heading_ok
 
 # --- Fixed values ---
 BLOCK = 65_536
-MAX_WIDTH = 128
-MAX_REGIONS = 128
 MAX_NAME = 31
+#: Tiles that a rectangle touches along an axis, at most about.
+TILES = 64
 # --- end of fixed values ---
 
 BOUNDS = ["left", "top", "right", "bottom"]
@@ -117,19 +117,17 @@ def row_islands(rows: DataFrame) -> DataFrame:
     return inner.unionByName(edge)
 
 
-def discover_regions(cells: DataFrame, declared: DataFrame | None = None) -> DataFrame:
+def discover_regions(cells: DataFrame, declared: DataFrame | None = None, max_width: int | None = None) -> DataFrame:
     """Proposed rectangles: declared tables as they are, then islands of occupied rows
-    with two rows, two columns, a width within bounds and no overlap with a table."""
+    with two rows, two columns and no overlap with a table; with ``max_width`` none wider."""
     key = ["book", "sheet"]
     occupied = cells.filter(F.col("text").isNotNull())
     if declared is not None:
         occupied = uncovered(occupied, declared)
     rows = occupied.groupBy(*key, "row").agg(F.min("col").alias("left"), F.max("col").alias("right"))
-    found = row_islands(rows).filter(
-        (F.col("top") < F.col("bottom"))
-        & (F.col("left") < F.col("right"))
-        & (F.col("right") - F.col("left") < MAX_WIDTH)
-    )
+    found = row_islands(rows).filter((F.col("top") < F.col("bottom")) & (F.col("left") < F.col("right")))
+    if max_width is not None:
+        found = found.filter(F.col("right") - F.col("left") < max_width)
     if declared is not None:
         d = in_blocks(declared).select(
             F.col("book").alias("d_book"), F.col("sheet").alias("d_sheet"), F.col("block").alias("d_block"),
@@ -156,18 +154,17 @@ def discover_regions(cells: DataFrame, declared: DataFrame | None = None) -> Dat
 def check_selection(
     selections: dict[str, tuple[str, str]], declared: list[tuple[str, tuple]] = ()
 ) -> dict[str, tuple[str, tuple[int, int, int, int]]]:
-    """Bounds per chosen region ``{name: (sheet, range)}``; at most 128, so on the driver.
+    """Bounds per chosen region ``{name: (sheet, range)}``, which the caller has written out by hand.
 
     No two rectangles on a sheet may overlap, and one touching a declared table must be it.
     """
-    refuse_if(not 1 <= len(selections) <= MAX_REGIONS, "number of regions")
+    refuse_if(not selections, "number of regions")
     chosen = {}
     for name, (sheet, text) in selections.items():
         bounds = parse_range(text)
         refuse_if(
             not heading_ok(name) or len(name) > MAX_NAME or not sheet or bounds is None, "region selection"
         )
-        refuse_if(bounds[2] - bounds[0] + 1 > MAX_WIDTH, "region width")
         refuse_if(any(s == sheet and overlap(bounds, b) for s, b in chosen.values()), "regions overlap")
         refuse_if(
             any(s == sheet and overlap(bounds, b) and tuple(b) != bounds for s, b in declared),
@@ -177,39 +174,54 @@ def check_selection(
     return chosen
 
 
-def selection_verdicts(selections: DataFrame) -> DataFrame:
+def tiled(rectangles: DataFrame) -> DataFrame:
+    """Each rectangle once for every tile it touches, with the tile's size and place (``th``, ``tw``, ``tr``, ``tc``). A
+    sheet's tiles are as large as its rectangles on average, and large enough for its largest to touch few of them."""
+    key = ["book", "sheet"]
+
+    def side(low: str, high: str) -> Column:
+        extent = F.col(high) - F.col(low) + 1
+        return F.greatest(F.ceil(F.avg(extent)), F.ceil(F.max(extent) / TILES)).cast("long")
+
+    sizes = rectangles.groupBy(*key).agg(side("top", "bottom").alias("th"), side("left", "right").alias("tw"))
+
+    def places(low: str, high: str, size: str) -> Column:
+        return F.explode(F.sequence(F.expr(f"`{low}` div {size}"), F.expr(f"`{high}` div {size}")))
+
+    down = rectangles.join(sizes, key).withColumn("tr", places("top", "bottom", "th"))
+    return down.withColumn("tc", places("left", "right", "tw"))
+
+
+def overlapping(rectangles: DataFrame) -> DataFrame:
+    """``(book, overlapping_pairs)`` of books with any: rectangles of two names meet in their tiles, and a pair counts in the
+    tile that holds the upper left corner of what they share."""
+    tiles = tiled(rectangles.select("book", "name", "sheet", *[F.col(b).cast("long").alias(b) for b in BOUNDS]))
+    a, b = tiles.alias("a"), tiles.alias("b")
+    same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("book", "sheet", "tr", "tc")]
+    meet = (
+        (F.col("a.name") < F.col("b.name"))
+        & (F.col("a.left") <= F.col("b.right")) & (F.col("b.left") <= F.col("a.right"))
+        & (F.col("a.top") <= F.col("b.bottom")) & (F.col("b.top") <= F.col("a.bottom"))
+        & F.expr("greatest(a.top, b.top) div a.th = a.tr AND greatest(a.`left`, b.`left`) div a.tw = a.tc")
+    )
+    return a.join(b, [*same, meet]).groupBy(F.col("a.book").alias("book")).agg(F.count(F.lit(1)).alias("overlapping_pairs"))
+
+
+def selection_verdicts(selections: DataFrame, max_regions: int | None = None, max_width: int | None = None) -> DataFrame:
     """Per book of ``(book, name, sheet, left, top, right, bottom)``: regions, overlapping
-    pairs, validity. A book above 128 regions is invalid by rule, so pairs are only ever
-    compared inside a bounded list."""
+    pairs, validity. With ``max_regions`` or ``max_width`` books beyond them are invalid; pairs are counted all the same."""
+    width = F.col("right") - F.col("left") + 1
     sized = selections.groupBy("book").agg(
         F.count(F.lit(1)).alias("regions"),
         F.count_if(F.length("name") > MAX_NAME).alias("bad_names"),
-        F.count_if(F.col("right") - F.col("left") >= MAX_WIDTH).alias("too_wide"),
-    )
-    fit = sized.filter(F.col("regions") <= MAX_REGIONS).select("book")
-    rect = F.struct("name", "sheet", *BOUNDS)
-    lists = selections.join(fit, "book", "left_semi").groupBy("book").agg(
-        F.array_sort(F.collect_list(rect)).alias("r")
-    )
-
-    def hits(a: Column, b: Column) -> Column:
-        return (
-            (a["sheet"] == b["sheet"]) & (a["name"] < b["name"])
-            & (a["left"] <= b["right"]) & (b["left"] <= a["right"])
-            & (a["top"] <= b["bottom"]) & (b["top"] <= a["bottom"])
-        )
-
-    pairs = F.aggregate(
-        F.transform("r", lambda a: F.size(F.filter("r", lambda b: hits(a, b)))),
-        F.lit(0), lambda x, n: x + n,
+        (F.lit(0) if max_width is None else F.count_if(width > max_width)).alias("too_wide"),
     )
-    counted = lists.select("book", pairs.cast("long").alias("overlapping_pairs"))
-    return sized.join(counted, "book", "left").select(
-        "book", "regions", "overlapping_pairs",
-        (
-            (F.col("regions") <= MAX_REGIONS) & (F.col("bad_names") == 0) & (F.col("too_wide") == 0)
-            & (F.col("overlapping_pairs") == 0)
-        ).alias("valid"),
+    fits = (F.col("bad_names") == 0) & (F.col("too_wide") == 0)
+    if max_regions is not None:
+        fits &= F.col("regions") <= max_regions
+    pairs = F.coalesce("overlapping_pairs", F.lit(0))
+    return sized.join(overlapping(selections), "book", "left").select(
+        "book", "regions", pairs.alias("overlapping_pairs"), (fits & (pairs == 0)).alias("valid")
     )
 
 
@@ -218,7 +230,7 @@ def read_region(
 ) -> DataFrame:
     """The text table inside a rectangle: first row is the heading, ``_row`` from 0.
 
-    Only the heading row (at most 128 cells) reaches the driver.
+    Only the heading row reaches the driver.
     """
     left, top, right, bottom = bounds
     last = bottom - int(totals_row)

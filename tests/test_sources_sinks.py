@@ -1,4 +1,7 @@
+import base64
+import dataclasses
 import datetime
+import random
 import tempfile
 
 import pytest
@@ -6,7 +9,7 @@ from pyspark.sql import functions as F
 
 from conftest import books, ordered
 from hushframe.errors import Refused
-from hushframe.keymap import load_key_map
+from hushframe.keymap import load_key_map, opened, save_key_map, sealed
 from hushframe.operators import binding as B
 from hushframe.operators.joins import keyed_join
 from hushframe.operators.protect import protect
@@ -124,12 +127,37 @@ def test_islands_cross_blocks(spark):
     assert got == [(1, 3), (b - 3, b + 4), (b + 10, b + 11), (2 * b - 1, 3 * b + 1)]
 
 
+def test_wide_regions_are_found(spark):
+    cells = spark.createDataFrame([("b", "s", r, c, "text", "x") for r in (1, 2) for c in range(1, 130)], "book string, sheet string, row int, col int, kind string, text string")
+    assert [(r.left, r.right) for r in G.discover_regions(cells).collect()] == [(1, 129)]
+    assert G.discover_regions(cells, max_width=128).isEmpty()
+
+
+def test_overlaps_against_brute_force(spark):
+    rnd = random.Random(3)
+    rows = []
+    for book, n, most in (("many", 900, 30), ("few", 5, 300)):
+        for i in range(n):
+            left, top = rnd.randrange(1, 500), rnd.randrange(1, 90_000)
+            rows.append((book, f"n{i:03d}", f"s{i % 2}", left, top, left + rnd.randrange(most), top + rnd.randrange(most * 40)))
+    rows.append(("many", "whole", "s0", 1, 1, 16_384, 1_048_576))  # one that covers its sheet
+    df = spark.createDataFrame(rows, "book string, name string, sheet string, left int, top int, right int, bottom int")
+    want = {}
+    for i, a in enumerate(rows):
+        for b in rows[:i]:
+            if a[0] == b[0] and a[2] == b[2] and G.overlap(a[3:], b[3:]):
+                want[a[0]] = want.get(a[0], 0) + 1
+    assert {r.book: r.overlapping_pairs for r in G.overlapping(df).collect()} == want and want["many"] > 300
+
+
 def test_selection_verdicts_and_letters(spark):
     rows = [("x", "a", "s", 1, 1, 2, 2), ("x", "b", "s", 2, 2, 3, 3), ("x", "c", "t", 2, 2, 3, 3), ("y", "a", "s", 1, 1, 1, 1)]
     rows += [("z", f"n{i:03d}", "s", 1, 1 + 3 * i, 2, 2 + 3 * i) for i in range(129)]
     df = spark.createDataFrame(rows, "book string, name string, sheet string, left int, top int, right int, bottom int")
     got = {r.book: (r.regions, r.overlapping_pairs, r.valid) for r in G.selection_verdicts(df).collect()}
-    assert got["x"] == (3, 1, False) and got["y"] == (1, 0, True) and got["z"][0] == 129 and not got["z"][2]
+    assert got["x"] == (3, 1, False) and got["y"] == (1, 0, True) and got["z"] == (129, 0, True)
+    capped = {r.book: r.valid for r in G.selection_verdicts(df, max_regions=128, max_width=2).collect()}
+    assert capped == {"x": False, "y": True, "z": False}
     cols = spark.createDataFrame([(1,), (26,), (27,), (52,), (702,), (703,), (18278,)], "c int").select(G.column_letters(F.col("c")))
     assert [r[0] for r in cols.collect()] == ["A", "Z", "AA", "AZ", "ZZ", "AAA", "ZZZ"]
 
@@ -157,6 +185,45 @@ def test_publish_map_first_and_restore_it(spark, ws, table, folder, secret):
         publish(spark, p, {"table": changed}, f"{folder}/d/data3", f"{folder}/m/map3", approved=True)
 
 
+def test_the_sealing_key_is_in_no_plan(spark):
+    secret, df = "0123456789-sealing-key-0123456789", spark.createDataFrame([("private",), (None,)], "v string")
+    secret = secret[:32]
+    back = opened(sealed(df, ["v"], secret, "export"), ["v"], secret, "export")
+    run = back._jdf.queryExecution()
+    assert {r.v for r in back.collect()} == {"private", None}
+    jvm = spark.sparkContext._jvm
+    codegen = jvm.org.apache.spark.sql.execution.debug.__getattr__("package$").__getattr__("MODULE$").codegenString(run.executedPlan())
+    texts = [run.toString(), run.analyzed().prettyJson(), run.optimizedPlan().prettyJson(), run.executedPlan().toString(), codegen]
+    raw = secret.encode()
+    for shown in (secret, raw.hex(), raw.hex().upper(), base64.b64encode(raw).decode(), " ".join(f"{b:02X}" for b in raw)):
+        assert not any(shown in text for text in texts)
+
+
+def test_damaged_maps_are_refused(spark, ws, table, folder):
+    source = table(["id", "team"], [("a", "x"), ("b", "x"), ("c", "y"), ("d", "y")])
+    p = protect(source, PolicyBuilder().key("id").code("team", ["x", "y"]).build(), ws)
+    B.bind_source(p.keymap, {"table": source})
+    good, book = p.keymap.records["table"], p.keymap.book
+    first = F.col("_row") == 0
+    cases = {
+        "good": (good, book),
+        "lost key": (good.withColumn("source_key", F.when(~first, F.col("source_key"))), book),
+        "bad id": (good.withColumn("record_id", F.when(first, "x").otherwise(F.col("record_id"))), book),
+        "row gap": (good.filter(~first), book),
+        "row twice": (good.withColumn("_row", F.when(first, 1).otherwise(F.col("_row"))), book),
+        "lost label": (good, book.withColumn("label", F.when(F.col("label") != "x", F.col("label")))),
+        "no entries": (good.limit(0), book),
+    }
+    for i, (name, (records, codes)) in enumerate(cases.items()):
+        keymap = dataclasses.replace(p.keymap, records={"table": records}, book=codes)
+        save_key_map(spark, keymap, f"{folder}/{i}", "k" * 32)
+        if name == "good":
+            assert B.open_key_map(spark, f"{folder}/{i}", "k" * 32).policies == p.keymap.policies
+        else:
+            with pytest.raises(Refused):
+                B.open_key_map(spark, f"{folder}/{i}", "k" * 32)
+
+
 def test_sinks(spark, table, folder):
     df = table(["a", "b"], [("1", ""), ("2", 'q"uote')])
     write_table(df, ["b", "a"], f"{folder}/csv", "csv")
