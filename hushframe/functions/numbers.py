@@ -27,6 +27,10 @@ def plain(number: Decimal) -> str:
     return whole + (f".{fraction}" if fraction else "")
 
 
+def plain_signed(number: Decimal) -> str:
+    return ("-" if number < 0 else "") + plain(number)
+
+
 def _parts(text: str) -> tuple[int, str, str]:
     whole, _, fraction = text.partition(".")
     return len(whole), whole, fraction
@@ -93,19 +97,20 @@ def _without_exponent(text: Column) -> Column:
     return F.when(text.rlike(shape), F.concat(sign, moved))
 
 
-def _plain_signed(c: Column) -> tuple[Column, Column]:
-    """(negative?, canonical magnitude text) of a finite decimal text.
+def _plain_signed(c: Column) -> Column:
+    """(negative?, comparable size) of a finite decimal text, each step evaluated once.
 
     Both plain and exponent forms stay exact: the decimal point is moved in the text.
     """
-    text = F.regexp_replace(c, rf"[{SPACE}_]", "")
-    expanded = F.when(text.rlike("[eE]"), _without_exponent(text)).otherwise(text)
-    negative = F.startswith(expanded, F.lit("-"))
-    digits = F.regexp_replace(expanded, r"^[+-]", "")
-    digits = F.regexp_replace(digits, r"^\.", "0.")
-    digits = F.regexp_replace(digits, r"\.\z", "")
-    size = canonical(digits)
-    return negative & (size != "0"), size
+
+    def parts(expanded: Column) -> Column:
+        digits = F.regexp_replace(F.regexp_replace(expanded, r"^[+-]", ""), r"^\.", "0.")
+        size = canonical(F.regexp_replace(digits, r"\.\z", ""))
+        negative = F.startswith(expanded, F.lit("-"))
+        return once(size, lambda z: F.struct((negative & (z != "0")).alias("negative"), magnitude(z).alias("size")))
+
+    expanded = once(F.regexp_replace(c, rf"[{SPACE}_]", ""), lambda t: F.when(t.rlike("[eE]"), _without_exponent(t)).otherwise(t))
+    return once(expanded, parts)
 
 
 def _at_least(number: Column, bound: Decimal) -> Column:
@@ -126,18 +131,50 @@ def _bin_tree(number: Column, bins, labels) -> Column:
     ).otherwise(_bin_tree(number, bins[:half], labels[:half]))
 
 
+# What a DECIMAL(38,18) keeps exactly.
+_SHORT_NUMBER = r"^-?[0-9]{1,20}(?:\.[0-9]{1,18})?\z"
+_SHORT_PLACES = 18
+
+
+def _short(bound: Decimal) -> bool:
+    return abs(bound) < 10**20 and bound == round(bound, _SHORT_PLACES)
+
+
+def _short_label(number: Column, bins, labels) -> Column:
+    """As ``bin_label``, for a DECIMAL(38,18)."""
+
+    def at_least(bound: Decimal) -> Column:
+        return number >= F.lit(plain_signed(bound)).cast("decimal(38,18)")
+
+    def tree(bins, labels) -> Column:
+        if len(bins) == 1:
+            return F.lit(labels[0])
+        half = len(bins) // 2
+        return F.when(at_least(bins[half][0]), tree(bins[half:], labels[half:])).otherwise(tree(bins[:half], labels[:half]))
+
+    top = F.lit(plain_signed(bins[-1][1])).cast("decimal(38,18)")
+    return F.when(at_least(bins[0][0]) & (number <= top), tree(bins, labels))
+
+
 def bin_label(c: Column, bins: tuple[tuple[Decimal, Decimal], ...], labels: tuple[str, ...]) -> Column:
-    """Label of the half-open bin holding the number (last bin closed); NULL when none."""
+    """Label of the half-open bin holding the number (last bin closed); NULL when none.
+
+    Plain numbers that a DECIMAL keeps are compared as such, all others as exact text."""
+    if not all(_short(edge) for pair in bins for edge in pair):
+        return _long_label(c, bins, labels)
+    short = once(c.try_cast("decimal(38,18)"), lambda number: _short_label(number, bins, labels))
+    return F.when(c.rlike(_SHORT_NUMBER), short).otherwise(_long_label(c, bins, labels))
+
+
+def _long_label(c: Column, bins: tuple[tuple[Decimal, Decimal], ...], labels: tuple[str, ...]) -> Column:
     bottom, top = bins[0][0], bins[-1][1]
-    negative, text = _plain_signed(c)
-    shaped = F.struct(negative.alias("negative"), magnitude(text).alias("size"))
 
     def label(number: Column) -> Column:
         at_top = (number["size"] == magnitude_of(top)) & (number["negative"] == F.lit(top < 0))
         inside = _at_least(number, bottom) & (~_at_least(number, top) | at_top)
         return F.when(inside, _bin_tree(number, bins, labels))
 
-    return F.when(c.rlike(FINITE), once(shaped, label))
+    return F.when(c.rlike(FINITE), once(_plain_signed(c), label))
 
 
 def finite_number(c: Column) -> Column:

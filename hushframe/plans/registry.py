@@ -25,6 +25,11 @@ class Context:
     def text(self, name: str, columns: list[str] | None = None, **options) -> DataFrame:
         return load_table(self.spark, f"{self.folder}/{name}.parquet", self.ws, columns=columns, **options)
 
+    @property
+    def tasks(self) -> int:
+        """For ``partitions=``: the given tables are files of one row group each."""
+        return self.spark.sparkContext.defaultParallelism
+
     def kept(self, name: str, columns: list[str] | None = None, **options) -> DataFrame:
         """The numbered text table written once, for queries that read it many times."""
         return self.ws.keep(self.text(name, columns, **options), name)

@@ -106,7 +106,7 @@ def round_trip_customer(c):
 @query("h5_round_trip_lineitem", f"SELECT t.*, l_returnflag || l_linestatus AS outcome FROM ({S.TEXT['lineitem']}) t")
 def round_trip_lineitem(c):
     """Every order line protected under its own row key, returned, and put back."""
-    df = c.kept("lineitem").withColumn("line", F.col(ROW).cast("string"))
+    df = c.kept("lineitem", partitions=c.tasks).withColumn("line", F.col(ROW).cast("string"))
     b = PolicyBuilder(2).key("line")
     for n in S.COLUMNS["lineitem"]:
         if n in ("l_returnflag", "l_linestatus"):

@@ -52,7 +52,7 @@ def bound_customer(c) -> tuple:
 
 def related(c, k: int = 5, numbers: bool = False, editable: bool = False) -> tuple[dict, Protected]:
     """Customers and their orders, linked by customer."""
-    sources = {"customer": c.kept("customer"), "orders": c.kept("orders")}
+    sources = {"customer": c.kept("customer"), "orders": c.kept("orders", partitions=c.tasks)}
     policies = {
         "customer": customer_policy(sources["customer"], k),
         "orders": orders_policy(sources["orders"], k, numbers),

@@ -376,7 +376,7 @@ for _table in ("customer", "orders", "lineitem", "documents", "events"):
 
     @query(f"b4_profile_{_table}", profile_sql(_table))
     def profile_table(c, table=_table):
-        return P.profile(c.text(table)).withColumn("flags", F.concat_ws(",", "flags"))
+        return P.profile(c.text(table, partitions=c.tasks if table == "lineitem" else None)).withColumn("flags", F.concat_ws(",", "flags"))
 
 
 @query(

@@ -123,8 +123,10 @@ def load_table(
     allow_reordered: bool = False,
     schema: T.StructType | str | None = None,
     columns: list[str] | None = None,
+    partitions: int | None = None,
 ) -> DataFrame:
-    """Text-typed table with ``_row``; several paths are appended in order."""
+    """Text-typed table with ``_row``; several paths are appended in order. A file of one row group (or a CSV file) is one
+    task: with ``partitions`` the typed, pruned rows are dealt out by row number before they become text."""
     parts = []
     for path in [paths] if isinstance(paths, str) else paths:
         reader = spark.read if schema is None else spark.read.schema(schema)
@@ -135,6 +137,8 @@ def load_table(
             raw = raw.select(*[quoted(c) for c in columns])
         check_headings(raw.columns, reserved=(ROW,))
         numbered = number_file_rows(raw) if fmt == "parquet" else number_block_rows(raw, ws)
+        if partitions is not None:
+            numbered = numbered.repartition(partitions, ROW)
         parts.append(as_text(numbered, dates, places))
     return append_tables(parts, allow_reordered)
 
