@@ -122,20 +122,12 @@ def round_trip_lineitem(c):
     return R.reconstruct(R.review(df, back, p.keymap, c.ws), ["outcome"]).drop(ROW, "line")
 
 
-@query(
-    "h6_approvals",
-    "SELECT given, ok AS accepted, (SELECT count(*) FROM customer) n_rows FROM (VALUES ('grade', true), ('', false), ('grade,grade', false), ('other', false)) v(given, ok)",
-)
+@query("h6_approvals", f"SELECT *, CASE WHEN CAST(c_acctbal AS DOUBLE) < 0 THEN 'Overdrawn' ELSE 'Solid' END AS grade FROM ({S.TEXT['customer']})")
 def approvals(c):
+    """The source with the one new column, which was approved by name."""
     source, p = bound_customer(c)
     rev = R.review(source, returned(p, grade=grade()), p.keymap, c.ws)
-    rows = []
-    for given in ("grade", "", "grade,grade", "other"):
-        try:
-            rows.append((given, True, R.reconstruct(rev, [g for g in given.split(",") if g]).count()))
-        except Refused:
-            rows.append((given, False, rev.stage.count()))
-    return c.spark.createDataFrame(rows, "given string, accepted boolean, n_rows long")
+    return R.reconstruct(rev, ["grade"]).drop(ROW)
 
 
 _EXTRA = ("customer", "supplier", "part", "events", "orders")
@@ -216,14 +208,14 @@ def related_restore(c):
     return out["orders"].drop(ROW)
 
 
-@query(
-    "h10_edit_permissions",
-    "SELECT 'orders' sheet, f.f AS field, (SELECT count(*) FROM orders) n_rows FROM (VALUES ('o_orderstatus'), ('o_orderpriority'), ('o_totalprice')) f(f)",
-)
+@query("h10_edit_permissions", _CHANGES)
 def edit_permissions(c):
-    sources, p = related(c, numbers=True, editable=True)
-    fields = editable_fields(p.keymap.editable, p.keymap.policies)
-    return permissions(c.spark, fields).withColumn("n_rows", F.lit(p.tables["orders"].count()))
+    """Every permitted heading and the number of its cells that came back changed."""
+    sources, p, back = edited(c)
+    permitted = permissions(c.spark, editable_fields(p.keymap.editable, p.keymap.policies))
+    counts = R.change_counts(R.review_related(sources, back, p.keymap, c.ws))
+    joined = permitted.join(R.change_table(c.spark, counts), ["sheet", "field"], "left")
+    return joined.select("sheet", "field", F.coalesce("changed", F.lit(0)).cast("long").alias("changed"))
 
 
 @query(
@@ -366,22 +358,15 @@ def repeated_entities(c):
 
 @query(
     "i5_join_settings",
-    "SELECT name, ok AS accepted, (SELECT count(*) FROM orders) n_rows FROM (VALUES ('good', true), ('no field', false), ('unknown table', false), ('colliding', false), ('bad key', false)) v(name, ok)",
+    "SELECT c_mktsegment, 'Was ' || o_orderstatus AS verdict, count(*) n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2",
 )
 def join_settings(c):
-    _, p, rows = result_rows(c)
-    cases = {
-        "good": I.Join("customer", ("c_name",)), "no field": I.Join("customer", ()), "unknown table": I.Join("nation", ("n_name",)),
-        "colliding": I.Join("orders", ("o_orderpriority",)), "bad key": I.Join("customer", ("c_name",), "row"),
-    }
-    n, out = rows.count(), []
-    for name, join in cases.items():
-        try:
-            I.check_joins({"r": join}, {"r": rows}, p.keymap)
-            out.append((name, True, n))
-        except Refused:
-            out.append((name, False, n))
-    return c.spark.createDataFrame(out, "name string, accepted boolean, n_rows long")
+    """Results beside a source column that the checked settings name, counted."""
+    sources, p, rows = result_rows(c)
+    joins = {"verdicts": I.Join("customer", ("c_mktsegment",))}
+    I.check_joins(joins, {"verdicts": rows}, p.keymap)
+    out = I.prepare_results({"verdicts": rows}, sources, p.keymap, c.ws, joins).tables["verdicts"]
+    return out.groupBy("c_mktsegment", "verdict").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
@@ -471,24 +456,14 @@ _YEARS = (
 )
 
 
-@query(
-    "j1_settings",
-    f"WITH {_YEARS} SELECT name, ok AS accepted, (SELECT count(*) FROM t) n_rows FROM (VALUES ('good', true), ('same table', false), ('unknown table', false), ('swapped', false), ('name taken', false)) v(name, ok)",
-)
+@query("j1_settings", f"WITH {_YEARS} SELECT CAST(k AS VARCHAR) person, n AS orders, prio AS priority, k IN (SELECT k FROM r) AS in_reference FROM t")
 def participant_settings(c):
+    """The rows of the table that the checked settings rebuild, and whether the reference knows their person."""
     sources, p, back, s = participants(c)
-    cases = {
-        "good": s, "same table": J.Settings("target", "target"), "unknown table": J.Settings("target", "nobody"),
-        "swapped": J.Settings("reference", "target"), "name taken": J.Settings("target", "reference", "reference"),
-    }
-    n, out = sources["target"].count(), []
-    for name, case in cases.items():
-        try:
-            J.check_settings(case, p.keymap, list(back))
-            out.append((name, True, n))
-        except Refused:
-            out.append((name, False, n))
-    return c.spark.createDataFrame(out, "name string, accepted boolean, n_rows long")
+    J.check_settings(s, p.keymap, list(back))
+    target, reference = (sources[n] for n in (s.target, s.reference))
+    known = reference.select("person").distinct().withColumn("in_reference", F.lit(True))
+    return target.join(known, "person", "left").select("person", "orders", "priority", F.coalesce("in_reference", F.lit(False)).alias("in_reference"))
 
 
 @query("j2_one_row_per_entity", f"WITH {_YEARS} SELECT 'target' sheet, count(*) n_rows, 0 repeated_entities FROM t UNION ALL SELECT 'reference', count(*), 0 FROM r")
@@ -521,13 +496,19 @@ def incoming_outgoing(c):
 
 @query(
     "j4_column_plan",
-    f"WITH {_YEARS} SELECT 'segment' AS \"column\", 'reference' AS sheet, 'sector' AS source_column, (SELECT count(*) FROM r) n_rows",
+    f"WITH {_YEARS} SELECT 'segment' AS \"column\", 'reference' AS sheet, 'sector' AS source_column, c_mktsegment AS label, count(*) n FROM r JOIN customer ON k = c_custkey GROUP BY 4",
 )
 def column_plan(c):
+    """Where each column that new rows need comes from, and the values found there."""
     sources, p, _, s = participants(c, propose=False)
     needed, plan = J.column_plan(p.keymap, s, J.usable_sources(p.keymap, s))
-    n = sources["reference"].count()
-    return c.spark.createDataFrame([(col, *plan[col], n) for col in needed], "column string, sheet string, source_column string, n_rows long")
+    return union(
+        [
+            sources[plan[col][0]].groupBy(T.quoted(plan[col][1]).alias("label")).agg(F.count(F.lit(1)).alias("n"))
+            .select(F.lit(col).alias("column"), F.lit(plan[col][0]).alias("sheet"), F.lit(plan[col][1]).alias("source_column"), "label", "n")
+            for col in needed
+        ]
+    )
 
 
 @query(

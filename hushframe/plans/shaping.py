@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import functions as F
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import binding as B
 from ..operators import profile as P
-from ..operators.protect import protect
+from ..operators.protect import protect, simple_value
 from ..policy import PolicyBuilder, PolicyError, parse_policy, policy_dict
 from ..sinks.publish import publish, write_table
 from ..sources import regions as G
@@ -17,7 +18,7 @@ from ..sources import tables as T
 from ..sources.rows import ROW
 from . import sql as S
 from .registry import query
-from .setups import customer_policy
+from .setups import LOOSE, customer_policy
 
 
 def union(parts):
@@ -475,23 +476,25 @@ def policy_verdicts(c):
 
 @query(
     "c2_authored_policy",
-    "SELECT 'c_custkey' AS \"column\", 'pseudonymise' AS action, 'direct_identifier' AS classification, 0 AS labels, 5 AS version"
-    " UNION ALL SELECT 'c_name', 'code', 'direct_identifier', count(DISTINCT c_mktsegment), 5 FROM customer"
-    " UNION ALL SELECT 'c_nationkey', 'code', 'quasi_identifier', count(DISTINCT c_nationkey), 5 FROM customer"
-    " UNION ALL SELECT 'c_acctbal', 'drop', 'unknown', 0, 5",
+    "SELECT CAST(c_custkey AS VARCHAR) source_key, c_mktsegment AS segment, CAST(c_nationkey AS VARCHAR) AS nation FROM customer",
 )
 def authored_policy(c):
+    """Customers under a policy authored from their own categories, and what its codes stand for."""
     df = c.text("customer")
-    p = (
+    policy = (
         PolicyBuilder()
         .key("c_custkey")
-        .code("c_name", P.categories(df, "c_mktsegment"))  # an identifying heading turns the version to 5
+        .code("c_mktsegment", P.categories(df, "c_mktsegment"))
         .code("c_nationkey", P.categories(df, "c_nationkey"))
+        .drop("c_name", "direct_identifier")
         .drop("c_acctbal")
         .build()
     )
-    rows = [(n, r.action, r.classification, len(r.domain.values), p.version) for n, r in p.columns.items()]
-    return c.spark.createDataFrame(rows, "column string, action string, classification string, labels long, version int")
+    p = protect(df, policy, c.ws, profile=LOOSE)
+    out = p.stages["table"]
+    for field, name in (("c_mktsegment", "segment"), ("c_nationkey", "nation")):
+        out = out.join(p.keymap.book_of("table").filter(F.col("field") == field).select(F.col("code").alias(field), F.col("label").alias(name)), field)
+    return out.select("source_key", "segment", "nation")
 
 
 @query(
@@ -525,17 +528,21 @@ def narrowed_domains(c):
 
 @query(
     "c5_policy_serialised",
-    "SELECT 'o_totalprice' AS \"column\", floor(min(o_totalprice))::BIGINT AS low, ceil(max(o_totalprice))::BIGINT AS high, true AS same FROM orders"
-    " UNION ALL SELECT 'c_acctbal', floor(min(c_acctbal))::BIGINT, ceil(max(c_acctbal))::BIGINT, true FROM customer",
+    "WITH c AS (SELECT c_acctbal v, floor(min(c_acctbal) OVER ())::BIGINT lo, ceil(max(c_acctbal) OVER ())::BIGINT hi FROM customer)"
+    " SELECT 'c_acctbal' AS \"column\", CASE WHEN v < 0 THEN '[' || lo || ', 0)' ELSE '[0, ' || hi || ']' END AS label, count(*) n FROM c GROUP BY 2"
+    " UNION ALL SELECT 'o_totalprice', 'in bounds', count(*) FROM orders",
 )
 def policy_serialised(c):
-    rows = []
+    """Values under policies that were written as JSON values and read again."""
+    parts = []
     for t, col in (("orders", "o_totalprice"), ("customer", "c_acctbal")):
+        df = c.text(t, [col])
         r = c.raw(t).agg(F.floor(F.min(col)).alias("lo"), F.ceil(F.max(col)).alias("hi")).first()
         lo, hi = int(r.lo), int(r.hi)
         b = PolicyBuilder().key("key")
-        p = (b.numeric(col, lo, hi) if lo >= 0 else b.bins(col, [lo, 0, hi])).build()
-        back = policy_dict(p)["columns"][col]
-        low, high = back["bounds"] if "bounds" in back else (back["bins"][0][0], back["bins"][-1][1])
-        rows.append((col, low, high, parse_policy(policy_dict(p)) == p))
-    return c.spark.createDataFrame(rows, "column string, low long, high long, same boolean")
+        policy = (b.numeric(col, lo, hi) if lo >= 0 else b.bins(col, [lo, 0, hi])).build()
+        rule = parse_policy(json.loads(json.dumps(policy_dict(policy)))).columns[col]
+        value = simple_value(rule, F.col(col))
+        label = F.when(value.isNotNull(), "in bounds") if lo >= 0 else value
+        parts.append(df.groupBy(label.alias("label")).agg(F.count(F.lit(1)).alias("n")).withColumn("column", F.lit(col)))
+    return union(parts)

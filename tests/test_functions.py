@@ -125,3 +125,21 @@ def test_random_ids_and_folding(spark):
     assert bad.isEmpty()
     df = spark.createDataFrame([("Straße",)], "v string")
     assert df.select(ids.casefold("v").alias("f")).first().f == "strasse"
+
+
+def test_bins_of_short_and_long_numbers_agree(spark):
+    edges = [Decimal(e) for e in ("-10", "-0.5", "0", "1.25", "100")]
+    bins, labels = tuple(zip(edges, edges[1:])), ("a", "b", "c", "d")
+    values = ["-10", "-10.0", "-10.000000000000000001", "-0.5", "-0.50", "-0.500000000000000000001", "-0", "0", "00.0", "1.25", "1.249999999999999999",
+              "1.2499999999999999999999", "100", "100.00", "100.000000000000000001", "1e2", "12_5e-2", ".5", "+7", "7.", "99999999999999999999", "x", "", " 3 "]
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v string")
+    rows = df.select("v", N.bin_label(F.col("v"), bins, labels).alias("short"), N._long_label(F.col("v"), bins, labels).alias("long")).collect()
+    for r in rows:
+        try:
+            number = Decimal((r.v or "x").strip().replace("_", ""))
+        except ArithmeticError:
+            number = None
+        want = None
+        if number is not None and edges[0] <= number <= edges[-1]:
+            want = next((x for (_, high), x in zip(bins, labels) if number < high), labels[-1])
+        assert r.short == r.long == want, r

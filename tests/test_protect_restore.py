@@ -11,7 +11,7 @@ from hushframe.operators import joins
 from hushframe.operators import profile as P
 from hushframe.operators import restore as R
 from hushframe.operators import risk as K
-from hushframe.operators.protect import protect
+from hushframe.operators.protect import check_schema, protect
 from hushframe.policy import SOURCE_LABELS, PolicyBuilder, parse_policy, policy_dict
 
 COLUMNS = ["student_name", "student_number", "email", "campus", "subject", "gpa", "notes"]
@@ -334,3 +334,13 @@ def test_coded_identifiers(table, ws):
     assert pol.version == 5 and not a.refused() and a.of().minimum_size == 2
     assert K.retained_classes(pol)["Student Name"] == "pseudonymous_identifier"
     assert "table: namesakes_share_codes" in a.codes("warning")
+
+
+def test_schema_gate_refuses(table):
+    policy = PolicyBuilder().key("id").code("team", ["x"]).build()
+    check_schema(table(["team", "id"], [("x", "a")]), policy)
+    for columns in (["id"], ["id", "team", "more"], ["id", "Team"]):
+        with pytest.raises(Refused):
+            check_schema(table(columns, [tuple("x" for _ in columns)]), policy)
+    with pytest.raises(Refused):
+        check_schema(table(["id", "team"], [("a", "x")]).drop("_row"), policy)
