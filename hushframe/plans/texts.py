@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from secrets import token_hex
+
 from pyspark.sql import functions as F
 
 from ..errors import Refused
@@ -13,6 +15,7 @@ from ..operators import textreview as E
 from ..operators.phrases import with_hits
 from ..operators.protect import protect
 from ..policy import REVIEW_TABLE, PolicyBuilder
+from ..sinks import texts as T
 from ..sources.rows import ROW
 from . import sql as S
 from .registry import query
@@ -523,3 +526,13 @@ def prepared_totals(c):
 
     other = docs.withColumn("text", F.concat("text", F.lit(" ")))
     return D.replacement_totals(out.replacements).withColumns({"unchanged": F.lit(same(docs)), "changed": F.lit(same(other))})
+
+
+@query("k15_published_texts", "SELECT CAST(doc_id AS VARCHAR) doc_id, sha256(text) AS digest, length(text) AS n_chars FROM documents")
+def published_texts(c):
+    """Redacted, published with a sealed record, read back and restored."""
+    docs, out = redacted_documents(c)
+    at, record, secret = f"{c.ws.root}/texts/data", f"{c.ws.root}/record/map", token_hex(16)
+    T.publish_texts(c.spark, out, docs, B.table_digest(docs), at, record, approved=True, secret=secret)
+    restored = T.restore_published(c.spark, at, record, secret)
+    return restored.select("doc_id", X.digest(F.col("text")).alias("digest"), F.length("text").alias("n_chars"))
