@@ -103,11 +103,12 @@ def link_counts(df: DataFrame, keymap: KeyMap) -> DataFrame:
     if not has_record:
         return out.withColumns({"wrong_records": F.lit(0).cast("long"), "blank_record_ids": F.lit(0).cast("long")})
     records = all_records(keymap).select("record_id", F.col("entity_id").alias("owner"))
-    rec = distinct.join(records, "record_id", "left").agg(
-        F.count_if((F.col("record_id") != "") & ~F.col("owner").eqNullSafe(F.col("entity_id"))).alias("wrong_records"),
-        F.coalesce(F.sum(F.when(F.col("record_id") == "", F.col("n"))), F.lit(0)).alias("blank_record_ids"),
+    # blank ids own nothing and may be very many: they aren't joined
+    wrong = distinct.filter(F.col("record_id") != "").join(records, "record_id", "left").agg(
+        F.count_if(~F.col("owner").eqNullSafe(F.col("entity_id"))).alias("wrong_records")
     )
-    return out.join(F.broadcast(rec))
+    blank = distinct.agg(F.coalesce(F.sum(F.when(F.col("record_id") == "", F.col("n"))), F.lit(0)).alias("blank_record_ids"))
+    return out.join(F.broadcast(wrong)).join(F.broadcast(blank))
 
 
 def all_records(keymap: KeyMap) -> DataFrame:
