@@ -150,7 +150,7 @@ def _near(a: _Rows, b: _Rows, most: int, far: int) -> np.ndarray:
     return near
 
 
-def _linked(rows: _Rows, most: int, far: int) -> tuple[np.ndarray, np.ndarray]:
+def _linked(rows: _Rows, most: int, far: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Links among the rows of one group, thinned to a forest: enough to join what the group joins."""
     n = len(rows.fp)
     root = np.arange(n)
@@ -162,10 +162,10 @@ def _linked(rows: _Rows, most: int, far: int) -> tuple[np.ndarray, np.ndarray]:
             if len(pairs):
                 root = _roots(n, pairs)[root]
     moved = np.nonzero(root != np.arange(n))[0]
-    return rows.node[moved], rows.node[root[moved]]
+    yield rows.node[moved], rows.node[root[moved]]
 
 
-def _compare(batches: Iterator[pa.RecordBatch], most: int, far: int, linked: Callable) -> Iterator[pa.RecordBatch]:
+def _compare(batches: Iterator[pa.RecordBatch], most: int, far: int, linked: Callable, near: Callable) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by group; the links of each group. Groups of few rows are compared together, by their distance in
     the sorted rows. A group above ``SIDE`` rows yields its number (as a, b null) and is compared in squares later."""
     rest: _Rows | None = None
@@ -183,10 +183,11 @@ def _compare(batches: Iterator[pa.RecordBatch], most: int, far: int, linked: Cal
         small = np.repeat(sizes <= 32, sizes)
         for d in range(1, int(min(32, sizes.max(initial=1)))):
             i = np.nonzero((rows.group[d:] == rows.group[:-d]) & small[d:])[0]
-            i = i[_near(rows[i], rows[i + d], most, far)]
+            i = i[near(rows[i], rows[i + d], most, far)]
             yield from out(rows.node[i], rows.node[i + d])
         for k in np.nonzero(sizes > 32)[0]:
-            yield from out(*linked(rows[starts[k] : starts[k] + sizes[k]], most, far))
+            for a, b in linked(rows[starts[k] : starts[k] + sizes[k]], most, far):
+                yield from out(a, b)
 
     for batch in batches:
         for at in range(0, batch.num_rows, SIDE):
@@ -209,7 +210,9 @@ def _compare(batches: Iterator[pa.RecordBatch], most: int, far: int, linked: Cal
         yield from links(rest)
 
 
-def near_links(nodes: DataFrame, most: int = 3, far: int = 0, sent_by: Callable = _sent, linked: Callable = _linked) -> DataFrame:
+def near_links(
+    nodes: DataFrame, most: int = 3, far: int = 0, sent_by: Callable = _sent, linked: Callable = _linked, near: Callable = _near
+) -> DataFrame:
     """(a, b): links between rows of ``nodes``, (node long, prints array<long>, check binary), each with its own node and as
     many fingerprints as the others. Two rows are linked if one of their fingerprints differs in ``most`` <= 3 bits or
     fewer and, where ``check`` isn't empty, their checks differ in ``far`` bits or fewer.
@@ -221,7 +224,8 @@ def near_links(nodes: DataFrame, most: int = 3, far: int = 0, sent_by: Callable
     An anchor with more than ``SIDE`` rows is left to a second pass: its rows get one of k columns by hash, and each row
     goes to the k squares of its column. A square has about ``SIDE`` rows, and every pair of the anchor meets in one.
 
-    ``sent_by`` sends the rows to other anchors, ``linked`` finds the links within a group of over 32 rows.
+    ``sent_by`` sends the rows to other anchors, ``linked`` finds the links within a group of over 32 rows, ``near`` says which
+    rows of a smaller one are linked.
     """
     if not 0 <= most <= 3:
         raise ValueError("most: 0 to 3; each half of a pair must differ in at most one bit")
@@ -231,7 +235,7 @@ def near_links(nodes: DataFrame, most: int = 3, far: int = 0, sent_by: Callable
     def compared(rows: DataFrame, group: str) -> DataFrame:
         rows = rows.select(F.col(group).alias("group"), "node", "fp", "home", "check")
         rows = rows.repartition(parts, "group").sortWithinPartitions("group")
-        return written(rows.mapInArrow(lambda it: _compare(it, most, far, linked), "na long, nb long"), "links")
+        return written(rows.mapInArrow(lambda it: _compare(it, most, far, linked, near), "na long, nb long"), "links")
 
     found = compared(sent, "anchor")
     large = found.filter("nb is null").select(F.col("na").alias("anchor"))

@@ -196,3 +196,46 @@ def test_a_stage_leaves_no_large_tables(spark):
             corpus_pipeline.written(stage(spark, docs, FOLDER), "stage", ws)
             assert len(own._written) <= 2
         ws.release()
+
+
+def joined_by(texts):
+    root = list(range(len(texts)))
+    for j, i in linked_pairs(texts):
+        low, high = sorted((root[i], root[j]))
+        root = [low if r == high else r for r in root]
+    return root
+
+
+def test_no_link_at_the_threshold_is_left_out(spark):
+    """Copies changed until they only just hold, or only just fail, the similarity; groups are those of brute force."""
+    rnd = random.Random(11)
+    word = lambda: "".join(rnd.choices("abcdefghij", k=rnd.randint(2, 6)))
+    texts = ["a b c d e f g h i", "a b c d e f g h i j", "b c d e f g h i j", "x", "X  x", "a b c d e f g h i"]
+    for k in range(160):
+        w = [word() for _ in range(rnd.choice([12, 25, 50, 110, 400]))]
+        own, last = shingles(" ".join(w)), None
+        while True:  # scattered changes, cuts and insertions
+            changed = list(last or w)
+            at = rnd.randrange(len(changed))
+            changed[at : at + rnd.choice([0, 1, 1])] = [word()] if k % 3 else []
+            both = len(own & (other := shingles(" ".join(changed))))
+            if 5 * both < 4 * (len(own) + len(other) - both):
+                break
+            last = changed
+        texts += [" ".join(w), " ".join(last or w).upper(), " ".join(changed)]
+    order = list(range(len(texts)))
+    rnd.shuffle(order)
+    texts = [texts[i] for i in order]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    found = {r["doc_id"]: r["component_id"] for r in near_copies.near_copies(docs).collect()}
+    assert [found.get(i, i) for i in range(len(texts))] == joined_by(texts)
+
+
+def test_texts_joined_only_by_what_is_gone_are_told_apart(spark, tmp_path):
+    """Groups of texts as they were do not rest on texts as they are: 1 and 2 were alike, 3 is like neither."""
+    w = [f"w{i}" for i in range(100)]
+    a, b = " ".join(w), " ".join(w[:50] + ["x"] + w[51:])
+    rest = " ".join(f"r{i}" for i in range(30))
+    sf = folder_of(spark.createDataFrame([(1, f"{a}\n{rest}"), (2, f"{b}\n{rest}"), (3, rest)], "doc_id long, text string"), tmp_path)
+    docs = spark.createDataFrame([(1, a, None), (2, b, None), (3, rest, None)], "doc_id long, text string, id string")
+    assert {r["doc_id"] for r in corpus_pipeline.near_copies(spark, docs, sf).collect()} == {1, 3}
