@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +17,8 @@ from ..workspace import Workspace
 
 #: Bytes of the phrases of one automaton; in a task it takes about 60 times as much.
 SHARD_BYTES = 2 << 20
+#: Hits that leave a task at once.
+PIECE = 1 << 16
 HITS = "array<struct<identifier:string,start:int,end:int>>"
 
 
@@ -40,37 +42,62 @@ def shards(phrases: DataFrame, most: int = SHARD_BYTES) -> Iterator[list[str]]:
 
 def hits_in(text: Column, shard: Broadcast) -> Column:
     """All occurrences of a shard's phrases in the case-folded text that have no word character on either side, overlapping
-    ones included, as positions in the text as it is. NULL holds none."""
+    ones included, as positions in the text as it is. NULL holds none.
 
-    def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    Hits are kept as numbers and leave the task in pieces of about ``PIECE``, and a text's own hits at the least. The function
+    counts as not deterministic, so that a filter on its result doesn't make Spark evaluate it twice."""
+
+    def find(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        from array import array
         from unicodedata import category
 
         import ahocorasick
+        import pyarrow as pa
 
+        phrases = shard.value
+        names = pa.array(phrases, pa.string())
         automaton = ahocorasick.Automaton()
-        for phrase in shard.value:
-            automaton.add_word(phrase, phrase)
+        for i, phrase in enumerate(phrases):
+            automaton.add_word(phrase, i)
         automaton.make_automaton()
 
         def in_word(folded, at):
             return 0 <= at < len(folded) and (folded[at] == "_" or category(folded[at])[0] in "LN")
 
-        def hits(text):
-            folded = text.casefold()
-            # folding never shortens: only where it lengthens do positions move
-            origin = None if len(folded) == len(text) else [i for i, ch in enumerate(text) for _ in ch.casefold()]
-            out = []
-            for last, phrase in automaton.iter(folded):
-                start = last + 1 - len(phrase)
-                if not in_word(folded, start - 1) and not in_word(folded, last + 1):
-                    first, end = (start, last + 1) if origin is None else (origin[start], origin[last] + 1)
-                    out.append({"identifier": phrase, "start": first, "end": end})
-            return out
+        def listed(ends, which, first, last):
+            def ints(values):
+                return pa.array(values, pa.int32())
 
-        for texts in batches:
-            yield pd.Series([[] if t is None else hits(t) for t in texts], dtype=object)
+            fields = [pa.field("identifier", pa.string()), pa.field("start", pa.int32()), pa.field("end", pa.int32())]
+            hits = pa.StructArray.from_arrays([names.take(ints(which)), ints(first), ints(last)], fields=fields)
+            return pa.ListArray.from_arrays(ints(ends), hits)
 
-    return F.pandas_udf(find, HITS)(text)
+        def empty():
+            return array("i", [0]), array("i"), array("i"), array("i")
+
+        for texts in batches:
+            ends, which, starts, stops = empty()
+            for each in texts:
+                if (text := each.as_py()) is not None:
+                    folded = text.casefold()
+                    # folding never shortens: only where it lengthens do positions move
+                    origin = None if len(folded) == len(text) else [i for i, ch in enumerate(text) for _ in ch.casefold()]
+                    for last, i in automaton.iter(folded):
+                        start = last + 1 - len(phrases[i])
+                        if not in_word(folded, start - 1) and not in_word(folded, last + 1):
+                            which.append(i)
+                            starts.append(start if origin is None else origin[start])
+                            stops.append(last + 1 if origin is None else origin[last] + 1)
+                ends.append(len(which))
+                if len(which) >= PIECE:
+                    yield listed(ends, which, starts, stops)
+                    ends, which, starts, stops = empty()
+            if len(ends) > 1 or not len(texts):
+                yield listed(ends, which, starts, stops)
+
+    # hints by hand: the tasks needn't import Arrow to read them
+    find.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(find, HITS).asNondeterministic()(text)
 
 
 def with_hits(texts: DataFrame, key: str, column: str, phrases: DataFrame, most: int = SHARD_BYTES) -> DataFrame:
