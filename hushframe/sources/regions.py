@@ -84,9 +84,9 @@ def uncovered(cells: DataFrame, declared: DataFrame) -> DataFrame:
 
 
 def row_islands(rows: DataFrame) -> DataFrame:
-    """Islands of consecutive rows from ``(book, sheet, row, left, right)`` (one per row)."""
+    """Islands of consecutive rows from ``(book, sheet, row, left, right)`` (one per row), with their ``block`` or without."""
     key = ["book", "sheet"]
-    blocked = rows.withColumn("block", F.floor(F.col("row") / BLOCK).cast("long"))
+    blocked = rows if "block" in rows.columns else rows.withColumn("block", F.floor(F.col("row") / BLOCK).cast("long"))
     inside = Window.partitionBy(*key, "block").orderBy("row")
     local = (
         blocked.withColumn("island", F.col("row") - F.row_number().over(inside))
@@ -124,7 +124,10 @@ def discover_regions(cells: DataFrame, declared: DataFrame | None = None, max_wi
     occupied = cells.filter(F.col("text").isNotNull())
     if declared is not None:
         occupied = uncovered(occupied, declared)
-    rows = occupied.groupBy(*key, "row").agg(F.min("col").alias("left"), F.max("col").alias("right"))
+    # Nearly every cell has a row of its own: a block's cells meet before they are summed, not in the scan, where one task
+    # would hold all rows of a file.
+    placed = occupied.withColumn("block", F.floor(F.col("row") / BLOCK).cast("long")).repartition(*key, "block")
+    rows = placed.groupBy(*key, "block", "row").agg(F.min("col").alias("left"), F.max("col").alias("right"))
     found = row_islands(rows).filter((F.col("top") < F.col("bottom")) & (F.col("left") < F.col("right")))
     if max_width is not None:
         found = found.filter(F.col("right") - F.col("left") < max_width)
