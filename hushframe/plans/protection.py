@@ -75,7 +75,7 @@ def key_gate(c):
 )
 def record_ids(c):
     """Every order line as its own record: the key is its row number."""
-    df = c.kept("lineitem", ["l_returnflag"], partitions=c.tasks)
+    df = c.kept("lineitem", ["l_returnflag"])
     keyed = df.select(F.col(ROW).cast("string").alias("line"), "l_returnflag", ROW)
     policy = PolicyBuilder().key("line").keep("l_returnflag", P.categories(keyed, "l_returnflag")).build()
     return P.id_counts(protect(keyed, policy, c.ws).table)
@@ -175,7 +175,7 @@ def numeric_bounds(c):
 
     v = F.col("l_extendedprice")
     bounds = (Decimal("1000.5"), Decimal(50000))
-    return c.text("lineitem", ["l_extendedprice"], partitions=c.tasks).agg(
+    return c.dealt("lineitem", ["l_extendedprice"]).agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.count(N.canonical_numeric(v, bounds)).alias("in_bounds"),
         F.count(N.canonical_numeric(v, bounds, 1)).alias("one_place"),
@@ -198,7 +198,7 @@ def bins_acctbal(c):
 def many_bins(c):
     edges = [1000 * i for i in range(101)]
     rule = PolicyBuilder().key("k").bins("l_extendedprice", edges).build().columns["l_extendedprice"]
-    df = c.text("lineitem", ["l_extendedprice"], partitions=c.tasks)
+    df = c.dealt("lineitem", ["l_extendedprice"])
     return df.groupBy(simple_value(rule, F.col("l_extendedprice")).alias("label")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -364,7 +364,7 @@ def small_cells(c):
     ),
 )
 def small_cells_lineitem(c):
-    df = c.text("lineitem", partitions=c.tasks)
+    df = c.dealt("lineitem")
     return K.cell_counts(df, T.data_columns(df), 5)
 
 
@@ -401,7 +401,7 @@ def joint_classes(c):
 @query("f6_joint_classes_lineitem", class_sql("l_returnflag, l_linestatus, l_linenumber, l_quantity, l_discount", "lineitem", 5))
 def joint_classes_lineitem(c):
     names = ["l_returnflag", "l_linestatus", "l_linenumber", "l_quantity", "l_discount"]
-    return K.class_counts(c.text("lineitem", names, partitions=c.tasks), names, 5)
+    return K.class_counts(c.dealt("lineitem", names), names, 5)
 
 
 @query("f6_one_class", "SELECT count(*) members, count(*) minimum_size, 0 unique_members, 0 small_members, CAST(0 AS DOUBLE) unique_fraction FROM orders")

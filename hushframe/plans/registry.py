@@ -11,6 +11,10 @@ from ..sources.tables import load_table
 from ..workspace import Workspace
 
 
+#: Rows of a dealt-out table that one task takes, at most about.
+DEALT = 50_000
+
+
 @dataclass
 class Context:
     """One run of a query: session, folder of the tables, and a workspace."""
@@ -25,14 +29,20 @@ class Context:
     def text(self, name: str, columns: list[str] | None = None, **options) -> DataFrame:
         return load_table(self.spark, f"{self.folder}/{name}.parquet", self.ws, columns=columns, **options)
 
-    @property
-    def tasks(self) -> int:
-        """For ``partitions=``: the given tables are files of one row group each."""
-        return self.spark.sparkContext.defaultParallelism
+    def tasks(self, name: str) -> int:
+        """For ``partitions=``: the given tables are files of one row group each. A task for each core, and more for a table
+        of more rows, so that a task's work and memory don't grow with the table."""
+        return max(self.spark.sparkContext.defaultParallelism, -(-self.raw(name).count() // DEALT))
+
+    def dealt(self, name: str, columns: list[str] | None = None) -> DataFrame:
+        """The text table dealt out to ``tasks``, unless it has as many files."""
+        tasks = self.tasks(name)
+        return self.text(name, columns, partitions=None if len(self.raw(name).inputFiles()) >= tasks else tasks)
 
-    def kept(self, name: str, columns: list[str] | None = None, **options) -> DataFrame:
-        """The numbered text table written once, for queries that read it many times."""
-        return self.ws.keep(self.text(name, columns, **options), name)
+    def kept(self, name: str, columns: list[str] | None = None) -> DataFrame:
+        """The numbered text table written once, for queries that read it many times: dealt out, for what is written by one
+        task is read by one."""
+        return self.ws.keep(self.dealt(name, columns), name)
 
 
 Query = Callable[[Context], DataFrame]

@@ -319,7 +319,7 @@ def mixed_values(c):
         ("documents", "documents", "text"), ("conversations", "conversations", "text"), ("url", "pages", "url"),
         ("props", "events", "props"), ("part", "part", "p_name"), ("date", "orders", "o_orderdate"), ("price", "orders", "o_totalprice"),
     ]
-    return union([c.text(t, [col]).select(F.lit(s).alias("src"), F.col(col).alias("v")) for s, t, col in parts])
+    return union([c.dealt(t, [col]).select(F.lit(s).alias("src"), F.col(col).alias("v")) for s, t, col in parts])
 
 
 @query(
@@ -377,7 +377,7 @@ for _table in ("customer", "orders", "lineitem", "documents", "events"):
 
     @query(f"b4_profile_{_table}", profile_sql(_table))
     def profile_table(c, table=_table):
-        return P.profile(c.text(table, partitions=c.tasks if table == "lineitem" else None)).withColumn("flags", F.concat_ws(",", "flags"))
+        return P.profile(c.dealt(table) if table == "lineitem" else c.text(table)).withColumn("flags", F.concat_ws(",", "flags"))
 
 
 @query(

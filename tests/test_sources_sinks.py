@@ -13,11 +13,13 @@ from hushframe.keymap import load_key_map, opened, save_key_map, sealed
 from hushframe.operators import binding as B
 from hushframe.operators.joins import keyed_join
 from hushframe.operators.protect import protect
+from hushframe.plans import registry
 from hushframe.policy import PolicyBuilder
 from hushframe.sinks.publish import publish, separate, write_table, write_tables
 from hushframe.sources import regions as G
 from hushframe.sources import tables as T
 from hushframe.sources.rows import with_row_number
+from hushframe.workspace import Workspace
 
 CELLS = "book string, sheet string, row int, col int, kind string, text string"
 
@@ -244,3 +246,21 @@ def test_hot_keys_are_spread(spark):
     joined = keyed_join(left, right, "k", "_row", hot_rows=100)
     assert "_salt" in joined._jdf.queryExecution().toString()
     assert joined.count() == 3000 and joined.filter("v <> upper(k) or v is null").isEmpty()
+
+
+def test_a_block_meets_before_its_rows_are_summed(spark):
+    """No task holds all rows of a file: the first aggregate comes after the cells were sent to their blocks."""
+    cells = spark.range(200).selectExpr("'b' book", "id % 3 sheet", "id div 6 row", "id % 2 col", "'text' kind", "'x' text")
+    plan = G.discover_regions(cells)._jdf.queryExecution().executedPlan().toString()
+    first = [line for line in plan.splitlines() if "HashAggregate" in line or "hashpartitioning" in line]
+    assert "hashpartitioning" in first[-1]
+
+
+def test_larger_tables_are_dealt_to_more_tasks(spark, tmp_path, monkeypatch):
+    spark.range(1000).selectExpr("cast(id as string) a").coalesce(1).write.parquet(f"{tmp_path}/t.parquet")
+    monkeypatch.setattr(registry, "DEALT", 50)
+    c = registry.Context(spark, str(tmp_path), Workspace(spark))
+    assert c.dealt("t").rdd.getNumPartitions() == 20
+    kept = c.kept("t")
+    assert len(kept.inputFiles()) == 20 and sorted(r["_row"] for r in kept.collect()) == list(range(1000))
+    assert all(r["a"] == str(r["_row"]) for r in kept.collect())
