@@ -12,7 +12,7 @@ from ..workspace import Workspace
 
 
 #: Rows of a dealt-out table that one task takes, at most about.
-DEALT = 50_000
+DEALT = 250_000
 
 
 @dataclass
