@@ -60,18 +60,33 @@ def once(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def _plain_canonical(c: Column) -> Column:
+    """As ``canonical``, for plain digits only, by trimming."""
+    short = F.ltrim(c, F.lit("0"))
+    whole = F.when((short == "") | F.startswith(short, F.lit(".")), F.concat(F.lit("0"), short)).otherwise(short)
+    return F.when(F.contains(c, F.lit(".")), F.rtrim(F.rtrim(whole, F.lit("0")), F.lit("."))).otherwise(whole)
+
+
 def canonical_numeric(
     c: Column, bounds: tuple[Decimal, Decimal], places: int | None = None
 ) -> Column:
-    """Canonical text of a bounded non-negative number; '' stays ''; NULL when refused."""
+    """Canonical text of a bounded non-negative number; '' stays ''; NULL when refused.
+
+    Numbers that a DECIMAL keeps for certain are compared as such, all others as exact text."""
     low, high = magnitude_of(bounds[0]), magnitude_of(bounds[1])
     ok = (F.length(c) <= MAX_NUMBER_CHARS) & c.rlike(PLAIN_NUMBER)
     if places is not None:
         ok = ok & ~c.rlike(rf"\.[0-9]{{{places + 1}}}")
-    text = canonical(c)
-    shaped = F.struct(text.alias("text"), magnitude(text).alias("size"))
-    inside = once(shaped, lambda s: F.when((s["size"] >= low) & (s["size"] <= high), s["text"]))
-    return F.when(c == "", F.lit("")).when(ok, inside)
+
+    def inside(text: Column) -> Column:
+        return once(magnitude(text), lambda size: F.when((size >= low) & (size <= high), text))
+
+    out = F.when(c == "", F.lit(""))
+    if all(_short(edge) for edge in bounds):
+        least, most = (F.lit(plain_signed(edge)).cast("decimal(38,18)") for edge in bounds)
+        short = F.when(c.try_cast("decimal(38,18)").between(least, most), _plain_canonical(c))
+        out = out.when((F.length(c) <= _SHORT_CHARS) & ok, short)
+    return out.when(ok, once(_plain_canonical(c), inside))
 
 
 # A power of ten beyond this is far outside any bin, on either side; digits stop here.
@@ -134,6 +149,8 @@ def _bin_tree(number: Column, bins, labels) -> Column:
 # What a DECIMAL(38,18) keeps exactly.
 _SHORT_NUMBER = r"^-?[0-9]{1,20}(?:\.[0-9]{1,18})?\z"
 _SHORT_PLACES = 18
+# Plain digits of so many characters are always kept.
+_SHORT_CHARS = 20
 
 
 def _short(bound: Decimal) -> bool:
@@ -208,7 +225,16 @@ def number_type(present: Column, finite: Column, integral: Column) -> Column:
 
 def double_text(c: Column) -> Column:
     """Shortest decimal text of a DOUBLE, with at least one fraction digit and an
-    exponent only outside 1e-4..1e16 (``1.0``, ``12345678.5``, ``1e+16``)."""
+    exponent only outside 1e-4..1e16 (``1.0``, ``12345678.5``, ``1e+16``).
+
+    What most numbers need is a short piece of generated code; the rest of the rule stays out of it, for the code of a
+    table with several such columns would be too long for the JVM to compile."""
+    size = F.abs(c)
+    short = (size == 0) | ((size >= 1e-3) & (size < 1e7))
+    return F.when(short, c.cast("string")).otherwise(once(c, _long_double_text))
+
+
+def _long_double_text(c: Column) -> Column:
     size = F.abs(c)
     digits = F.regexp_replace(c.cast("decimal(38,22)").cast("string"), r"(\.[0-9]+?)0+\z", "$1")
     java = c.cast("string")
@@ -220,8 +246,6 @@ def double_text(c: Column) -> Column:
     return (
         F.when(F.isnan(c), "nan")
         .when(size == float("inf"), F.when(c > 0, "inf").otherwise("-inf"))
-        .when(size == 0, java)
-        .when((size >= 1e-3) & (size < 1e7), java)
         .when((size >= 1e-4) & (size < 1e16), digits)
         .otherwise(F.concat(mantissa, exponent))
     )

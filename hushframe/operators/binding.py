@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..errors import refuse_any, refuse_if
 from ..functions import text as X
-from ..functions.hashing import LANE, framed, sha_lanes
+from ..functions.hashing import framed, lane_sum, sha_lanes
 from ..keymap import KeyMap, load_key_map
 from ..policy import Limits
 from ..sources.rows import ROW
@@ -27,11 +27,8 @@ def digest_sums(df: DataFrame, salt: str = "") -> DataFrame:
     The salt is a key map's private export id, which keeps the sums unforgeable.
     """
     cells = [F.lit(salt), F.col(ROW).cast("string"), *[quoted(c) for c in data_columns(df)]]
-    lanes = sha_lanes(framed(cells))
-    return df.agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        *[F.coalesce(F.sum(lane), F.lit(0)).cast(LANE).alias(f"s{i}") for i, lane in enumerate(lanes)],
-    )
+    lanes = df.select(*[lane.alias(f"s{i}") for i, lane in enumerate(sha_lanes(framed(cells)))])
+    return lanes.agg(F.count(F.lit(1)).alias("n_rows"), *[lane_sum(f"s{i}").alias(f"s{i}") for i in range(4)])
 
 
 def table_digest(df: DataFrame, salt: str = "") -> str:

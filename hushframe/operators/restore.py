@@ -268,7 +268,7 @@ def marked_return(
         RET,
         SRC,
         F.coalesce(
-            any_of([~ret(n).eqNullSafe(expected[n]) | expected[n].isNull() for n in fixed]), F.lit(False)
+            any_of([~F.coalesce(ret(n) == expected[n], F.lit(False)) for n in fixed]), F.lit(False)
         ).alias("_altered"),
         F.coalesce(any_of([decoded[n].isNull() for n in editable]), F.lit(False)).alias("_refused_edit"),
         *[

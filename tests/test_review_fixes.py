@@ -1,15 +1,20 @@
 """Cases in which an earlier version gave wrong answers."""
 
+import hashlib
+import re
 from decimal import Decimal
 
 from pyspark.sql import functions as F
 
+from hushframe.functions import numbers as N
 from hushframe.functions.numbers import bin_label
 from hushframe.operators import redact as D
+from hushframe.operators.binding import digest_sums
 from hushframe.operators.risk import class_counts
 from hushframe.sinks.publish import write_table
 from hushframe.sources import load_table
 from hushframe.sources.rows import ROW
+from hushframe.sources.tables import as_text
 
 
 def test_null_cells_are_classes_of_their_own(spark):
@@ -47,3 +52,31 @@ def test_every_hint_is_offered(spark):
     offered = D.suggestions(paras)
     assert offered.count() == 40 and offered.filter(F.length("excerpt") > 300).count() == 40
     assert D.suggestions(paras, limit=3, excerpt=5).count() == 3
+
+
+def test_the_code_of_a_table_with_several_doubles_is_compiled(spark, capsys):
+    """The JVM leaves a method of over 8,000 bytes of bytecode interpreted."""
+    kinds = {f"d{i}": "double" for i in range(8)} | {"at": "timestamp", "k": "long"}
+    raw = spark.range(4).select(*[F.col("id").cast(k).alias(n) for n, k in kinds.items()])
+    as_text(raw).explain("codegen")
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+    assert max(sizes, default=0) < 8000
+
+
+def test_canonical_numbers_by_decimal_and_by_text(spark):
+    values = ["", "0", "000.0", "01.50", "23.0", "100", "1.", ".5", "-1", "1e3", "9" * 20, "0" * 30 + "7.10", "10.0", "10.01", "10." + "0" * 30 + "1", "5.0\n"]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, c string")
+    got = df.select("i", N.canonical_numeric(F.col("c"), (Decimal(0), Decimal(10))).alias("v")).orderBy("i").collect()
+    assert [r.v for r in got] == ["", "0", "0", "1.5", None, None, None, None, None, None, None, "7.1", "10", None, None, None]
+
+
+def test_digest_sums_are_those_of_the_rows_hashes(spark, table):
+    rows = [("a", ""), ("é:1", "-"), ("", "9" * 50)]
+    want = [0] * 4
+    for i, cells in enumerate(rows):
+        framed = "".join(f"{len(c)}:{c}" for c in ("salt", str(i), *cells))
+        hexed = hashlib.sha256(framed.encode()).hexdigest()
+        want = [w + int(hexed[15 * k : 15 * k + 15], 16) for k, w in enumerate(want)]
+    df = table(["x", "y"], rows)
+    assert [int(v) for v in digest_sums(df, "salt").first()] == [3, *want]
+    assert [int(v) for v in digest_sums(df.limit(0), "salt").first()] == [0] * 5
