@@ -239,3 +239,18 @@ def test_texts_joined_only_by_what_is_gone_are_told_apart(spark, tmp_path):
     sf = folder_of(spark.createDataFrame([(1, f"{a}\n{rest}"), (2, f"{b}\n{rest}"), (3, rest)], "doc_id long, text string"), tmp_path)
     docs = spark.createDataFrame([(1, a, None), (2, b, None), (3, rest, None)], "doc_id long, text string, id string")
     assert {r["doc_id"] for r in corpus_pipeline.near_copies(spark, docs, sf).collect()} == {1, 3}
+
+
+def test_wide_rows_reach_python_in_batches_of_bounded_size(spark):
+    def sizes(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], ["n", "size"])
+
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None)
+    wide = spark.range(1000, numPartitions=1).select(F.repeat(F.lit("x"), 40_000).alias("text"))
+    with scratch(spark):
+        got = corpus_pipeline.written(wide.mapInArrow(sizes, "n long, size long"), "sizes").collect()
+    assert sum(r.n for r in got) == 1000 and max(r.size for r in got) < 5 << 20
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) == before
