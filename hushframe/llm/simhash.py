@@ -167,7 +167,8 @@ def _linked(rows: _Rows, most: int, far: int) -> Iterator[tuple[np.ndarray, np.n
 
 def _compare(batches: Iterator[pa.RecordBatch], most: int, far: int, linked: Callable, near: Callable) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by group; the links of each group. Groups of few rows are compared together, by their distance in
-    the sorted rows. A group above ``SIDE`` rows yields its number (as a, b null) and is compared in squares later."""
+    the sorted rows; ones with more links than rows are left to ``linked``, as are groups of many rows: the links grow as the
+    rows do. A group above ``SIDE`` rows yields its number (as a, b null) and is compared in squares later."""
     rest: _Rows | None = None
     large = None
 
@@ -181,11 +182,17 @@ def _compare(batches: Iterator[pa.RecordBatch], most: int, far: int, linked: Cal
         starts = np.nonzero(np.append(True, rows.group[1:] != rows.group[:-1]))[0]
         sizes = np.diff(np.append(starts, len(rows.group)))
         small = np.repeat(sizes <= 32, sizes)
+        met, gap = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for d in range(1, int(min(32, sizes.max(initial=1)))):
             i = np.nonzero((rows.group[d:] == rows.group[:-d]) & small[d:])[0]
-            i = i[near(rows[i], rows[i + d], most, far)]
-            yield from out(rows.node[i], rows.node[i + d])
-        for k in np.nonzero(sizes > 32)[0]:
+            met.append(i[near(rows[i], rows[i + d], most, far)])
+            gap.append(np.full(len(met[-1]), d))
+        i, d = np.concatenate(met), np.concatenate(gap)
+        own = np.searchsorted(starts, i, side="right") - 1
+        many = np.bincount(own, minlength=len(sizes)) > sizes
+        i, d = i[~many[own]], d[~many[own]]
+        yield from out(rows.node[i], rows.node[i + d])
+        for k in np.nonzero(many | (sizes > 32))[0]:
             for a, b in linked(rows[starts[k] : starts[k] + sizes[k]], most, far):
                 yield from out(a, b)
 
@@ -210,8 +217,34 @@ def _compare(batches: Iterator[pa.RecordBatch], most: int, far: int, linked: Cal
         yield from links(rest)
 
 
+SENT = "anchor long, node long, fp long, home boolean, check binary"
+
+
+def _compared(rows: DataFrame, group: str, most: int, far: int, linked: Callable, near: Callable, order: tuple[str, ...] = ()) -> DataFrame:
+    rows = rows.select(F.col(group).alias("group"), "node", "fp", "home", "check")
+    rows = rows.repartition(width(rows.sparkSession), "group").sortWithinPartitions("group", *order)
+    return written(rows.mapInArrow(lambda it: _compare(it, most, far, linked, near), "na long, nb long"), "links")
+
+
+def square_links(sent: DataFrame, most: int, far: int, linked: Callable, near: Callable) -> DataFrame:
+    """(na, nb): links of the rows that meet at an anchor (see ``SENT``). An anchor with more than ``SIDE`` rows is cut: its
+    rows get one of k columns by hash, and each row goes to the k squares of its column. A square has about ``SIDE`` rows, and
+    every pair of the anchor meets in one. Rows are compared in the order of their nodes."""
+    counts = sent.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"))
+    k = F.when(F.col("n") <= SIDE, 1).otherwise(F.ceil(F.col("n") / (SIDE // 4))).cast("int")
+    cut = sent.join(written(counts.select("anchor", k.alias("k")), "columns"), "anchor")
+    cut = cut.withColumn("own", F.pmod(F.xxhash64("node"), "k").cast("int"))
+    cut = cut.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    squares = cut.withColumn("square", F.xxhash64("anchor", F.least("own", "to"), F.greatest("own", "to")))
+    found = _compared(squares, "square", most, far, linked, near, ("node",))
+    if found.filter("nb is null").limit(1).count():
+        raise RuntimeError("a square of an anchor has more rows than a comparison takes")
+    return found
+
+
 def near_links(
-    nodes: DataFrame, most: int = 3, far: int = 0, sent_by: Callable = _sent, linked: Callable = _linked, near: Callable = _near
+    nodes: DataFrame, most: int = 3, far: int = 0, sent_by: Callable = _sent, linked: Callable = _linked, near: Callable = _near,
+    left: bool = False,
 ) -> DataFrame:
     """(a, b): links between rows of ``nodes``, (node long, prints array<long>, check binary), each with its own node and as
     many fingerprints as the others. Two rows are linked if one of their fingerprints differs in ``most`` <= 3 bits or
@@ -221,35 +254,20 @@ def near_links(
     ``anchors``), so both meet at an anchor that is the home of one of them, of the one with the even half (see ``_sent``). Within an anchor the links are thinned to a
     forest, so that n alike rows give n - 1 links, not all pairs.
 
-    An anchor with more than ``SIDE`` rows is left to a second pass: its rows get one of k columns by hash, and each row
-    goes to the k squares of its column. A square has about ``SIDE`` rows, and every pair of the anchor meets in one.
+    An anchor with more than ``SIDE`` rows is left to a second pass (see ``square_links``). With ``left`` there is none: such
+    anchors, and those that ``linked`` leaves, are returned as (anchor, null).
 
-    ``sent_by`` sends the rows to other anchors, ``linked`` finds the links within a group of over 32 rows, ``near`` says which
-    rows of a smaller one are linked.
+    ``sent_by`` sends the rows to other anchors, ``linked`` finds the links within a group of over 32 rows or of more
+    links than rows, ``near`` says which rows of another one are linked.
     """
     if not 0 <= most <= 3:
         raise ValueError("most: 0 to 3; each half of a pair must differ in at most one bit")
-    parts = width(nodes.sparkSession)
-    sent = nodes.mapInArrow(sent_by, "anchor long, node long, fp long, home boolean, check binary")
-
-    def compared(rows: DataFrame, group: str) -> DataFrame:
-        rows = rows.select(F.col(group).alias("group"), "node", "fp", "home", "check")
-        rows = rows.repartition(parts, "group").sortWithinPartitions("group")
-        return written(rows.mapInArrow(lambda it: _compare(it, most, far, linked, near), "na long, nb long"), "links")
-
-    found = compared(sent, "anchor")
+    sent = nodes.mapInArrow(sent_by, SENT)
+    found = _compared(sent, "anchor", most, far, linked, near)
+    links = found if left else found.filter("nb is not null")
     large = found.filter("nb is null").select(F.col("na").alias("anchor"))
-    links = found.filter("nb is not null")
-    if large.limit(1).count():
-        busy = written(sent.join(large, "anchor"), "busy")
-        counts = busy.groupBy("anchor").agg(F.ceil(F.count(F.lit(1)) / (SIDE // 4)).cast("int").alias("k"))
-        cut = busy.join(written(counts, "columns"), "anchor").withColumn("own", F.pmod(F.xxhash64("node"), "k").cast("int"))
-        cut = cut.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-        squares = cut.withColumn("square", F.xxhash64("anchor", F.least("own", "to"), F.greatest("own", "to")))
-        found = compared(squares, "square")
-        if found.filter("nb is null").limit(1).count():
-            raise RuntimeError("a square of an anchor has more rows than a comparison takes")
-        links = links.unionByName(found)
+    if not left and large.limit(1).count():
+        links = links.unionByName(square_links(written(sent.join(large, "anchor"), "busy"), most, far, linked, near))
     return links.select(F.col("na").alias("a"), F.col("nb").alias("b"))
 
 

@@ -254,3 +254,40 @@ def test_wide_rows_reach_python_in_batches_of_bounded_size(spark):
         got = corpus_pipeline.written(wide.mapInArrow(sizes, "n long, size long"), "sizes").collect()
     assert sum(r.n for r in got) == 1000 and max(r.size for r in got) < 5 << 20
     assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) == before
+
+
+def pairs_checked(monkeypatch):
+    seen, alike = [], near_copies._alike
+    monkeypatch.setattr(near_copies, "_alike", lambda pairs, *more: seen.append(pairs.count()) or alike(pairs, *more))
+    return seen
+
+
+def test_pairs_of_a_shared_passage_grow_with_the_texts_only(spark, monkeypatch):
+    """Texts that share a passage, but are not alike, meet at each of its shingles: their pairs leave no rows."""
+    monkeypatch.setattr(near_copies, "SHARED", 1_000_000)  # no shingle comes last
+    rnd = random.Random(2)
+    passage = " ".join(f"p{i}" for i in range(60))
+    texts = [f"{passage} " + " ".join(f"{rnd.random()}" for _ in range(50)) for _ in range(200)]
+    seen = pairs_checked(monkeypatch)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert near_copies.near_copies(docs).count() == 0
+    assert max(seen) <= 2 * len(texts), seen
+
+
+def test_a_crowd_about_the_threshold_is_grouped_as_by_brute_force(spark, monkeypatch):
+    """One text changed in one to five places: some pairs just hold the similarity, some just fail it, all share shingles."""
+    rnd = random.Random(8)
+    base = [f"w{i}" for i in range(70)]
+    texts = []
+    for i in range(240):
+        w = list(base)
+        for k in rnd.sample(range(70), rnd.randint(1, 5)):
+            w[k] = f"x{i}k{k}" if i % 3 else f"y{i % 20}k{k}"
+        texts.append(" ".join(w if i % 40 else w + w[:9]))
+    want = joined_by(texts)
+    assert 20 < len(set(want)) < 220
+    seen = pairs_checked(monkeypatch)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    found = {r["doc_id"]: r["component_id"] for r in near_copies.near_copies(docs).collect()}
+    assert [found.get(i, i) for i in range(len(texts))] == want
+    assert len(seen) == 3
