@@ -2,6 +2,7 @@
 
 import random
 import re
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -11,6 +12,7 @@ import compare
 import corpus_pipeline
 from __spark_entry__ import queries
 from hushframe.llm import queries as corpus
+from hushframe.llm import components as components_module
 from hushframe.llm import near_copies, simhash
 from hushframe.llm.common import scratch
 from hushframe.workspace import Workspace
@@ -291,3 +293,44 @@ def test_a_crowd_about_the_threshold_is_grouped_as_by_brute_force(spark, monkeyp
     found = {r["doc_id"]: r["component_id"] for r in near_copies.near_copies(docs).collect()}
     assert [found.get(i, i) for i in range(len(texts))] == want
     assert len(seen) == 3
+
+
+def test_texts_are_read_once_for_all_slices_of_pairs(spark, monkeypatch):
+    """Candidate pairs are checked in slices; the sets of their texts are made once for all of them."""
+    monkeypatch.setattr(near_copies, "FEW", 1)
+    made, sets = [], near_copies._sets
+    monkeypatch.setattr(near_copies, "_sets", lambda *a: made.append(1) or sets(*a))
+    base = " ".join(f"w{i}" for i in range(200))
+    docs = spark.createDataFrame([(i, base.replace(f"w{7 * i} ", "x ")) for i in range(12)], "doc_id long, text string")
+    assert {tuple(r) for r in near_copies.near_copies(docs).collect()} == {(i, 0) for i in range(12)}
+    assert len(made) <= 3, made
+
+
+def test_sampled_texts_grow_with_the_table_and_the_most_frequent_shingles_come_last(spark, monkeypatch):
+    monkeypatch.setattr(near_copies, "SAMPLE", 4)
+    texts = [f"a b c d e t{i % 10} {i} {i} {i} {i} {i}" for i in range(800)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string").withColumn("node", F.xxhash64(F.sha2("text", 256)))
+    known, place = near_copies._common(rows, 800, 5)
+    each = near_copies.word_hashes("a b c d e t0")
+    often, less = near_copies.shingle_set(each[:5]), near_copies.shingle_set(each[1:])
+    assert (known[:-1] < known[1:]).all() and {*often, *less} <= {*known}  # of a sample of 4, few of ten endings are met twice
+    assert place[known == often] == place.max() > place[known == less]
+    own = np.sort(np.concatenate([often, less, np.array([1], np.uint64)]))
+    first = near_copies.rarest(own, (known, place), Fraction(1, 100))
+    assert first.tolist() == [1, less[0], often[0]]
+
+
+def test_bits_are_counted_as_by_one_word_after_the_other():
+    words = np.random.default_rng(4).integers(0, 1 << 64, 20_000, dtype=np.uint64)
+    for n in (0, 1, 254, 255, 256, 20_000):
+        want = [sum(w >> b & 1 for w in words[:n].tolist()) for b in range(64)]
+        assert near_copies._ones(words[:n]).tolist() == want
+
+
+def test_stars_need_no_round(spark, monkeypatch):
+    seen, starred = [], components_module._starred
+    monkeypatch.setattr(components_module, "_starred", lambda *a: seen.append(1) or starred(*a))
+    found = lambda pairs: {tuple(r) for r in components_module.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert found([(1, 2), (3, 1), (5, 4), (4, 4), (None, 7)]) == {(1, 1), (2, 1), (3, 1), (4, 4), (5, 4)} and not seen
+    assert found([(i, i + 1) for i in range(9)]) == {(i, 0) for i in range(10)} and seen
+    assert found([(3, 1), (3, 2)]) == {(1, 1), (2, 1), (3, 1)}
