@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +27,8 @@ from .profile import any_of
 from .protect import bad_key, protected_values
 
 RET, SRC = "_ret", "_src"
+#: Returned tables of more rows are joined slice by slice, in so many slices at most: only one slice's rows lie in shuffle files.
+SLICE_ROWS, SLICES = 4_000_000, 4
 
 
 def cells(df: DataFrame, names: list[str]) -> Column:
@@ -232,68 +235,93 @@ def new_headings(name: str, returned: DataFrame, keymap: KeyMap) -> list[str]:
     return fresh
 
 
+def in_slice(key: str, i: int, slices: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(slices)) == i
+
+
 def joined_return(
-    name: str, source: DataFrame, returned: DataFrame, keymap: KeyMap
-) -> tuple[DataFrame, list[str]]:
-    """Returned rows beside their map entry and source row; one-sided rows included."""
+    name: str, source: DataFrame, returned: DataFrame, keymap: KeyMap, ws: Workspace
+) -> tuple[list[DataFrame], list[str]]:
+    """Returned rows beside their map entry and source row; one-sided rows included. A table of many rows first meets its map
+    entries in slices of ids, written to ``ws``, and then comes in slices of source rows: ``returned`` is read once a slice."""
     fresh = new_headings(name, returned, keymap)
     wanted = [*keymap.protected_columns(name)[1:], *fresh]
     left = returned.select("record_id", F.col(ROW).alias("_at"), cells(returned, wanted).alias(RET))
     private = "entity_id" if keymap.related else "source_key"
     records = keymap.records[name].select("record_id", F.col(ROW).alias("_src_row"), F.col(private).alias("_who"))
-    both = left.join(records, "record_id", "full_outer")
     rows = source.select(
         F.col(ROW).alias("_src_row"), cells(source, keymap.source_columns[name]).alias(SRC)
     )
-    return both.join(rows, "_src_row", "left"), fresh
+    slices = min(SLICES, 1 + keymap.records[name].count() // SLICE_ROWS)
+    if slices == 1:
+        return [left.join(records, "record_id", "full_outer").drop("record_id").join(rows, "_src_row", "left")], fresh
+    met = []
+    for i in range(slices):
+        mine = in_slice("record_id", i, slices)
+        met.append(ws.keep(left.filter(mine).join(records.filter(mine), "record_id", "full_outer").drop("record_id"), "met"))
+    both = reduce(DataFrame.unionByName, met)
+    parts = [in_slice("_src_row", i, slices) for i in range(slices)]
+    return [both.filter(mine).join(rows.filter(mine), "_src_row", "left") for mine in parts], fresh
 
 
 def marked_return(
     name: str, source: DataFrame, returned: DataFrame, keymap: KeyMap, ws: Workspace, reviews=None
 ) -> Review:
-    """The joined rows, written once, with every cell judged but nothing refused yet."""
+    """The joined rows, written once, with every cell judged but nothing refused yet. The stage has the source's cells, the new
+    ones and the edits; ids and returned cells that were judged are left out."""
     policy = keymap.policies[name]
     editable = (keymap.editable or {}).get(name, [])
-    both, fresh = joined_return(name, source, returned, keymap)
     fixed = [n for n in policy.retained if n not in editable]
-    both, expected = protected_values(
-        both.withColumn(ROW, F.col("_at")), policy, keymap.book_of(name), get=src, reviews=reviews
-    )
-    both, decoded = decode_edits(both, policy, editable, edit_book(keymap, name))
-    marked = both.select(
-        "record_id",
-        "_at",
-        "_src_row",
-        "_who",
-        RET,
-        SRC,
-        F.coalesce(
-            any_of([~F.coalesce(ret(n) == expected[n], F.lit(False)) for n in fixed]), F.lit(False)
-        ).alias("_altered"),
-        F.coalesce(any_of([decoded[n].isNull() for n in editable]), F.lit(False)).alias("_refused_edit"),
-        *[
-            changed(decoded[n], src(n), policy.columns[n]).alias(f"_edit{i}")
-            for i, n in enumerate(editable)
-        ],
-    )
-    return Review(name, ws.keep(marked, "restore"), keymap.source_columns[name], fresh, editable)
+    owner = ret("entity_id") if keymap.related else src(policy.source_key)
+    # of what came back, what was judged is not written again
+    left = [*(["entity_id"] if keymap.related else []), *new_headings(name, returned, keymap)]
+
+    def marked(both: DataFrame) -> DataFrame:
+        both, expected = protected_values(
+            both.withColumn(ROW, F.col("_at")), policy, keymap.book_of(name), get=src, reviews=reviews
+        )
+        both, decoded = decode_edits(both, policy, editable, edit_book(keymap, name))
+        return both.select(
+            "_at",
+            "_src_row",
+            *(["_who"] if keymap.related else []),
+            F.when(F.col(RET).isNotNull(), F.struct(*[ret(n).alias(n) for n in left] or [F.lit(True).alias("_here")])).alias(RET),
+            SRC,
+            F.col("_who").isNotNull().alias("_known"),
+            (~owner.eqNullSafe(F.col("_who"))).alias("_moved"),
+            F.coalesce(
+                any_of([~F.coalesce(ret(n) == expected[n], F.lit(False)) for n in fixed]), F.lit(False)
+            ).alias("_altered"),
+            F.coalesce(any_of([decoded[n].isNull() for n in editable]), F.lit(False)).alias("_refused_edit"),
+            *[
+                changed(decoded[n], src(n), policy.columns[n]).alias(f"_edit{i}")
+                for i, n in enumerate(editable)
+            ],
+        )
+
+    met = Workspace(ws.spark, ws.root)
+    try:
+        parts, fresh = joined_return(name, source, returned, keymap, met)
+        stage = reduce(DataFrame.unionByName, [ws.keep(marked(both), "restore") for both in parts])
+    finally:
+        met.release()
+    return Review(name, stage, keymap.source_columns[name], fresh, editable)
 
 
 def return_counts(rev: Review, keymap: KeyMap) -> DataFrame:
     """One row of violations of a returned table; all zero means it may be restored."""
     policy = keymap.policies[rev.name]
-    here = F.col(RET).isNotNull() & F.col("_who").isNotNull()
-    owner = ret("entity_id") if keymap.related else src(policy.source_key)
+    here = F.col(RET).isNotNull() & F.col("_known")
     return rev.stage.agg(
-        F.count_if(F.col("_who").isNull()).alias("unknown_ids"),
+        F.count_if(~F.col("_known")).alias("unknown_ids"),
         F.count_if(F.col(RET).isNull()).alias("missing_ids"),
         F.count_if(here & F.col(SRC).isNull()).alias("no_source_row"),
-        F.count_if(here & ~owner.eqNullSafe(F.col("_who"))).alias("changed_links"),
+        F.count_if(here & F.col("_moved")).alias("changed_links"),
         F.count_if(here & F.col("_altered")).alias("altered_rows"),
         F.count_if(here & F.col("_refused_edit")).alias("refused_edits"),
         F.count_if(here & any_of([bad_result(ret(n)) for n in rev.new_columns])).alias("unsafe_results"),
         F.count_if(source_controls(policy, rev.source_columns)).alias("source_controls"),
-        (F.count("_who") - F.lit(keymap.records[rev.name].count())).alias("repeated_ids"),
+        (F.count_if("_known") - F.lit(keymap.records[rev.name].count())).alias("repeated_ids"),
     )
 
 

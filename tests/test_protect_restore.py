@@ -1,4 +1,6 @@
+import time
 from dataclasses import replace
+from pathlib import Path
 
 import pytest
 from pyspark.sql import Window
@@ -187,6 +189,45 @@ def test_tampered_returns_are_refused(source, protected, returned, ws, mutate):
         R.review(source, mutate(returned), protected.keymap, ws)
 
 
+def test_a_return_joined_in_slices_is_judged_as_in_one_join(source, protected, returned, ws, monkeypatch):
+    """Missing, unknown, repeated and null ids, a changed cell and an unsafe result: the same counts and rows."""
+    one = returned.filter("_row = 0")
+    odd = returned.filter("_row < 3").withColumn("gpa", F.when(F.col("_row") == 1, "6.9").otherwise(F.col("gpa")))
+    for more in (one, one.withColumn("record_id", F.lit(None).cast("string")), one.withColumn("record_id", F.lit("no id")).withColumn("outcome", F.lit("=1"))):
+        odd = odd.unionByName(more)
+
+    def judged():
+        rev = R.marked_return("table", source, odd, protected.keymap, ws)
+        return R.return_counts(rev, protected.keymap).first().asDict(), sorted(map(str, R.reconstruct(rev, ["outcome"]).collect()))
+
+    counts, rows = judged()
+    assert (counts["unknown_ids"], counts["missing_ids"], counts["repeated_ids"], counts["altered_rows"], len(rows)) == (2, 1, 1, 1, 7)
+    monkeypatch.setattr(R, "SLICE_ROWS", 1)
+    kept, keep = [], type(ws).keep
+    monkeypatch.setattr(type(ws), "keep", lambda self, df, label: kept.append(label) or keep(self, df, label))
+    assert judged() == (counts, rows)
+    assert kept.count("met") == kept.count("restore") == R.SLICES
+
+
+def test_a_review_holds_nothing_that_was_judged_already(source, protected, returned, ws):
+    rev = R.marked_return("table", source, returned, protected.keymap, ws)
+    assert not {"record_id", "_who"} & {*rev.stage.columns}
+    assert rev.stage.schema[R.RET].dataType.names == ["outcome"]
+
+
+def test_a_written_table_leaves_no_shuffle_files(spark, ws):
+    folders = [*spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()]
+    files = lambda: {f.name for d in folders for f in Path(d).rglob("shuffle_*")}
+    before = files()
+    kept = ws.keep(spark.range(1000).repartition(3, "id"), "dealt")
+    for _ in range(50):
+        if not files() - before:
+            break
+        time.sleep(0.2)
+    assert not files() - before
+    assert kept.count() == 1000
+
+
 def test_other_source_is_refused(table, protected, returned, ws):
     for rows in (replaced(0, "notes", "changed"), ROWS[:3], [ROWS[1], ROWS[0], *ROWS[2:]]):
         with pytest.raises(Refused):
